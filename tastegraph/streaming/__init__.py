@@ -1,0 +1 @@
+"""Left empty: every source is a finite file, so there is nothing to stream."""
