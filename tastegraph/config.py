@@ -60,5 +60,6 @@ HOT_ROWS = 1_000_000          # rows of one key from which the key is salted
 MAX_HOT_KEYS = 1_024          # bound on the broadcast list of salted keys
 MAX_SALTS = 256               # slices of the hottest key
 HOT_SLICES = 64               # ranges in which a hub's neighbours are numbered
-TRIES_PER_ROUND = 8           # draws a walker makes per round
+TRIES_PER_ROUND = 16          # draws a walker makes per round
+WALKS_PER_TASK = 200_000      # walks one skip-gram task trains on
 MAX_DRIVER_VECTOR_BYTES = 256 << 20   # largest vector table trained on the driver

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegraph import config
-from tastegraph.functions import text
+from tastegraph.functions import ids, text
 from tastegraph.operators.joins import counted_join
 
 
@@ -164,6 +164,28 @@ def user_features(
     return joined.select(*keys.columns, *[_with_default(k, v) for k, v in names.items()])
 
 
+def attach_vector(
+    df: DataFrame, vectors: DataFrame, node: Column, name: str, size: int
+) -> DataFrame:
+    """Rows with the vector of ``node`` in column ``name``; zeros when it has none.
+
+    For tables with one row per node; pairs go through
+    :func:`tastegraph.operators.vectors.with_vector`.
+    """
+    keyed = vectors.select(F.col("id").alias("_node"), F.col("embedding").alias(name))
+    return (
+        df.withColumn("_node", node)
+        .join(keyed, "_node", "left")
+        .withColumn(name, F.coalesce(name, zeros_like(vectors, size)))
+        .drop("_node")
+    )
+
+
+def zeros_like(vectors: DataFrame, size: int) -> Column:
+    """A zero vector of the table's own element type."""
+    return F.lit([0.0] * size).cast(vectors.schema["embedding"].dataType)
+
+
 def enrich_pairs(
     pairs: DataFrame,
     business: DataFrame,
@@ -172,14 +194,27 @@ def enrich_pairs(
     reviews: DataFrame | None = None,
     as_of: int = config.AS_OF_YEAR,
     hot_rows: int = config.HOT_ROWS,
+    user_vectors: DataFrame | None = None,
+    item_vectors: DataFrame | None = None,
+    vector_size: int = config.VECTOR_SIZE,
 ) -> DataFrame:
     """Pairs with the features of their item and of their user.
 
-    Every pair stays, repeated pairs included, with all its own columns.
+    Every pair stays, repeated pairs included, with all its own columns. Vector
+    tables, keyed by node id, are attached to the users and items first, so the
+    pairs themselves are shuffled once per side whatever is joined.
     """
     item_keys = key_counts(pairs, "business_id")
     user_keys = key_counts(pairs, "user_id")
     items = item_features(item_keys, business, photo, reviews)
     people = user_features(user_keys, users, reviews, as_of)
+    if item_vectors is not None:
+        items = attach_vector(
+            items, item_vectors, ids.business_node(F.col("business_id")), "item_vec", vector_size
+        )
+    if user_vectors is not None:
+        people = attach_vector(
+            people, user_vectors, ids.user_node(F.col("user_id")), "user_vec", vector_size
+        )
     with_items = counted_join(pairs, items, ["business_id"], item_keys, hot_rows)
     return counted_join(with_items, people, ["user_id"], user_keys, hot_rows)

@@ -1,6 +1,6 @@
 """Joins that keep working when one key holds a large share of the rows."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegraph import config
@@ -123,8 +123,6 @@ def ordered_index(df: DataFrame, order: list[str | Column], bucket: Column, name
     Rows are numbered inside their bucket and shifted by the size of all lower
     buckets; only that short list of sizes is brought together.
     """
-    from pyspark.sql import Window
-
     marked = df.withColumn("_bucket", bucket)
     sizes = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     below = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

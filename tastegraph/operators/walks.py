@@ -294,3 +294,12 @@ def walk_paths(visited: DataFrame) -> DataFrame:
     return visited.groupBy("walk_id").agg(
         F.transform(steps, lambda visit: visit["node"]).alias("path")
     )
+
+
+def named_paths(visited: DataFrame, nodes: DataFrame) -> DataFrame:
+    """:func:`walk_paths` with node ids instead of node numbers."""
+    return walk_paths(
+        skew_join(visited, nodes, ["node"], "inner").select(
+            "walk_id", "step", F.col("id").alias("node")
+        )
+    )
