@@ -35,7 +35,7 @@ from tastegraph.session import materialise, scratch_path
 
 @dataclass
 class WalkGraph:
-    """A graph prepared for walking; all three tables lie in the scratch folder."""
+    """A graph prepared for walking; the first three tables lie in the scratch folder."""
 
     nodes: DataFrame      # id, node
     links: DataFrame      # src, dst, as node numbers, distinct
@@ -128,115 +128,113 @@ def prepare(
         ),
         "neighbours",
     )
-    starts = materialise(
-        nodes.join(degrees, nodes["node"] == degrees["src"], "left").select(
-            "node", F.coalesce("degree", F.lit(0)).alias("degree")
-        ),
-        "starts",
+    starts = nodes.join(degrees, nodes["node"] == degrees["src"], "left").select(
+        "node", F.coalesce("degree", F.lit(0)).alias("degree")
     )
     return WalkGraph(nodes, links, neighbours, starts)
 
 
-def _draws(frontier: DataFrame, p: float, q: float, seed: int, tries: int) -> DataFrame:
-    """One row per try: what is drawn, and whether it needs the edge test.
-
-    A walker's tries after the first that is certain to be kept are not made,
-    since they could never be used. Columns: the walker's, plus ``try``,
-    ``pos``, ``ret`` (goes straight back), ``u2`` and ``sure``.
-    """
-    most = max(1.0, 1.0 / q)
-    extra = max(0.0, 1.0 / p - most)
-    least = min(1.0 / p, 1.0, 1.0 / q)
-    scale = float(2**52)
-    first_step = F.col("step") == 0
-
-    def one_try(number: Column) -> Column:
-        digest = F.md5(
-            F.concat_ws("|", F.lit(str(seed)), F.col("walk_id"), F.col("step"), number)
-            .cast("binary")
-        )
-        u1 = hex_number(digest, 1, 13) / scale
-        u2 = hex_number(digest, 14, 13) / scale
-        degree = F.greatest(F.col("degree"), F.lit(1))
-        bound = degree * most
-        x = u1 * (bound + F.when(F.col("back") & ~first_step, F.lit(extra)).otherwise(0.0))
-        ret = x >= bound
-        inside = F.least(F.floor(x / most).cast("bigint"), degree - 1)
-        elsewhere = F.least(F.floor(u2 * degree).cast("bigint"), degree - 1)
-        sure = first_step | ret | (degree == 1) | (u2 * most < least)
-        return F.struct(
-            number.alias("try"),
-            F.when(ret, elsewhere).otherwise(inside).alias("pos"),
-            ret.alias("ret"),
-            (u2 * most).alias("level"),
-            sure.alias("sure"),
-        )
-
-    last = F.col("tried") + F.when(first_step, 0).otherwise(tries - 1)
-    listed = F.transform(F.sequence(F.col("tried"), last), one_try)
-    stop = F.array_position(F.transform(F.col("_list"), lambda t: t["sure"]), True)
-    return (
-        frontier.withColumn("_list", listed)
-        .withColumn(
-            "_list",
-            F.slice("_list", F.lit(1), F.when(stop > 0, stop.cast("int")).otherwise(F.size("_list"))),
-        )
-        .select(*frontier.columns, F.size("_list").alias("made"), F.inline_outer("_list"))
-    )
+_STATE = ["walk_id", "step", "prev", "prev_degree", "cur", "degree", "back"]
 
 
-_STATE = ["walk_id", "step", "prev", "prev_degree", "cur", "degree", "back"]
+class _Rounds:
+    """One round of tries for all walkers.
 
+    The expressions are the same in every round, so they are built once.
+    """
 
-def _round(
-    frontier: DataFrame, walk_graph: WalkGraph, p: float, q: float, seed: int, tries: int
-) -> DataFrame:
-    """The walkers after one round: moved on, or with more tries behind them."""
-    draws = _draws(frontier, p, q, seed, tries)
-    drawn = draws.join(
-        walk_graph.neighbours.select(
+    def __init__(self, walk_graph: WalkGraph, p: float, q: float, seed: int, tries: int):
+        self.neighbours = walk_graph.neighbours.select(
             F.col("src").alias("cur"), "pos", F.col("dst").alias("x"),
             F.col("degree").alias("x_degree"), F.col("back").alias("x_back"),
-        ),
-        ["cur", "pos"],
-    )
-    known = walk_graph.links.select(
-        F.col("src").alias("prev"), F.col("dst").alias("x"), F.lit(True).alias("linked")
-    )
-    tested = drawn.join(known, ["prev", "x"], "left")
-    weight = (
-        F.when(F.col("x") == F.col("prev"), 1.0 / p)
-        .when(F.col("linked"), 1.0)
-        .otherwise(1.0 / q)
-    )
-    kept = F.col("sure") | (F.col("level") < weight)
-    # A straight return goes to prev, whatever the position looked up.
-    target = F.struct(
-        F.when(kept, F.col("try")).alias("at"),
-        F.when(F.col("ret"), F.col("prev")).otherwise(F.col("x")).alias("node"),
-        F.when(F.col("ret"), F.col("prev_degree")).otherwise(F.col("x_degree")).alias("degree"),
-        F.when(F.col("ret"), True).otherwise(F.col("x_back")).alias("back"),
-    )
-    is_last = F.col("try") == F.col("tried") + F.col("made") - 1
-    best = (
-        tested.where(kept | is_last)
-        .groupBy(*_STATE)
-        .agg(
-            F.min(F.when(kept, target)).alias("to"),
-            F.max(F.col("tried") + F.col("made")).alias("tried"),
         )
-    )
-    moved = F.col("to").isNotNull()
-    return best.select(
-        "walk_id",
-        F.when(moved, F.col("step") + 1).otherwise(F.col("step")).alias("step"),
-        F.when(moved, F.col("cur")).otherwise(F.col("prev")).alias("prev"),
-        F.when(moved, F.col("degree")).otherwise(F.col("prev_degree")).alias("prev_degree"),
-        F.when(moved, F.col("to.node")).otherwise(F.col("cur")).alias("cur"),
-        F.when(moved, F.col("to.degree")).otherwise(F.col("degree")).alias("degree"),
-        F.when(moved, F.col("to.back")).otherwise(F.col("back")).alias("back"),
-        F.when(moved, F.lit(0)).otherwise(F.col("tried")).cast("bigint").alias("tried"),
-    )
+        self.links = walk_graph.links.select(
+            F.col("src").alias("prev"), F.col("dst").alias("x"), F.lit(True).alias("linked")
+        )
+        self._draw_columns(p, q, seed, tries)
+        self._keep_columns(p, q)
+
+    def _draw_columns(self, p, q, seed, tries):
+        most = max(1.0, 1.0 / q)
+        extra = max(0.0, 1.0 / p - most)
+        least = min(1.0 / p, 1.0, 1.0 / q)
+        scale = float(2**52)
+        first_step = F.col("step") == 0
+        degree = F.col("degree")
+
+        def one_try(number: Column) -> Column:
+            key = F.concat_ws("|", F.lit(str(seed)), F.col("walk_id"), F.col("step"), number)
+            digest = F.md5(key.cast("binary"))
+            u1 = hex_number(digest, 1, 13) / scale
+            u2 = hex_number(digest, 14, 13) / scale
+            bound = degree * most
+            x = u1 * (bound + F.when(F.col("back") & ~first_step, F.lit(extra)).otherwise(0.0))
+            ret = x >= bound
+            # A straight return looks nothing up; a spread position keeps its row
+            # from piling up with others.
+            place = F.when(ret, u2 * degree).otherwise(x / most)
+            return F.struct(
+                number.alias("try"),
+                F.least(F.floor(place).cast("bigint"), degree - 1).alias("pos"),
+                ret.alias("ret"),
+                (u2 * most).alias("level"),
+                (first_step | ret | (degree == 1) | (u2 * most < least)).alias("sure"),
+            )
+
+        last = F.col("tried") + F.when(first_step, 0).otherwise(tries - 1)
+        self.listed = F.transform(F.sequence(F.col("tried"), last), one_try)
+        # Tries after one that is certain to be kept could never be used.
+        stop = F.array_position(F.transform(F.col("_list"), lambda t: t["sure"]), True)
+        length = F.when(stop > 0, stop.cast("int")).otherwise(F.size("_list"))
+        self.cut = F.slice("_list", F.lit(1), length)
+
+    def _keep_columns(self, p, q):
+        weight = (
+            F.when(F.col("x") == F.col("prev"), 1.0 / p)
+            .when(F.col("linked"), 1.0)
+            .otherwise(1.0 / q)
+        )
+        kept = F.col("sure") | (F.col("level") < weight)
+        made = F.col("tried") + F.col("made")
+        target = F.struct(
+            F.when(kept, F.col("try")).alias("at"),
+            F.when(F.col("ret"), F.col("prev")).otherwise(F.col("x")).alias("node"),
+            F.when(F.col("ret"), F.col("prev_degree")).otherwise(F.col("x_degree")).alias("degree"),
+            F.when(F.col("ret"), True).otherwise(F.col("x_back")).alias("back"),
+        )
+        self.useful = kept | (F.col("try") == made - 1)
+        self.outcome = [F.min(F.when(kept, target)).alias("to"), F.max(made).alias("tried")]
+        moved = F.col("to").isNotNull()
+
+        def then(new, old):
+            return F.when(moved, new).otherwise(F.col(old))
+
+        self.next_state = [
+            F.col("walk_id"),
+            then(F.col("step") + 1, "step").alias("step"),
+            then(F.col("cur"), "prev").alias("prev"),
+            then(F.col("degree"), "prev_degree").alias("prev_degree"),
+            then(F.col("to.node"), "cur").alias("cur"),
+            then(F.col("to.degree"), "degree").alias("degree"),
+            then(F.col("to.back"), "back").alias("back"),
+            then(F.lit(0), "tried").cast("bigint").alias("tried"),
+        ]
+
+    def after(self, frontier: DataFrame) -> DataFrame:
+        """The walkers after a round: moved on, or with more tries behind them."""
+        draws = (
+            frontier.withColumn("_list", self.listed)
+            .withColumn("_list", self.cut)
+            .select(*frontier.columns, F.size("_list").alias("made"), F.inline_outer("_list"))
+        )
+        return (
+            draws.join(self.neighbours, ["cur", "pos"])
+            .join(self.links, ["prev", "x"], "left")
+            .where(self.useful)
+            .groupBy(*_STATE)
+            .agg(*self.outcome)
+            .select(*self.next_state)
+        )
 
 
 def visits(
@@ -270,6 +268,7 @@ def visits(
     )
     schema = current.schema
     can_move = (F.col("degree") > 0) & (F.col("step") < walk_length - 1)
+    rounds = _Rounds(walk_graph, p, q, seed, tries)
     number = 0
     while True:
         path = f"{folder}/round={number}"
@@ -278,7 +277,7 @@ def visits(
         if not seen.get["live"]:
             break
         live = spark.read.schema(schema).parquet(path).where(can_move)
-        current = _round(live, walk_graph, p, q, seed, tries)
+        current = rounds.after(live)
         number += 1
     # A walker is written once on arrival (no tries yet) and once per round it waits.
     return (
