@@ -16,6 +16,9 @@ the cost per step does not depend on the degree:
 
 All draws come from ``md5(seed|walk|step|try)``. A walk is a function of its
 number alone, whatever the partitioning, the batch of tries or a lost executor.
+Rows are spread by (node, position) in the lookup and by (previous, drawn) in
+the edge test; what is left of skew there is split by the skew join of adaptive
+execution, since both sides are plain shuffles of stored tables.
 Walkers do not wait for each other: in a round each makes some tries, moves if
 one is kept, and goes on with later tries if none is. Each round is written to
 the scratch folder; those files are also the record of all visits.
@@ -134,6 +137,8 @@ def prepare(
     return WalkGraph(nodes, links, neighbours, starts)
 
 
+_SPREAD = 1_000_003
+
 _STATE = ["walk_id", "step", "prev", "prev_degree", "cur", "degree", "back"]
 
 
@@ -143,13 +148,16 @@ class _Rounds:
     The expressions are the same in every round, so they are built once.
     """
 
-    def __init__(self, walk_graph: WalkGraph, p: float, q: float, seed: int, tries: int):
+    def __init__(
+        self, walk_graph: WalkGraph, p: float, q: float, seed: int, tries: int, hot_rows: int
+    ):
+        self.hot_rows = hot_rows
         self.neighbours = walk_graph.neighbours.select(
             F.col("src").alias("cur"), "pos", F.col("dst").alias("x"),
             F.col("degree").alias("x_degree"), F.col("back").alias("x_back"),
         )
         self.links = walk_graph.links.select(
-            F.col("src").alias("prev"), F.col("dst").alias("x"), F.lit(True).alias("linked")
+            F.col("src").alias("tie"), F.col("dst").alias("x"), F.lit(True).alias("linked")
         )
         self._draw_columns(p, q, seed, tries)
         self._keep_columns(p, q)
@@ -187,6 +195,12 @@ class _Rounds:
         stop = F.array_position(F.transform(F.col("_list"), lambda t: t["sure"]), True)
         length = F.when(stop > 0, stop.cast("int")).otherwise(F.size("_list"))
         self.cut = F.slice("_list", F.lit(1), length)
+        # A try that is certain needs no edge test; it is sent to a key that
+        # matches nothing and is shared by few.
+        nowhere = -1 - F.pmod(F.col("walk_id"), F.lit(_SPREAD))
+        self.tie = F.when(F.col("sure"), nowhere).otherwise(F.col("prev"))
+        # Rows a walker adds to one (node, position), were all positions equal.
+        self.load = F.ceil(F.count(F.lit(1)) * F.lit(1.0 / least * most) / F.max("degree"))
 
     def _keep_columns(self, p, q):
         weight = (
@@ -220,7 +234,28 @@ class _Rounds:
             then(F.lit(0), "tried").cast("bigint").alias("tried"),
         ]
 
-    def after(self, frontier: DataFrame) -> DataFrame:
+    def _look_up(self, draws: DataFrame, frontier: DataFrame, n_walkers: int) -> DataFrame:
+        """The drawn neighbour of each try.
+
+        Positions spread the walkers at a hub, but many walkers may stand at a
+        node with few out-edges. Such nodes are found by counting the frontier
+        and their rows are salted. With fewer walkers than ``hot_rows`` no node
+        can be hot, and the count is not made.
+        """
+        if n_walkers < self.hot_rows:
+            return draws.join(self.neighbours, ["cur", "pos"])
+        load = frontier.groupBy("cur").agg(self.load.alias("n"))
+        hot = F.broadcast(hot_keys(load, ["cur"], hot_rows=self.hot_rows))
+        slices = F.coalesce("_slices", F.lit(1))
+        left = draws.join(hot, "cur", "left").withColumn(
+            "_salt", F.pmod(F.xxhash64("walk_id", "try"), slices).cast("int")
+        ).drop("_slices")
+        right = self.neighbours.join(hot, "cur", "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), slices - 1))
+        ).drop("_slices")
+        return left.join(right, ["cur", "pos", "_salt"]).drop("_salt")
+
+    def after(self, frontier: DataFrame, n_walkers: int) -> DataFrame:
         """The walkers after a round: moved on, or with more tries behind them."""
         draws = (
             frontier.withColumn("_list", self.listed)
@@ -228,8 +263,9 @@ class _Rounds:
             .select(*frontier.columns, F.size("_list").alias("made"), F.inline_outer("_list"))
         )
         return (
-            draws.join(self.neighbours, ["cur", "pos"])
-            .join(self.links, ["prev", "x"], "left")
+            self._look_up(draws, frontier, n_walkers)
+            .withColumn("tie", self.tie)
+            .join(self.links, ["tie", "x"], "left")
             .where(self.useful)
             .groupBy(*_STATE)
             .agg(*self.outcome)
@@ -245,6 +281,7 @@ def visits(
     q: float = config.IN_OUT_Q,
     seed: int = 0,
     tries: int = config.TRIES_PER_ROUND,
+    hot_rows: int = config.HOT_ROWS,
 ) -> DataFrame:
     """All visits of all walks: ``walk_id, step, node, prev`` with node numbers.
 
@@ -268,16 +305,17 @@ def visits(
     )
     schema = current.schema
     can_move = (F.col("degree") > 0) & (F.col("step") < walk_length - 1)
-    rounds = _Rounds(walk_graph, p, q, seed, tries)
+    rounds = _Rounds(walk_graph, p, q, seed, tries, hot_rows)
     number = 0
     while True:
         path = f"{folder}/round={number}"
         seen = Observation()
         current.observe(seen, F.count_if(can_move).alias("live")).write.parquet(path)
-        if not seen.get["live"]:
+        n_walkers = seen.get["live"]
+        if not n_walkers:
             break
         live = spark.read.schema(schema).parquet(path).where(can_move)
-        current = rounds.after(live)
+        current = rounds.after(live, n_walkers)
         number += 1
     # A walker is written once on arrival (no tries yet) and once per round it waits.
     return (

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_scratch = {}
+_written = []
 
 
 def local_session(cpus="*", partitions=8, app="tastegraph", memory="16g") -> SparkSession:
@@ -45,7 +46,21 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the scratch folder."""
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote to the scratch folder.
+
+    To be called once no DataFrame built on it is needed any more.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
