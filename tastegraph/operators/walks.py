@@ -24,6 +24,7 @@ one is kept, and goes on with later tries if none is. Each round is written to
 the scratch folder; those files are also the record of all visits.
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -44,6 +45,7 @@ class WalkGraph:
     links: DataFrame      # src, dst, as node numbers, distinct
     neighbours: DataFrame  # src, pos, dst, degree (of dst), back (dst -> src exists)
     starts: DataFrame     # node, degree
+    n_nodes: int
 
 
 def number_nodes(edges: DataFrame) -> DataFrame:
@@ -134,12 +136,22 @@ def prepare(
     starts = nodes.join(degrees, nodes["node"] == degrees["src"], "left").select(
         "node", F.coalesce("degree", F.lit(0)).alias("degree")
     )
-    return WalkGraph(nodes, links, neighbours, starts)
+    return WalkGraph(nodes, links, neighbours, starts, n_nodes)
 
 
 _SPREAD = 1_000_003
-
+_SCALE = 2**52
 _STATE = ["walk_id", "step", "prev", "prev_degree", "cur", "degree", "back"]
+# Offset of a try within its round, above the number it is packed with.
+_OFFSET_BITS = 56
+
+
+def _packed(offset: Column, number: Column) -> Column:
+    return F.shiftleft(offset.cast("bigint"), _OFFSET_BITS).bitwiseOR(number.cast("bigint"))
+
+
+def _unpacked(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))
 
 
 class _Rounds:
@@ -148,9 +160,16 @@ class _Rounds:
     The expressions are the same in every round, so they are built once.
     """
 
-    def __init__(
-        self, walk_graph: WalkGraph, p: float, q: float, seed: int, tries: int, hot_rows: int
-    ):
+    def __init__(self, walk_graph: WalkGraph, p: float, q: float, seed: int, hot_rows: int):
+        self.most = max(1.0, 1.0 / q)
+        self.extra = max(0.0, 1.0 / p - self.most)
+        self.least = min(1.0 / p, 1.0, 1.0 / q)
+        self.weight = (
+            F.when(F.col("x") == F.col("prev"), 1.0 / p)
+            .when(F.col("linked"), 1.0)
+            .otherwise(1.0 / q)
+        )
+        self.key = F.concat_ws("|", F.lit(str(seed)), "walk_id", "step", F.lit(""))
         self.hot_rows = hot_rows
         self.neighbours = walk_graph.neighbours.select(
             F.col("src").alias("cur"), "pos", F.col("dst").alias("x"),
@@ -159,65 +178,50 @@ class _Rounds:
         self.links = walk_graph.links.select(
             F.col("src").alias("tie"), F.col("dst").alias("x"), F.lit(True).alias("linked")
         )
-        self._draw_columns(p, q, seed, tries)
-        self._keep_columns(p, q)
-
-    def _draw_columns(self, p, q, seed, tries):
-        most = max(1.0, 1.0 / q)
-        extra = max(0.0, 1.0 / p - most)
-        least = min(1.0 / p, 1.0, 1.0 / q)
-        scale = float(2**52)
-        first_step = F.col("step") == 0
-        degree = F.col("degree")
-
-        def one_try(number: Column) -> Column:
-            key = F.concat_ws("|", F.lit(str(seed)), F.col("walk_id"), F.col("step"), number)
-            digest = F.md5(key.cast("binary"))
-            u1 = hex_number(digest, 1, 13) / scale
-            u2 = hex_number(digest, 14, 13) / scale
-            bound = degree * most
-            x = u1 * (bound + F.when(F.col("back") & ~first_step, F.lit(extra)).otherwise(0.0))
-            ret = x >= bound
-            # A straight return looks nothing up; a spread position keeps its row
-            # from piling up with others.
-            place = F.when(ret, u2 * degree).otherwise(x / most)
-            return F.struct(
-                number.alias("try"),
-                F.least(F.floor(place).cast("bigint"), degree - 1).alias("pos"),
-                ret.alias("ret"),
-                (u2 * most).alias("level"),
-                (first_step | ret | (degree == 1) | (u2 * most < least)).alias("sure"),
-            )
+        self._draw_columns()
+        self._keep_columns()
 
-        last = F.col("tried") + F.when(first_step, 0).otherwise(tries - 1)
-        self.listed = F.transform(F.sequence(F.col("tried"), last), one_try)
-        # Tries after one that is certain to be kept could never be used.
-        stop = F.array_position(F.transform(F.col("_list"), lambda t: t["sure"]), True)
-        length = F.when(stop > 0, stop.cast("int")).otherwise(F.size("_list"))
-        self.cut = F.slice("_list", F.lit(1), length)
-        # A try that is certain needs no edge test; it is sent to a key that
-        # matches nothing and is shared by few.
+    def _draw_columns(self):
+        degree = F.col("degree")
+        u1 = hex_number(F.col("digest"), 1, 13) / float(_SCALE)
+        u2 = hex_number(F.col("digest"), 14, 13) / float(_SCALE)
+        bound = degree * self.most
+        x = u1 * (bound + F.when(F.col("back"), F.lit(self.extra)).otherwise(0.0))
+        ret = x >= bound
+        level = u2 * self.most
+        # A straight return looks nothing up; a spread position keeps its row
+        # from piling up with others.
+        place = F.when(ret, u2 * degree).otherwise(x / self.most)
+        sure = ret | (degree == 1) | (level < self.least)
         nowhere = -1 - F.pmod(F.col("walk_id"), F.lit(_SPREAD))
-        self.tie = F.when(F.col("sure"), nowhere).otherwise(F.col("prev"))
-        # Rows a walker adds to one (node, position), were all positions equal.
-        self.load = F.ceil(F.count(F.lit(1)) * F.lit(1.0 / least * most) / F.max("degree"))
-
-    def _keep_columns(self, p, q):
-        weight = (
-            F.when(F.col("x") == F.col("prev"), 1.0 / p)
-            .when(F.col("linked"), 1.0)
-            .otherwise(1.0 / q)
-        )
-        kept = F.col("sure") | (F.col("level") < weight)
-        made = F.col("tried") + F.col("made")
-        target = F.struct(
-            F.when(kept, F.col("try")).alias("at"),
-            F.when(F.col("ret"), F.col("prev")).otherwise(F.col("x")).alias("node"),
-            F.when(F.col("ret"), F.col("prev_degree")).otherwise(F.col("x_degree")).alias("degree"),
-            F.when(F.col("ret"), True).otherwise(F.col("x_back")).alias("back"),
-        )
-        self.useful = kept | (F.col("try") == made - 1)
-        self.outcome = [F.min(F.when(kept, target)).alias("to"), F.max(made).alias("tried")]
+        self.draw = {
+            "pos": F.least(F.floor(place).cast("bigint"), degree - 1),
+            "ret": ret,
+            "level": level,
+            "sure": sure,
+            # A try that is certain needs no edge test; it is sent to a key that
+            # matches nothing and is shared by few.
+            "tie": F.when(sure, nowhere).otherwise(F.col("prev")),
+        }
+        # The digits of u2 alone tell that a try is certain: hex digits of one
+        # length compare as text like the numbers they spell.
+        certain = math.ceil(min(1.0, self.least / self.most) * _SCALE)
+        self.certain = lambda digest: F.substring(digest, 14, 13) < f"{certain:013x}"
+        self.load = F.ceil(F.count(F.lit(1)) * F.lit(self.most / self.least) / F.max("degree"))
+
+    def _keep_columns(self):
+        kept = F.col("sure") | (F.col("level") < self.weight)
+        node = F.when(F.col("ret"), F.col("prev")).otherwise(F.col("x"))
+        degree = F.when(F.col("ret"), F.col("prev_degree")).otherwise(F.col("x_degree"))
+        back = F.when(F.col("ret"), True).otherwise(F.col("x_back"))
+        info = F.shiftleft(degree, 1) + back.cast("bigint")
+        # Both minima come from the first kept try: the offset stands on top.
+        self.outcome = [
+            F.min(F.when(kept, _packed(F.col("offset"), node))).alias("to"),
+            F.min(F.when(kept, _packed(F.col("offset"), info))).alias("info"),
+            F.max(F.col("tried") + F.col("made")).alias("tried"),
+        ]
+        self.useful = kept | (F.col("offset") == F.col("made") - 1)
         moved = F.col("to").isNotNull()
 
         def then(new, old):
@@ -228,12 +232,50 @@ class _Rounds:
             then(F.col("step") + 1, "step").alias("step"),
             then(F.col("cur"), "prev").alias("prev"),
             then(F.col("degree"), "prev_degree").alias("prev_degree"),
-            then(F.col("to.node"), "cur").alias("cur"),
-            then(F.col("to.degree"), "degree").alias("degree"),
-            then(F.col("to.back"), "back").alias("back"),
+            then(_unpacked(F.col("to")), "cur").alias("cur"),
+            then(F.shiftright(_unpacked(F.col("info")), 1), "degree").alias("degree"),
+            then(F.col("info").bitwiseAND(F.lit(1)) == 1, "back").alias("back"),
             then(F.lit(0), "tried").cast("bigint").alias("tried"),
         ]
 
+    def first(self, starts: DataFrame) -> DataFrame:
+        """The first step of every walk, which has no bias: one draw, always kept.
+
+        Every node has the same number of walkers here, so nothing can be hot.
+        """
+        drawn = starts.withColumn("digest", F.md5(F.concat(self.key, F.lit("0")).cast("binary")))
+        return drawn.withColumn("pos", self.draw["pos"]).join(
+            self.neighbours, ["cur", "pos"]
+        ).select(
+            "walk_id",
+            (F.col("step") + 1).alias("step"),
+            F.col("cur").alias("prev"),
+            F.col("degree").alias("prev_degree"),
+            F.col("x").alias("cur"),
+            F.col("x_degree").alias("degree"),
+            F.col("x_back").alias("back"),
+            F.lit(0).cast("bigint").alias("tried"),
+        )
+
+    def _tries(self, frontier: DataFrame, tries: int) -> DataFrame:
+        """One row per try, up to the first that is certain to be kept."""
+        many = F.when(F.col("degree") == 1, 1).otherwise(tries)
+        numbers = F.sequence(F.col("tried"), F.col("tried") + many - 1)
+        digests = F.transform(numbers, lambda n: F.md5(F.concat("_key", n).cast("binary")))
+        stop = F.array_position(F.transform("_digests", self.certain), True)
+        length = F.when(stop > 0, stop.cast("int")).otherwise(F.size("_digests"))
+        return (
+            frontier.withColumn("_key", self.key)
+            .withColumn("_digests", digests)
+            .withColumn("_digests", F.slice("_digests", F.lit(1), length))
+            .select(
+                *frontier.columns, F.size("_digests").alias("made"),
+                F.posexplode_outer("_digests").alias("offset", "digest"),
+            )
+            .withColumns(self.draw)
+            .drop("digest")
+        )
+
     def _look_up(self, draws: DataFrame, frontier: DataFrame, n_walkers: int) -> DataFrame:
         """The drawn neighbour of each try.
 
@@ -248,24 +290,18 @@ class _Rounds:
         hot = F.broadcast(hot_keys(load, ["cur"], hot_rows=self.hot_rows))
         slices = F.coalesce("_slices", F.lit(1))
         left = draws.join(hot, "cur", "left").withColumn(
-            "_salt", F.pmod(F.xxhash64("walk_id", "try"), slices).cast("int")
+            "_salt", F.pmod(F.xxhash64("walk_id", "offset"), slices).cast("int")
         ).drop("_slices")
         right = self.neighbours.join(hot, "cur", "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), slices - 1))
         ).drop("_slices")
         return left.join(right, ["cur", "pos", "_salt"]).drop("_salt")
 
-    def after(self, frontier: DataFrame, n_walkers: int) -> DataFrame:
+    def after(self, frontier: DataFrame, n_walkers: int, tries: int) -> DataFrame:
         """The walkers after a round: moved on, or with more tries behind them."""
-        draws = (
-            frontier.withColumn("_list", self.listed)
-            .withColumn("_list", self.cut)
-            .select(*frontier.columns, F.size("_list").alias("made"), F.inline_outer("_list"))
-        )
+        drawn = self._look_up(self._tries(frontier, tries), frontier, n_walkers)
         return (
-            self._look_up(draws, frontier, n_walkers)
-            .withColumn("tie", self.tie)
-            .join(self.links, ["tie", "x"], "left")
+            drawn.join(self.links, ["tie", "x"], "left")
             .where(self.useful)
             .groupBy(*_STATE)
             .agg(*self.outcome)
@@ -291,7 +327,13 @@ def visits(
     """
     spark = walk_graph.starts.sparkSession
     folder = scratch_path(spark, "walks")
-    current = walk_graph.starts.withColumn(
+    # Sized by the walkers to come: a small node table would otherwise put all
+    # of them into a few tasks, here and in the rounds that read its files.
+    tasks = max(
+        spark.sparkContext.defaultParallelism,
+        -(-walk_graph.n_nodes * num_walks // config.WALKERS_PER_TASK),
+    )
+    current = walk_graph.starts.repartition(tasks, "node").withColumn(
         "k", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1)))
     ).select(
         (F.col("node") * num_walks + F.col("k")).alias("walk_id"),
@@ -305,7 +347,7 @@ def visits(
     )
     schema = current.schema
     can_move = (F.col("degree") > 0) & (F.col("step") < walk_length - 1)
-    rounds = _Rounds(walk_graph, p, q, seed, tries, hot_rows)
+    rounds = _Rounds(walk_graph, p, q, seed, hot_rows)
     number = 0
     while True:
         path = f"{folder}/round={number}"
@@ -315,7 +357,12 @@ def visits(
         if not n_walkers:
             break
         live = spark.read.schema(schema).parquet(path).where(can_move)
-        current = rounds.after(live, n_walkers)
+        if number == 0:
+            current = rounds.first(live)
+        else:
+            # Few walkers: fewer rounds count. Many: so does the work per round.
+            batch = tries if n_walkers >= hot_rows else 2 * tries
+            current = rounds.after(live, n_walkers, batch)
         number += 1
     # A walker is written once on arrival (no tries yet) and once per round it waits.
     return (
