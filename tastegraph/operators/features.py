@@ -64,41 +64,47 @@ def user_credibility(reviews: DataFrame) -> DataFrame:
 # ---- per-row projections ---------------------------------------------------
 
 def user_interactions(users: DataFrame) -> DataFrame:
-    return users.select("user_id", *[F.col(c).cast("bigint").alias(c) for c in config.INTERACTIONS])
+    return users.selectExpr("user_id", *[f"cast({c} as bigint) as {c}" for c in config.INTERACTIONS])
 
 
 def user_compliments(users: DataFrame) -> DataFrame:
     names = [f"compliment_{name}" for name in config.COMPLIMENTS]
-    return users.select("user_id", *[F.col(c).cast("bigint").alias(c) for c in names])
+    return users.selectExpr("user_id", *[f"cast({c} as bigint) as {c}" for c in names])
 
 
 def business_profile(business: DataFrame) -> DataFrame:
     """Columns taken from the business table, unique by id."""
-    return business.select(
+    return business.selectExpr(
         "business_id",
-        F.col("review_count").cast("bigint").alias("bid_num_review"),
-        F.col("stars").alias("bid_avg_stars"),
+        "cast(review_count as bigint) as bid_num_review",
+        "stars as bid_avg_stars",
         "city",
-        F.col("is_open").cast("int").alias("is_open"),
-        F.lit(True).alias("_known"),
+        "cast(is_open as int) as is_open",
+        "true as _known",
     )
 
 
 def user_profile(users: DataFrame, as_of: int = config.AS_OF_YEAR) -> DataFrame:
     """Columns taken from the user table, unique by id."""
-    return users.select(
+    counts = {
+        "uid_num_fans": "fans",
+        "uid_num_reviews": "review_count",
+        **{f"uid_{c}": c for c in config.INTERACTIONS},
+        **{f"uid_compliment_{c}": f"compliment_{c}" for c in config.COMPLIMENTS},
+    }
+    derived = users.withColumns(
+        {
+            "uid_num_friends": text.num_friends(F.col("friends")),
+            "uid_years_on_site": text.years_on_site(F.col("yelping_since"), as_of),
+        }
+    )
+    return derived.selectExpr(
         "user_id",
-        F.col("fans").cast("bigint").alias("uid_num_fans"),
-        F.col("review_count").cast("bigint").alias("uid_num_reviews"),
-        F.col("average_stars").alias("uid_avg_stars"),
-        text.num_friends(F.col("friends")).alias("uid_num_friends"),
-        *[F.col(c).cast("bigint").alias(f"uid_{c}") for c in config.INTERACTIONS],
-        *[
-            F.col(f"compliment_{c}").cast("bigint").alias(f"uid_compliment_{c}")
-            for c in config.COMPLIMENTS
-        ],
-        text.years_on_site(F.col("yelping_since"), as_of).alias("uid_years_on_site"),
-        F.lit(True).alias("_known"),
+        "average_stars as uid_avg_stars",
+        "uid_num_friends",
+        "uid_years_on_site",
+        *[f"cast({source} as bigint) as {name}" for name, source in counts.items()],
+        "true as _known",
     )
 
 
@@ -112,14 +118,17 @@ _GROUPED = {"city", "is_open"} | {
 }
 
 
-def _with_default(name: str, default) -> Column:
+def _with_default(name: str, default) -> str:
+    """SQL for a column after a left join, with its default."""
+    if isinstance(default, float):
+        default = f"{default}d"
+    elif isinstance(default, str):
+        default = f"'{default}'"
+    elif name != "is_open":
+        default = f"{default}L"
     if name in _GROUPED:
-        return F.when(F.col("_known"), F.col(name)).otherwise(F.lit(default)).alias(name)
-    if isinstance(default, int):
-        default = F.lit(default).cast("bigint")
-    else:
-        default = F.lit(default)
-    return F.coalesce(F.col(name), default).alias(name)
+        return f"case when _known then {name} else {default} end as {name}"
+    return f"coalesce({name}, {default}) as {name}"
 
 
 def item_features(
@@ -143,7 +152,7 @@ def item_features(
         joined = joined.join(
             star_variance(reviews, "business_id", "bid_var_stars"), "business_id", "left"
         )
-    return joined.select(*keys.columns, *[_with_default(k, v) for k, v in names.items()])
+    return joined.selectExpr(*keys.columns, *[_with_default(k, v) for k, v in names.items()])
 
 
 def user_features(
@@ -161,7 +170,7 @@ def user_features(
         joined = joined.join(
             star_variance(reviews, "user_id", "uid_var_stars"), "user_id", "left"
         )
-    return joined.select(*keys.columns, *[_with_default(k, v) for k, v in names.items()])
+    return joined.selectExpr(*keys.columns, *[_with_default(k, v) for k, v in names.items()])
 
 
 def attach_vector(

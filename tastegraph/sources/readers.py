@@ -40,20 +40,25 @@ def read_pairs(
     return _read_delimited(spark, path, schemas.RATINGS if with_stars else schemas.PAIRS, header)
 
 
+def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; a line that is not JSON stops the job instead of becoming nulls."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_business(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.BUSINESS).json(path)
+    return _read_json(spark, path, schemas.BUSINESS)
 
 
 def read_photo(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PHOTO).json(path)
+    return _read_json(spark, path, schemas.PHOTO)
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REVIEWS).json(path)
+    return _read_json(spark, path, schemas.REVIEWS)
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.USERS).json(path)
+    return _read_json(spark, path, schemas.USERS)
 
 
 def read_vectors(spark: SparkSession, path: str, size: int) -> DataFrame:

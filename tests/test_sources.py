@@ -56,3 +56,39 @@ def test_vectors_round_trip(spark, folder):
     assert sorted(map(tuple, readers.read_vectors(spark, path, 2).collect())) == [
         ("x", [1.5, -2.0]), ("y", [0.0, 3.25])
     ]
+
+
+def test_broken_json_line_raises(spark, folder):
+    path = os.path.join(folder, "photo.json")
+    with open(path, "w") as f:
+        f.write('{"business_id": "b1", "photo_id": "p", "label": "food"}\n{"business_id": "b2", \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_photo(spark, path).collect()
+
+
+def test_scratch_folder_is_the_one_the_cluster_names():
+    from types import SimpleNamespace
+
+    from tastegraph.session import scratch_root
+
+    def session(settings, master="spark://x", own=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default: settings.get(name, default)),
+            sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: own),
+        )
+
+    assert scratch_root(session({"spark.checkpoint.dir": "hdfs://n/x"})) == "hdfs://n/x"
+    assert scratch_root(session({}, own="hdfs://n/own")) == "hdfs://n/own"
+    with pytest.raises(ValueError):
+        scratch_root(session({}))
+
+
+def test_scratch_is_dropped(spark):
+    from tastegraph.session import drop_scratch, materialise
+
+    df = materialise(spark.range(3), "x")
+    assert df.count() == 3
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    drop_scratch(spark)
+    assert not os.path.exists(path)
