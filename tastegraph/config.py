@@ -58,8 +58,8 @@ MODEL2_FOLDS = 10
 # Sizes below change speed and memory only, never a result.
 HOT_ROWS = 1_000_000          # rows of one key from which the key is salted
 MAX_HOT_KEYS = 1_024          # bound on the broadcast list of salted keys
-MAX_SALTS = 256               # slices of the hottest key
-HOT_SLICES = 64               # ranges in which a hub's neighbours are numbered
+MAX_SALTS = 4_096             # slices of the hottest key
+HOT_SLICES = 1_024            # most ranges in which a hub's neighbours are numbered
 TRIES_PER_ROUND = 8            # draws a walker makes per round, at most 63
 WALKERS_PER_TASK = 1_000_000  # walkers one task starts
 WALKS_PER_TASK = 200_000      # walks one skip-gram task trains on

@@ -178,8 +178,7 @@ def attach_vector(
 ) -> DataFrame:
     """Rows with the vector of ``node`` in column ``name``; zeros when it has none.
 
-    For tables with one row per node; pairs go through
-    :func:`tastegraph.operators.vectors.with_vector`.
+    For tables with one row per node.
     """
     keyed = vectors.select(F.col("id").alias("_node"), F.col("embedding").alias(name))
     return (

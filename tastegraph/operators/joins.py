@@ -100,12 +100,15 @@ def skew_join(
     on: list[str],
     how: str = "left",
     hot_rows: int = config.HOT_ROWS,
+    counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """:func:`salted_join` that counts the left keys itself.
 
     The count reads the key columns only and is combined before it is shuffled.
+    When ``left`` is itself a join, ``counts_from`` names the table its keys
+    come from, so that counting does not repeat that join.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    counts = (left if counts_from is None else counts_from).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     return salted_join(left, right, on, hot_keys(counts, on, hot_rows=hot_rows), how)
 
 

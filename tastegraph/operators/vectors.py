@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tastegraph import config
 from tastegraph.functions import ids
-from tastegraph.operators.features import zeros_like
+from tastegraph.operators.features import attach_vector, key_counts
 from tastegraph.operators.graph import category_labels
-from tastegraph.operators.joins import skew_join
+from tastegraph.operators.joins import counted_join, skew_join
 from tastegraph.session import materialise
 
 
@@ -176,30 +176,40 @@ def category_mean_vector(
 def with_vector(
     pairs: DataFrame,
     vectors: DataFrame,
+    key: str,
     node: Column,
     name: str,
     size: int,
     hot_rows: int = config.HOT_ROWS,
+    counts_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Pairs with the vector of ``node`` in column ``name``; zeros when it has none."""
-    keyed = vectors.select(F.col("id").alias("_node"), F.col("embedding").alias(name))
-    return (
-        skew_join(pairs.withColumn("_node", node), keyed, ["_node"], "left", hot_rows)
-        .withColumn(name, F.coalesce(name, zeros_like(vectors, size)))
-        .drop("_node")
+    """Pairs with the vector of their ``node`` in column ``name``, zeros without one.
+
+    The vectors are first looked up for the distinct keys. ``counts_from`` names
+    the table the keys come from when ``pairs`` is itself a join.
+    """
+    keys = key_counts(pairs if counts_from is None else counts_from, key)
+    return counted_join(
+        pairs, attach_vector(keys, vectors, node, name, size), [key], keys, hot_rows
     )
 
 
-def with_user_vector(pairs, vectors, size, hot_rows=config.HOT_ROWS) -> DataFrame:
+def with_user_vector(
+    pairs, vectors, size, hot_rows=config.HOT_ROWS, counts_from=None
+) -> DataFrame:
+    node = ids.user_node(F.col("user_id"))
     return with_vector(
-        pairs, vectors, ids.user_node(F.col("user_id")), "user_vec", size, hot_rows
+        pairs, vectors, "user_id", node, "user_vec", size, hot_rows, counts_from
     )
 
 
-def with_item_vector(pairs, vectors, size, hot_rows=config.HOT_ROWS) -> DataFrame:
+def with_item_vector(
+    pairs, vectors, size, hot_rows=config.HOT_ROWS, counts_from=None
+) -> DataFrame:
     """Joins either plain business vectors or category means; both are keyed by node id."""
+    node = ids.business_node(F.col("business_id"))
     return with_vector(
-        pairs, vectors, ids.business_node(F.col("business_id")), "item_vec", size, hot_rows
+        pairs, vectors, "business_id", node, "item_vec", size, hot_rows, counts_from
     )
 
 

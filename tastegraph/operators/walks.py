@@ -62,21 +62,21 @@ def number_neighbours(
     links: DataFrame,
     degrees: DataFrame,
     n_nodes: int,
-    slices: int = config.HOT_SLICES,
     hot_rows: int = config.HOT_ROWS,
 ) -> DataFrame:
     """Position of each edge among the edges of its source, in order of ``dst``.
 
-    A hub's neighbours are numbered in ``slices`` ranges of ``dst``, each
-    shifted by the size of the ranges below. The ranges list only the hubs, at
-    most ``MAX_HOT_KEYS``, so it is broadcast.
+    A hub's neighbours are numbered in ranges of ``dst`` of about ``hot_rows``
+    edges, each shifted by the size of the ranges below. The list of ranges has
+    one row per million edges of a hub, and no more than ``MAX_HOT_KEYS`` x
+    ``HOT_SLICES``, so it is broadcast.
     """
-    hubs = hot_keys(degrees, ["src"], "degree", hot_rows).select("src", F.lit(True).alias("_hub"))
+    hubs = hot_keys(degrees, ["src"], "degree", hot_rows, max_salts=config.HOT_SLICES)
+    place = F.floor(F.col("dst") * F.col("_slices") / n_nodes).cast("int")
     marked = links.join(F.broadcast(hubs), "src", "left").withColumn(
-        "_slice",
-        F.when(F.col("_hub"), F.floor(F.col("dst") * slices / n_nodes).cast("int")).otherwise(0),
+        "_slice", F.when(F.col("_slices").isNotNull(), place).otherwise(0)
     )
-    sizes = marked.where(F.col("_hub")).groupBy("src", "_slice").agg(
+    sizes = marked.where(F.col("_slices").isNotNull()).groupBy("src", "_slice").agg(
         F.count(F.lit(1)).alias("_size")
     )
     below = Window.partitionBy("src").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,6 +171,12 @@ class _Rounds:
         )
         self.key = F.concat_ws("|", F.lit(str(seed)), "walk_id", "step", F.lit(""))
         self.hot_rows = hot_rows
+        self.batches = {}
+        self.exploded = [
+            *[F.col(name) for name in [*_STATE, "tried"]],
+            F.size("_digests").alias("made"),
+            F.posexplode_outer("_digests").alias("offset", "digest"),
+        ]
         self.neighbours = walk_graph.neighbours.select(
             F.col("src").alias("cur"), "pos", F.col("dst").alias("x"),
             F.col("degree").alias("x_degree"), F.col("back").alias("x_back"),
@@ -257,23 +263,25 @@ class _Rounds:
             F.lit(0).cast("bigint").alias("tried"),
         )
 
-    def _tries(self, frontier: DataFrame, tries: int) -> DataFrame:
-        """One row per try, up to the first that is certain to be kept."""
+    def _try_columns(self, tries: int):
         many = F.when(F.col("degree") == 1, 1).otherwise(tries)
         numbers = F.sequence(F.col("tried"), F.col("tried") + many - 1)
         digests = F.transform(numbers, lambda n: F.md5(F.concat("_key", n).cast("binary")))
         stop = F.array_position(F.transform("_digests", self.certain), True)
         length = F.when(stop > 0, stop.cast("int")).otherwise(F.size("_digests"))
+        return digests, F.slice("_digests", F.lit(1), length)
+
+    def _tries(self, frontier: DataFrame, tries: int) -> DataFrame:
+        """One row per try, up to the first that is certain to be kept."""
+        if tries not in self.batches:
+            self.batches[tries] = self._try_columns(tries)
+        digests, cut = self.batches[tries]
         return (
             frontier.withColumn("_key", self.key)
             .withColumn("_digests", digests)
-            .withColumn("_digests", F.slice("_digests", F.lit(1), length))
-            .select(
-                *frontier.columns, F.size("_digests").alias("made"),
-                F.posexplode_outer("_digests").alias("offset", "digest"),
-            )
+            .withColumn("_digests", cut)
+            .select(*self.exploded)
             .withColumns(self.draw)
-            .drop("digest")
         )
 
     def _look_up(self, draws: DataFrame, frontier: DataFrame, n_walkers: int) -> DataFrame:

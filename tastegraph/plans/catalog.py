@@ -346,7 +346,8 @@ def pairs_with_business_vector(fx):
 @query
 def pairs_with_both_vectors(fx):
     both = vectors.with_item_vector(
-        vectors.with_user_vector(fx.pairs, fx.vectors, VECTOR_DIM), fx.vectors, VECTOR_DIM
+        vectors.with_user_vector(fx.pairs, fx.vectors, VECTOR_DIM), fx.vectors, VECTOR_DIM,
+        counts_from=fx.pairs,
     )
     return vector_sums(vector_sums(both, "user_vec"), "item_vec")
 
@@ -536,7 +537,9 @@ def blended_model_scores(fx):
 
 def _baseline_scores(fx):
     by_item = evaluate.mean_scores(fx.pairs, fx.ratings, "business_id", "score_x")
-    return evaluate.mean_scores(by_item, fx.ratings, "user_id", "score_c")
+    return evaluate.mean_scores(
+        by_item, fx.ratings, "user_id", "score_c", counts_from=fx.pairs
+    )
 
 
 def _baseline_predictions(fx):
