@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegraph import config
-from tastegraph.functions import ids
+from tastegraph.functions import ids, text
 from tastegraph.operators.features import attach_vector, key_counts
-from tastegraph.operators.graph import category_labels
 from tastegraph.operators.joins import counted_join, skew_join
 from tastegraph.session import materialise
 
@@ -137,13 +136,14 @@ def category_connections(business: DataFrame) -> DataFrame:
     """``business, node`` rows that take part in a business' category vector.
 
     One row per label, repeats and empty labels kept, and one for the business
-    itself when it has any label.
+    itself when it has any label. All come from the business' own row, so
+    nothing is shuffled; the table must have one row per business.
     """
-    node = ids.business_node(F.col("business_id"))
-    labels = category_labels(business, keep_empty=True).select(
-        node.alias("business"), ids.label_node(F.col("label")).alias("node")
+    own = ids.business_node(F.col("business_id"))
+    labels = F.transform(text.clean_labels(F.col("categories")), ids.label_node)
+    return business.select(
+        own.alias("business"), F.explode(F.concat(labels, F.array(own))).alias("node")
     )
-    return labels.unionByName(labels.select("business", F.col("business").alias("node")).distinct())
 
 
 def _connected_vectors(business: DataFrame, vectors: DataFrame, size: int, hot_rows: int):

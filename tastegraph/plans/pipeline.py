@@ -1,7 +1,7 @@
 """The three jobs end to end: node vectors, training, scoring."""
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from tastegraph import config
 from tastegraph.functions import scores
 from tastegraph.operators import features, graph, matrix, models, vectors, walks
 from tastegraph.operators.joins import assert_unique
+from tastegraph.session import materialise, temporary_scratch
 from tastegraph.sources import readers, schemas, writers
 
 
@@ -40,6 +41,20 @@ class Inputs:
             users=readers.read_users(spark, path("users")),
         )
 
+    def stored(self) -> "Inputs":
+        """The same with the tables that are read several times stored in columns.
+
+        Text and JSON cannot be read column by column, and each scan would
+        parse every line again.
+        """
+        return replace(
+            self,
+            ratings=materialise(self.ratings, "ratings"),
+            pairs=materialise(self.pairs, "pairs"),
+            business=materialise(self.business, "business"),
+            users=materialise(self.users, "users"),
+        )
+
     def check(self) -> None:
         """Profile tables must have one row per id, or joins would add pairs."""
         assert_unique(self.business, ["business_id"], "business")
@@ -72,9 +87,10 @@ def run_embedding(
     spark: SparkSession, folder: str, pairs_path: str, vectors_path: str, **settings
 ) -> None:
     """Read the inputs, learn the vectors and store them as ``id, embedding``."""
-    inputs = Inputs.read(spark, folder, pairs_path)
-    inputs.check()
-    embed(inputs, **settings).write.parquet(vectors_path)
+    with temporary_scratch(spark):
+        inputs = Inputs.read(spark, folder, pairs_path).stored()
+        inputs.check()
+        embed(inputs, **settings).write.parquet(vectors_path)
 
 
 # ---- job 2: training -------------------------------------------------------------
@@ -151,9 +167,10 @@ def run_training(
     spark: SparkSession, folder: str, pairs_path: str, vectors_path: str, models_path: str,
     size: int = config.VECTOR_SIZE, **settings,
 ) -> None:
-    inputs = Inputs.read(spark, folder, pairs_path)
-    inputs.check()
-    train(inputs, spark.read.parquet(vectors_path), size, **settings).save(models_path)
+    with temporary_scratch(spark):
+        inputs = Inputs.read(spark, folder, pairs_path).stored()
+        inputs.check()
+        train(inputs, spark.read.parquet(vectors_path), size, **settings).save(models_path)
 
 
 # ---- job 3: scoring --------------------------------------------------------------
@@ -173,7 +190,8 @@ def run_scoring(
     spark: SparkSession, folder: str, pairs_path: str, vectors_path: str, models_path: str,
     out_path: str, size: int = config.VECTOR_SIZE,
 ) -> None:
-    inputs = Inputs.read(spark, folder, pairs_path)
-    inputs.check()
-    predictions = score(inputs, spark.read.parquet(vectors_path), Trained.load(models_path), size)
-    writers.write_predictions(predictions, out_path)
+    with temporary_scratch(spark):
+        inputs = Inputs.read(spark, folder, pairs_path).stored()
+        inputs.check()
+        node_vectors, trained = spark.read.parquet(vectors_path), Trained.load(models_path)
+        writers.write_predictions(score(inputs, node_vectors, trained, size), out_path)

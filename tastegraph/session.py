@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,18 +52,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what this process wrote to the scratch folder.
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete what this process wrote to the scratch folder after ``since`` paths.
 
     To be called once no DataFrame built on it is needed any more.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def temporary_scratch(spark: SparkSession):
+    """Delete at the end what was written to the scratch folder inside the block."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_scratch(spark, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
