@@ -80,7 +80,7 @@ def test_jobs_end_to_end(spark, fx, tmp_path):
     folder = str(tmp_path)
     from tastegraph.sources import schemas, writers
 
-    writers.write_ratings(fx.ratings, f"{folder}/{schemas.FILES['ratings']}")
+    writers.write_ratings(fx.ratings, f"{folder}/some_train.csv")
     writers.write_ratings(fx.pairs.select("user_id", "business_id"), f"{folder}/pairs.csv")
     for name in ("business", "photo", "reviews", "users"):
         getattr(fx, name).write.json(f"{folder}/{schemas.FILES[name]}")
