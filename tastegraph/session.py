@@ -1,14 +1,18 @@
 """Session settings and the shared scratch folder."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_scratch = {}
-_written = []
+#: Paths written, by nested block; the first list is that of the process.
+_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=([],))
 
 
 def local_session(cpus="*", partitions=8, app="tastegraph", memory="16g") -> SparkSession:
@@ -31,55 +35,74 @@ def local_session(cpus="*", partitions=8, app="tastegraph", memory="16g") -> Spa
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local master with no such setting gets one temporary folder per
-    application. Anything else must name a folder that all executors can reach.
+    Only a session on one machine may leave it out; it gets a folder of its own
+    that is deleted when the process ends. On a cluster of several machines the
+    folder must be named with the scheme of a store that all of them reach.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    one_machine = spark.sparkContext.master.startswith("local")
     if named:
+        if not one_machine and named.startswith("file:"):
+            raise ValueError("spark.checkpoint.dir is on one machine's disk: " + named)
         return named
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not one_machine:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if context.applicationId not in _own_scratch:
-        _own_scratch[context.applicationId] = tempfile.mkdtemp(prefix="tastegraph-")
-    return _own_scratch[context.applicationId]
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix="tastegraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the scratch folder."""
+    """A fresh path in the scratch folder, noted for the block that asks for it."""
     path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
-    _written.append(path)
+    _blocks.get()[-1].append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession, since: int = 0) -> None:
-    """Delete what this process wrote to the scratch folder after ``since`` paths.
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one path of the scratch folder that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what the current block, or the process outside any block, has written.
 
     To be called once no DataFrame built on it is needed any more.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    written = _blocks.get()[-1]
+    while written:
+        drop_path(spark, written.pop())
 
 
 @contextmanager
 def temporary_scratch(spark: SparkSession):
-    """Delete at the end what was written to the scratch folder inside the block."""
-    before = len(_written)
+    """Delete at the end what was written to the scratch folder inside the block.
+
+    Every block has its own list, kept per thread of control, so jobs that run
+    side by side leave each other's files alone.
+    """
+    token = _blocks.set((*_blocks.get(), []))
     try:
         yield
     finally:
-        drop_scratch(spark, before)
+        drop_scratch(spark)
+        _blocks.reset(token)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, with_path: bool = False):
     """Write ``df`` to the scratch folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and gives later
-    plans a column-pruned scan with known size.
+    plans a column-pruned scan with known size. ``with_path`` also returns the
+    path, for a caller that drops the table itself.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (table, path) if with_path else table
