@@ -39,6 +39,16 @@ def public_id(column: str = "id") -> Column:
     return F.when(F.col(column) > F.lit(-(1 << 63)).cast("long"), F.col(column))
 
 
+def sample_texts(docs: DataFrame, rows: int, text_col: str = "text", chars: int = 4_000) -> list[str]:
+    """The first ``chars`` characters of some ``rows`` texts, for fitting alone.
+
+    At most ``rows * chars`` characters reach the driver; Spark reads only as many
+    files as it needs for them.
+    """
+    head = docs.select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, chars).alias("head"))
+    return [r.head for r in head.limit(rows).collect()]
+
+
 class Memo(dict):
     """Values of a function by key, started anew when ``limit`` keys are held."""
 

@@ -7,6 +7,7 @@ bounded cache.
 """
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import text_bytes
+from tastegraph.llm.common import sample_texts, text_bytes
 
-#: Rows looked at for frequent pre-tokens, and entries in the broadcast table. The
-#: table only saves time: pre-tokens that it lacks are encoded.
+#: Rows looked at for frequent pre-tokens (their beginnings), and entries in the
+#: broadcast table. The table only saves time: pre-tokens that it lacks are encoded.
 SAMPLE_ROWS = 4_000
 TABLE_ENTRIES = 150_000
 #: Entries a worker holds besides the table, and the longest pre-token worth one.
@@ -102,35 +103,11 @@ class PieceCounter:
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of a bounded sample of rows.
-
-    At most ``SAMPLE_ROWS`` rows are read and ``TABLE_ENTRIES`` short pre-tokens
-    kept: a few MB at any size of the input.
-    """
-
-    def split(batches):
-        for batch in batches:
-            found: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for key in pre_tokens(text.decode())[0]:
-                    if len(key) <= LONGEST_KEPT:
-                        found[key] = found.get(key, 0) + 1
-            yield pa.record_batch(
-                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
-                names=["piece", "n"],
-            )
-
-    top = (
-        docs.select(text_bytes(text_col).alias("body"))
-        .limit(SAMPLE_ROWS)
-        .mapInArrow(split, "piece string, n long")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(TABLE_ENTRIES)
-        .collect()
-    )
-    keys = [row.piece for row in top]
+    """Token counts of the most frequent pre-tokens of a bounded sample of rows."""
+    found: Counter[str] = Counter()
+    for text in sample_texts(docs, SAMPLE_ROWS, text_col):
+        found.update(key for key in pre_tokens(text)[0] if len(key) <= LONGEST_KEPT)
+    keys = [key for key, _ in found.most_common(TABLE_ENTRIES)]
     return dict(zip(keys, PieceCounter(path).lengths(keys), strict=True)) if keys else {}
 
 
