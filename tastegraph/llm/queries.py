@@ -2,7 +2,15 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegraph.llm import simhash_dedup, token_counts, toxicity
+from tastegraph.llm import (
+    decontaminate,
+    embedding_dedup,
+    packing,
+    secret_scan,
+    simhash_dedup,
+    token_counts,
+    toxicity,
+)
 from tastegraph.llm.common import table
 
 
@@ -10,14 +18,42 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.benchmark_matches(docs, benchmark).drop("th")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn_weights(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_token_counts, op8_toxicity, op10_simhash_dedup)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op2_token_counts,
+        op4_decontamination,
+        op5_embedding_dedup,
+        op6_secret_scan,
+        op8_toxicity,
+        op9_packing,
+        op10_simhash_dedup,
+    )
+}

@@ -152,10 +152,10 @@ def learn_weights(
 
 
 class Scorer:
-    def __init__(self, model: dict):
-        self.features = Features(model["settings"])
-        self.table = np.zeros(1 << model["settings"].bits, np.float32)
-        self.table[model["at"]] = model["weight"]
+    def __init__(self, settings: Settings, at: np.ndarray, weight: np.ndarray):
+        self.features = Features(settings)
+        self.table = np.zeros(1 << settings.bits, np.float32)
+        self.table[at] = weight
 
     def __call__(self, text: bytes) -> float:
         found = self.features.all(text)
@@ -172,11 +172,12 @@ def score(
     null ones included, gets the score of the intercept (0.5 if nothing was
     learned); repeated rows are scored each; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    threshold = model["settings"].threshold
+    settings = model["settings"]
+    threshold = settings.threshold
+    shared = docs.sparkSession.sparkContext.broadcast((model["at"], model["weight"]))
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(settings, *shared.value)
         for batch in batches:
             scores = np.array([scorer(b) for b in batch.column(2).to_pylist()], np.float64)
             yield pa.record_batch(
