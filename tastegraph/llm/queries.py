@@ -1,10 +1,12 @@
 """The operators as queries over their whole tables, with production parameters."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tastegraph.llm import (
     decontaminate,
     embedding_dedup,
+    line_dedup,
     packing,
     secret_scan,
     simhash_dedup,
@@ -18,6 +20,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.benchmark_matches(docs, benchmark).drop("th")
@@ -49,6 +61,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op2_token_counts,
+        op3_line_dedup,
         op4_decontamination,
         op5_embedding_dedup,
         op6_secret_scan,

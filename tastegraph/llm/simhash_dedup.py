@@ -216,3 +216,25 @@ def simhash_components(
     return found.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The document with the smallest id of each group, all columns as they were.
+
+    Copies of one id and text are left once. In a group without any id, which has
+    no smallest one, all texts stay.
+    """
+    kept = (
+        simhash_components(docs, shingle, radius)
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.col("doc_id").alias("kept"))
+        .distinct()
+    )
+    marked = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_bytes()).alias("th")
+    )
+    return (
+        marked.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi")
+        .dropDuplicates(["id", "th"])
+        .select("row.*")
+    )

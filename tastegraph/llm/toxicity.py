@@ -191,3 +191,18 @@ def score(
         text_bytes(text_col).alias("body"),
     )
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
+    settings = model["settings"]
+    shared = docs.sparkSession.sparkContext.broadcast((model["at"], model["weight"]))
+
+    def run(batches):
+        scorer = Scorer(settings, *shared.value)
+        for batch in batches:
+            scores = np.array([scorer(b) for b in batch.column(0).to_pylist()], np.float64)
+            rows = batch.filter(pa.array(scores < settings.threshold))
+            yield pa.RecordBatch.from_arrays(rows.columns[1:], names=rows.schema.names[1:])
+
+    return docs.select(text_bytes(text_col).alias("_body"), "*").mapInArrow(run, docs.schema)
