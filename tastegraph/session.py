@@ -95,14 +95,25 @@ def temporary_scratch(spark: SparkSession):
         _blocks.reset(token)
 
 
+#: Frees the shuffle files of a statement when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str, with_path: bool = False):
     """Write ``df`` to the scratch folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and gives later
-    plans a column-pruned scan with known size. ``with_path`` also returns the
-    path, for a caller that drops the table itself.
+    plans a column-pruned scan with known size. The shuffle files behind ``df``
+    are freed once it is written. ``with_path`` also returns the path, for a
+    caller that drops the table itself.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before) if before else spark.conf.unset(_FREE_SHUFFLES)
+    table = spark.read.schema(df.schema).parquet(path)
     return (table, path) if with_path else table
