@@ -10,12 +10,19 @@ from tastegraph.llm import (
     packing,
     secret_scan,
     simhash_dedup,
+    substring_dedup,
+    suffix_dedup,
     token_counts,
     toxicity,
 )
 from tastegraph.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -43,6 +50,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn_weights(docs, table(spark, sf_dir, "labels"))
@@ -60,11 +72,13 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_suffix_dedup,
         op2_token_counts,
         op3_line_dedup,
         op4_decontamination,
         op5_embedding_dedup,
         op6_secret_scan,
+        op7_substring_dedup,
         op8_toxicity,
         op9_packing,
         op10_simhash_dedup,
