@@ -7,18 +7,18 @@ from tastegraph.session import drop_path, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``root``, the smallest node of its component, for every node of an edge.
+    """``node`` and ``root``, the smallest node of its component, for every linked node.
 
     Rounds of large-star and small-star steps: a node's larger neighbours, then
     its smaller ones, are attached to the smallest node known nearby, until every
     node hangs on its root. A round is a few sums and joins by node and a written
-    table; no node's neighbours are listed anywhere. Self-loops are allowed, an
-    empty table gives an empty result.
+    table; no node's neighbours are listed anywhere. Self-loops are ignored, so a
+    node with no other edge is not in the result; an empty table gives an empty one.
     """
     found, path = materialise(
-        edges.select(
-            F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")
-        ).distinct(),
+        edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+        .where("u != v")
+        .distinct(),
         "edges",
         with_path=True,
     )

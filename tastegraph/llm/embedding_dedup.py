@@ -208,7 +208,8 @@ def embedding_components(
     at least ``cosine``. Null or zero vectors and those with null or non-finite
     components link with nothing, nor do vectors of different lengths or with a
     null id. Equal vectors are compared once as a class and count with all their
-    ids. Rows that share an id are one vertex; an empty table gives an empty result.
+    ids. Rows that share an id are one vertex; without an id there is no component;
+    an empty table gives an empty result.
     """
     rows = materialise(
         vectors.select(
@@ -248,10 +249,11 @@ def embedding_components(
             F.coalesce("root", "node").alias("component_id"),
         )
     )
-    own = F.coalesce("component_id", "vec_id")
+    named = F.col("vec_id").isNotNull()
+    own = F.when(named, F.coalesce("component_id", "vec_id"))
     return rows.join(by_class, ["label", "vec"], "left").select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         own.alias("component_id"),
         (F.col("vec_id") == own).alias("kept"),
     )
