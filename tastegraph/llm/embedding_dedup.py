@@ -8,6 +8,7 @@ the distance of their centers exceeds both radii and the threshold; what is left
 at the leaves is compared exactly.
 """
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,68 +29,98 @@ _SLACK = 1e-6
 
 
 @dataclass
-class Node:
-    """A center (row of ``points``), its covering radius, and what lies below."""
+class CoverTree:
+    """Nodes in the order of their levels; the root is node 0.
 
-    center: int
-    radius: float
-    children: list
+    A node has a center (a row of the points), the distance to its farthest
+    point, and the range of its children; a leaf is one point.
+    """
+
+    center: np.ndarray
+    radius: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def to_bytes(self) -> bytes:
+        return np.stack([self.center, self.radius, self.start, self.end]).astype(np.float64).tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "CoverTree":
+        center, radius, start, end = np.frombuffer(data, np.float64).reshape(4, -1)
+        return cls(center.astype(np.int64), radius, start.astype(np.int64), end.astype(np.int64))
+
+    def below(self, node: int) -> np.ndarray:
+        """The children of a node, or a leaf itself."""
+        if self.start[node] == self.end[node]:
+            return np.array([node])
+        return np.arange(self.start[node], self.end[node])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def cover_tree(points: np.ndarray) -> Node:
+def cover_tree(points: np.ndarray) -> CoverTree:
     """The cover tree of unit vectors; the first point is the root's center.
 
     A child keeps its parent's center or is farther than the level's radius from
     the centers before it; a point goes to the first center that covers it.
     """
-
-    def distances(center: int, of: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(2 - 2 * (points[of] @ points[center]), 0))
-
-    def build(center: int, own: np.ndarray, far: np.ndarray, radius: float) -> Node:
-        node = Node(center, float(far.max(initial=0.0)), [])
+    distance = np.sqrt(np.maximum(2 - 2 * (points @ points.T), 0))
+    centers, radii, starts, ends = [0], [float(distance[0].max())], [0], [0]
+    open_ = deque([(0, np.arange(len(points)), 2.0)])
+    while open_:
+        node, own, radius = open_.popleft()
         if len(own) == 1:
-            return node
-        while radius / 2 >= node.radius and radius > _SLACK:
+            continue
+        while radius / 2 >= radii[node] and radius > _SLACK:
             radius /= 2
-        if radius <= _SLACK:  # the rest lie on one spot: leaves under this node
-            node.children = [Node(int(i), 0.0, []) for i in own]
-            return node
-        left, at = own, center
+        radius /= 2
+        starts[node] = len(centers)
+        left, center = own, centers[node]
         while len(left):
-            d = far[np.isin(own, left)] if at == center else distances(at, left)
-            near = d <= radius / 2
-            node.children.append(build(at, left[near], d[near], radius / 2))
+            far = distance[center, left]
+            # Points on one spot cannot be told apart by radii: a leaf for each.
+            near = far <= radius if radius > _SLACK else left == left[0]
+            center = center if radius > _SLACK else left[0]
+            child = len(centers)
+            centers.append(int(center))
+            radii.append(float(far[near].max()) if radius > _SLACK else 0.0)
+            starts.append(0)
+            ends.append(0)
+            open_.append((child, left[near], radius))
             left = left[~near]
-            at = int(left[0]) if len(left) else at
-        return node
-
-    everything = np.arange(len(points))
-    return build(0, everything, distances(0, everything), 2.0)
+            center = left[0] if len(left) else center
+        ends[node] = len(centers)
+    return CoverTree(*map(np.array, (centers, radii, starts, ends)))
 
 
-def close_pairs(a: np.ndarray, tree_a: Node, b: np.ndarray, tree_b: Node, cosine: float):
+def close_pairs(a: np.ndarray, tree_a: CoverTree, b: np.ndarray, tree_b: CoverTree, cosine: float):
     """(rows of a, rows of b) with at least the given cosine, by dual traversal."""
     reach = np.sqrt(2 - 2 * cosine) + _SLACK
-    open_ = [([tree_a], [tree_b])]
+    leaf_a, leaf_b = tree_a.start == tree_a.end, tree_b.start == tree_b.end
+    open_ = [(np.array([0]), np.array([0]))]
     while open_:
-        left, right = open_.pop()
-        i, j = (np.array([n.center for n in nodes]) for nodes in (left, right))
+        p, q = open_.pop()
+        if not len(p) or not len(q):
+            continue
+        i, j = tree_a.center[p], tree_b.center[q]
         dots = a[i] @ b[j].T
-        ra, rb = (np.array([n.radius for n in nodes]) for nodes in (left, right))
-        bound = ra[:, None] + rb[None, :] + reach
-        alive = 2 - 2 * dots <= bound * bound
-        leaf = np.array([not n.children for n in left])[:, None] & np.array([not n.children for n in right])[None, :]
-        x, y = np.nonzero(leaf & (dots >= cosine))
-        if len(x):
-            yield i[x], j[y]
-        for x, y in zip(*np.nonzero(alive & ~leaf), strict=True):
-            p, q = left[x], right[y]
-            open_.append((p.children or [p], q.children or [q]))
+        bound = tree_a.radius[p][:, None] + tree_b.radius[q][None, :] + reach
+        x, y = np.nonzero(2 - 2 * dots <= bound * bound)
+        leaf = leaf_a[p[x]] & leaf_b[q[y]]
+        found = leaf & (dots[x, y] >= cosine)
+        if found.any():
+            yield i[x[found]], j[y[found]]
+        p, q = p[x[~leaf]], q[y[~leaf]]
+        # The leaves that meet one node go down together, pairs of nodes by themselves.
+        for m in np.unique(p[~leaf_a[p]]).tolist():
+            with_m = q[p == m]
+            open_.append((tree_a.below(m), with_m[leaf_b[with_m]]))
+            open_ += [(tree_a.below(m), tree_b.below(n)) for n in with_m[~leaf_b[with_m]].tolist()]
+        for n in np.unique(q[~leaf_b[q]]).tolist():
+            with_n = p[q == n]
+            open_.append((with_n[leaf_a[with_n]], tree_b.below(n)))
 
 
 def _spread(key: Column, n: Column) -> Column:
@@ -108,7 +139,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def _blocks(classes: DataFrame, block: int) -> DataFrame:
-    """One row per block: its vectors, ids and copies as bytes, a center and a radius."""
+    """One row per block: its vectors, ids, copies and cover tree, a center and a radius."""
     spark = classes.sparkSession
     sizes = classes.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n")).first()[0] or 0
@@ -151,10 +182,11 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
                 "nodes": [found["node"].to_numpy(np.int64).tobytes()],
                 "copies": [found["copies"].to_numpy(np.int64).tobytes()],
                 "vectors": [vectors.tobytes()],
+                "tree": [cover_tree(points).to_bytes()],
             }
         )
 
-    schema = "label long, dim int, block long, center array<double>, radius double, nodes binary, copies binary, vectors binary"
+    schema = "label long, dim int, block long, center array<double>, radius double, nodes binary, copies binary, vectors binary, tree binary"
     return materialise(rows.groupBy(*key, "slice").applyInPandas(pack, schema), "blocks")
 
 
@@ -164,7 +196,7 @@ def _block_links(found: pd.DataFrame, cosine: float) -> pd.DataFrame:
     for row in found.sort_values("block").itertuples():
         points = unit(np.frombuffer(row.vectors, np.float32).reshape(-1, row.dim).astype(np.float64))
         nodes, copies = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64)
-        sides.append((points, nodes, copies, cover_tree(points)))
+        sides.append((points, nodes, copies, CoverTree.from_bytes(row.tree)))
     (a, ids_a, copies_a, tree_a), (b, ids_b, copies_b, tree_b) = sides[0], sides[-1]
     same = len(sides) == 1
     count_a, count_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
@@ -230,7 +262,7 @@ def embedding_components(
         .select(F.col("block").alias("p"), F.col("block2").alias("q"))
     )
     sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-    content = blocks.select("block", "dim", "nodes", "copies", "vectors")
+    content = blocks.select("block", "dim", "nodes", "copies", "vectors", "tree")
     links = materialise(
         sides.join(content, "block")
         .groupBy("p", "q")

@@ -52,11 +52,13 @@ def test_null_ids_repeats_and_empty_tables(spark):
 def test_cover_tree_holds_every_point_within_its_radii():
     rnd = np.random.default_rng(2)
     points = ed.unit(np.concatenate((rnd.normal(size=(80, 5)), np.repeat(rnd.normal(size=(1, 5)), 4, axis=0))))
+    tree = ed.CoverTree.from_bytes(ed.cover_tree(points).to_bytes())
 
     def below(node):
-        own = [node.center] if not node.children else [p for c in node.children for p in below(c)]
-        far = np.linalg.norm(points[own] - points[node.center], axis=1).max()
-        assert far <= node.radius + 1e-7
+        children = tree.below(node).tolist()
+        own = [int(tree.center[node])] if children == [node] else [p for c in children for p in below(c)]
+        far = np.linalg.norm(points[own] - points[tree.center[node]], axis=1).max()
+        assert far <= tree.radius[node] + 1e-7
         return own
 
-    assert sorted(below(ed.cover_tree(points))) == list(range(len(points)))
+    assert sorted(below(0)) == list(range(len(points)))
