@@ -107,7 +107,7 @@ def _find_grams(rows: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _fetch(rows: DataFrame, contexts: DataFrame, plan: Plan) -> DataFrame:
-    """The content of each different stretch: units, or names of its windows if crowded."""
+    """The units of each different stretch."""
     wanted = contexts.groupBy("id", "th").agg(
         F.collect_list(F.struct("gram", "stretch", "a", "b", "least", "crowded")).alias("wanted")
     )
@@ -115,17 +115,15 @@ def _fetch(rows: DataFrame, contexts: DataFrame, plan: Plan) -> DataFrame:
     types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
-        units, codes = plan.reader()
+        units, _ = plan.reader()
         for batch in batches:
             out, size = [], 0
             for body, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = units(body)
-                named = window_names(codes(own), plan.window) if any(w["crowded"] for w in wanted) else None
                 for w in wanted:
-                    a, b = w["a"], w["b"]
-                    content = named[a:b] if w["crowded"] else own[a : b + plan.window - 1]
-                    out.append((w["crowded"], w["gram"], w["stretch"], w["least"], content.tobytes()))
-                    size += len(out[-1][-1])
+                    content = own[w["a"] : w["b"] + plan.window - 1].tobytes()
+                    out.append((w["crowded"], w["gram"], w["stretch"], w["least"], content))
+                    size += len(content)
                 if size > 4 << 20:
                     yield _record(out, types, names)
                     out, size = [], 0
@@ -191,30 +189,103 @@ def _compare(found: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
+def _lead(codes: np.ndarray, width: int, gram: int) -> int:
+    """Distance from the first window of a stretch to the gram that names it."""
+    hashes = _ONE.windows(_ONE.sums(codes), gram)[:width] >> np.uint64(32)
+    return int(np.argmin(hashes))
+
+
+def _blocks(codes: np.ndarray, plan: Plan, size: int, parents: list[int] | None) -> Iterator[tuple]:
+    """(block, core, hull, from, to) of a stretch's windows in blocks of ``size``.
+
+    Windows are counted by their distance to the gram, so blocks of different
+    stretches line up. The core is what all windows of a block have in common,
+    the hull all that the block's windows in this stretch cover.
+    """
+    window, n = plan.window, len(codes) - plan.window + 1
+    lead = _lead(codes, window - plan.gram + 1, plan.gram)
+    low = lead - n + 1
+    found = range(low // size, lead // size + 1)
+    sums = _TWO.sums(codes)
+    for k in found:
+        if parents is not None and k // FAN not in parents:
+            continue
+        near, far = max(k * size, low), min((k + 1) * size - 1, lead)
+        at = np.array([lead - k * size, lead - far])
+        end = np.array([lead - (k + 1) * size + 1 + window, lead - near + window])
+        core, hull = _TWO.spans(sums, at, end)
+        hull = mix64(np.array([hull]) + np.uint64(near << 32 | far))[0]
+        yield k, int(core.view(np.int64)), int(hull.view(np.int64)), lead - far, lead - near + 1
+
+
+#: Blocks that a block is cut into.
+FAN = 4
+
+
 def _split(found: DataFrame, plan: Plan) -> DataFrame:
-    """The same for crowded grams, from the names of their windows."""
-    names = ["gram", "stretch", "least", "place", "name"]
+    """The same for crowded grams, by blocks of windows that are cut until they agree.
 
-    def run(batches):
-        for batch in batches:
-            content = [np.frombuffer(c, np.int64) for c in batch.column(3).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(content)), [len(c) for c in content]))
-            place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in content] or [np.empty(0, np.int32)])
-            name = np.concatenate(content or [np.empty(0, np.int64)])
-            columns = [batch.column(k).take(at) for k in range(3)]
-            yield pa.record_batch([*columns, pa.array(place), pa.array(name)], names=names)
-
-    windows = (
-        found.where("crowded")
-        .select("gram", "stretch", "least", "content")
-        .mapInArrow(run, "gram long, stretch long, least long, place int, name long")
-    )
-    ends = windows.groupBy("gram", "name").agg(F.min("least").alias("low"), F.max("least").alias("high"))
-    again = F.col("low") < F.col("least") if plan.later else F.col("low") < F.col("high")
-    own = windows.join(ends, ["gram", "name"]).where(again)
-    starts = F.sort_array(F.collect_set("place"))
-    return own.groupBy("gram", "stretch").agg(
-        starts.alias("from"), F.transform(starts, lambda x: x + 1).alias("to")
+    A block whose hull is found again repeats as a whole. One whose core is not
+    found again holds no repeated window. Others are cut, down to single windows,
+    where core and hull are the same. So a stretch gives a few rows for each end
+    of what it shares, and what very many stretches share is counted, not compared.
+    """
+    crowded = found.where("crowded").select("gram", "stretch", "least", "content").dropDuplicates(["gram", "stretch"])
+    nothing = found.sparkSession.createDataFrame([], "gram long, stretch long, from array<int>, to array<int>")
+    if crowded.isEmpty():
+        return nothing
+    names = ["gram", "stretch", "least", "block", "core", "hull", "from", "to"]
+    types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2
+    ddl = "gram long, stretch long, least long, block int, core long, hull long, from int, to int"
+    size, levels = 1, []
+    while size * FAN < plan.window - plan.gram + 1:
+        size *= FAN
+    rows = crowded.withColumn("parents", F.lit(None).cast("array<int>"))
+    while size:
+
+        def run(batches, size=size):
+            units, codes = plan.reader()
+            kind = units(b"").dtype
+            for batch in batches:
+                out = []
+                for gram, stretch, least, content, parents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = codes(np.frombuffer(content, kind))
+                    out += [(gram, stretch, least, *b) for b in _blocks(own, plan, size, parents)]
+                if out:
+                    yield _record(out, types, names)
+
+        blocks = materialise(rows.mapInArrow(run, ddl), "blocks")
+
+        def ends(part: str, blocks=blocks):
+            return blocks.groupBy("gram", "block", part).agg(
+                F.min("least").alias(f"{part}_low"), F.max("least").alias(f"{part}_high")
+            )
+
+        def again(part: str):
+            return F.col(f"{part}_low") < F.col("least" if plan.later else f"{part}_high")
+
+        known = blocks.join(ends("core"), ["gram", "block", "core"]).where("core_low < core_high")
+        known = materialise(
+            known.join(ends("hull"), ["gram", "block", "hull"]).select(
+                *("gram", "stretch", "block", "core", "from", "to"),
+                again("hull").alias("whole"),
+                (again("core") & ~again("hull")).alias("open"),
+                (~again("hull") | F.col("least").isin(F.col("hull_low"), F.col("hull_high"))).alias("stands"),
+            ),
+            "known",
+        )
+        levels.append(known.where("whole").select("gram", "stretch", "from", "to"))
+        # An open block needs the others of its core beside it; equal ones stand for each other.
+        open_ = known.where("open").select("gram", "block", "core").distinct()
+        on = known.where("stands").join(open_, ["gram", "block", "core"], "left_semi")
+        rows = crowded.join(on.groupBy("gram", "stretch").agg(F.collect_set("block").alias("parents")), ["gram", "stretch"])
+        size //= FAN
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.union(level)
+    spans = F.collect_list(F.struct("from", "to"))
+    return every.groupBy("gram", "stretch").agg(spans.alias("spans")).select(
+        "gram", "stretch", F.col("spans.from").alias("from"), F.col("spans.to").alias("to")
     )
 
 
@@ -280,6 +351,7 @@ def repeated_windows(rows: DataFrame, plan: Plan) -> DataFrame:
         every = spans(equal, F.col("id") > F.col("low")).union(spans(mixed, F.col("id") > F.col("least")))
     else:
         every = spans(equal, F.lit(True)).union(spans(mixed, F.col("least") < F.col("most")))
-    return every.groupBy("id", "th").agg(
-        F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to")
+    spans = F.collect_list(F.struct("from", "to"))
+    return every.groupBy("id", "th").agg(spans.alias("spans")).select(
+        "id", "th", F.flatten("spans.from").alias("from"), F.flatten("spans.to").alias("to")
     )
