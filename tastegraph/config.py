@@ -55,12 +55,17 @@ MODEL1_FOLDS = 4
 MODEL2 = {"maxIter": 1200, "maxDepth": 7, "stepSize": 0.06, "seed": 0}
 MODEL2_FOLDS = 10
 
-# Sizes below change speed and memory only, never a result.
+# Blocks of the factorisation. Its first guess is drawn block by block, so these
+# are part of the result.
+PAIRS_PER_BLOCK = 500_000
+NODES_PER_BLOCK = 50_000
+
+# Sizes below change speed and memory only, never a result. A key past the
+# MAX_HOT_KEYS heaviest is not sliced (it has under 1/1,024 of the rows), and one of
+# more than HOT_ROWS x MAX_SALTS rows has larger slices.
 HOT_ROWS = 1_000_000          # rows of one key from which the key is salted
 MAX_HOT_KEYS = 1_024          # bound on the broadcast list of salted keys
 MAX_SALTS = 4_096             # slices of the hottest key
 HOT_SLICES = 1_024            # most ranges in which a hub's neighbours are numbered
 TRIES_PER_ROUND = 8            # draws a walker makes per round, at most 63
 WALKERS_PER_TASK = 1_000_000  # walkers one task starts
-WALKS_PER_TASK = 200_000      # walks one skip-gram task trains on
-MAX_DRIVER_VECTOR_BYTES = 256 << 20   # largest vector table trained on the driver

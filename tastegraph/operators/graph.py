@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tastegraph import config
 from tastegraph.functions import ids, text
 from tastegraph.operators.joins import skew_join
+from tastegraph.session import materialise
 
 
 def node_ids_in_scope(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -16,10 +17,7 @@ def node_ids_in_scope(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
             F.lit("business").alias("kind"), ids.business_node(F.col("business_id")).alias("id")
         ),
     )
-    both = ratings.select("user_id", "business_id").unionByName(
-        pairs.select("user_id", "business_id")
-    )
-    return both.select(F.inline(kinds)).distinct()
+    return known_pairs(ratings, pairs).select(F.inline(kinds)).distinct()
 
 
 def in_scope(df: DataFrame, key: str, ratings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -41,16 +39,23 @@ def ordered_pair(first, second):
     return F.least(first, second).alias("src"), F.greatest(first, second).alias("dst")
 
 
-def _category_pairs(business, ratings, pairs):
-    scoped = in_scope(business.select("business_id", "categories"), "business_id", ratings, pairs)
+def known_pairs(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (user, item) pairs of both tables, from which all ids in scope come."""
+    names = ["user_id", "business_id"]
+    return ratings.select(*names).unionByName(pairs.select(*names))
+
+
+def _category_pairs(business, known):
+    scope = known.select("business_id").distinct()
+    scoped = business.select("business_id", "categories").join(scope, "business_id", "left_semi")
     labels = category_labels(scoped, keep_empty=False)
     return labels.select(
         *ordered_pair(ids.business_node(F.col("business_id")), ids.label_node(F.col("label")))
     )
 
 
-def _friend_pairs(users, ratings, pairs, hot_rows):
-    known = ratings.select("user_id").union(pairs.select("user_id")).distinct()
+def _friend_pairs(users, known, hot_rows):
+    known = known.select("user_id").distinct()
     asked = users.select("user_id", "friends").join(known, "user_id", "left_semi")
     listed = asked.select("user_id", F.explode(text.friend_ids(F.col("friends"))).alias("friend"))
     kept = skew_join(
@@ -61,32 +66,28 @@ def _friend_pairs(users, ratings, pairs, hot_rows):
     )
 
 
-def _rating_pairs(ratings, pairs):
-    return (
-        ratings.select("user_id", "business_id")
-        .unionByName(pairs.select("user_id", "business_id"))
-        .select(
-            ids.user_node(F.col("user_id")).alias("src"),
-            ids.business_node(F.col("business_id")).alias("dst"),
-        )
+def _rating_pairs(known):
+    return known.select(
+        ids.user_node(F.col("user_id")).alias("src"),
+        ids.business_node(F.col("business_id")).alias("dst"),
     )
 
 
 def category_edges(business: DataFrame, ratings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct edges between businesses in scope and their label nodes."""
-    return _category_pairs(business, ratings, pairs).distinct()
+    return _category_pairs(business, known_pairs(ratings, pairs)).distinct()
 
 
 def friend_edges(
     users: DataFrame, ratings: DataFrame, pairs: DataFrame, hot_rows: int = config.HOT_ROWS
 ) -> DataFrame:
     """Distinct edges between friends who are both in scope."""
-    return _friend_pairs(users, ratings, pairs, hot_rows).distinct()
+    return _friend_pairs(users, known_pairs(ratings, pairs), hot_rows).distinct()
 
 
 def rating_edges(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct edges from users to the businesses they rated or are to be scored on."""
-    return _rating_pairs(ratings, pairs).distinct()
+    return _rating_pairs(known_pairs(ratings, pairs)).distinct()
 
 
 def build_edges(
@@ -96,11 +97,16 @@ def build_edges(
     users: DataFrame,
     hot_rows: int = config.HOT_ROWS,
 ) -> DataFrame:
-    """All edges of the graph, each once; one shuffle removes the repeats."""
+    """All edges of the graph, each once; one shuffle removes the repeats.
+
+    The pairs are stored first: every family of edges asks for their ids, and
+    the tables behind them are read once.
+    """
+    known = materialise(known_pairs(ratings, pairs).distinct(), "known_pairs")
     return (
-        _rating_pairs(ratings, pairs)
-        .unionByName(_category_pairs(business, ratings, pairs))
-        .unionByName(_friend_pairs(users, ratings, pairs, hot_rows))
+        _rating_pairs(known)
+        .unionByName(_category_pairs(business, known))
+        .unionByName(_friend_pairs(users, known, hot_rows))
         .distinct()
     )
 

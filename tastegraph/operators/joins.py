@@ -1,7 +1,9 @@
 """Joins that keep working when one key holds a large share of the rows."""
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastegraph import config
 
@@ -37,6 +39,10 @@ def _slices(n: Column, hot_rows: int, max_salts: int = config.MAX_SALTS) -> Colu
     return F.least(F.lit(max_salts), F.ceil(n / hot_rows)).cast("int")
 
 
+def _plain_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, VectorUDT))]
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -50,15 +56,16 @@ def salted_join(
     ``hot`` comes from :func:`hot_keys`. Left rows of a hot key get a slice
     number, right rows of that key are repeated once per slice. Works for
     inner, left and left semi joins, which keep or drop each left row on its
-    own. The slice mixes the input partition with the row's values, so copies
-    of one row are spread too and a retried task gives the same slices.
+    own. The slice mixes the input partition with the row's plain values, so
+    copies of one row are spread too and a retried task gives the same slices;
+    arrays such as vectors are left out, as they cost more than they spread.
 
     ``right_slices`` tells how often to repeat a right row where the right side
     already knows it (at least the number in ``hot``, or null for one);
     otherwise ``hot`` is joined to the right side too.
     """
     hot = F.broadcast(hot)
-    spread = F.xxhash64(F.spark_partition_id(), *left.columns)
+    spread = F.xxhash64(F.spark_partition_id(), *_plain_columns(left))
     salted_left = left.join(hot, on, "left").withColumn(
         "_salt",
         F.when(F.col("_slices").isNull(), 0)

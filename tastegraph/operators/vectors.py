@@ -31,9 +31,9 @@ def skip_gram_vectors(
 ) -> DataFrame:
     """Skip-gram over walks of node numbers, as ``id, embedding``.
 
-    The learner keeps its vectors on the driver, so :func:`node_vectors` uses it
-    only for tables of a checked size. With one partition a seed gives the same
-    vectors again.
+    For small graphs only: the learner keeps the vectors of all nodes on the
+    driver and in every task. ``partitions`` is part of the result; with one, a
+    seed gives the same vectors again.
     """
     words = paths.select(F.transform("path", lambda node: node.cast("string")).alias("words"))
     learner = Word2Vec(
@@ -75,16 +75,21 @@ def factorised_vectors(
     iterations: int = 5,
     seed: int = 0,
 ) -> DataFrame:
-    """Vectors from a factorisation of positive pointwise mutual information.
-
-    Skip-gram with negative sampling factorises a shifted matrix of this kind
-    (Levy and Goldberg, 2014). Counting and alternating least squares both run
-    on the executors, so no table passes through the driver. Needs fewer than
-    2^31 nodes, the id range of the learner. A node that shares no window with
-    another gets a zero vector.
+    """Vectors from a factorisation of the walks' co-occurrences.
+
+    Alternating least squares for implicit feedback (Hu, Koren and Volinsky,
+    2008): whether two nodes share a window is to be explained by the product of
+    their vectors, and a pair weighs the more the oftener it does so than by
+    chance, by log(1 + observed / expected). Every pair that occurs has a weight
+    above zero, so every node that shares a window with another gets a vector
+    with a length; other nodes get zeros.
+
+    Counting and solving both run on the executors, in blocks of nodes whose
+    number follows the nodes and pairs, so no table passes through the driver.
+    Needs fewer than 2^31 nodes, the id range of the learner.
     """
     counts = materialise(cooccurrences(paths, window), "cooccurrences")
-    total = counts.agg(F.sum("n")).first()[0]
+    total, pairs = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not total:
         return nodes.select("id", zeros(size).alias("embedding"))
     # The window is symmetric, so one set of row sums serves both sides.
@@ -92,14 +97,18 @@ def factorised_vectors(
     of_context = sums.select(F.col("center").alias("context"), F.col("sum").alias("context_sum"))
     with_sums = skew_join(counts, sums, ["center"], "inner")
     with_sums = skew_join(with_sums, of_context, ["context"], "inner")
-    information = F.log(F.col("n") * F.lit(float(total)) / F.col("sum") / F.col("context_sum"))
+    over_chance = F.col("n") * F.lit(float(total)) / F.col("sum") / F.col("context_sum")
     cells = with_sums.select(
         F.col("center").cast("int").alias("center"),
         F.col("context").cast("int").alias("context"),
-        information.alias("weight"),
-    ).where("weight > 0")
+        F.log1p(over_chance).alias("weight"),
+    )
+    blocks = max(
+        1, -(-pairs // config.PAIRS_PER_BLOCK), -(-sums.count() // config.NODES_PER_BLOCK)
+    )
     learner = ALS(
         rank=size, maxIter=iterations, implicitPrefs=True, seed=seed,
+        numUserBlocks=blocks, numItemBlocks=blocks,
         userCol="center", itemCol="context", ratingCol="weight",
     )
     trained = learner.fit(materialise(cells, "cells")).userFactors
@@ -108,26 +117,21 @@ def factorised_vectors(
     )
 
 
+METHODS = {"factorise": factorised_vectors, "skip_gram": skip_gram_vectors}
+
+
 def node_vectors(
     paths: DataFrame,
     nodes: DataFrame,
     size: int = config.VECTOR_SIZE,
     window: int = config.WINDOW,
     seed: int = 0,
-    max_driver_bytes: int = config.MAX_DRIVER_VECTOR_BYTES,
+    method: str = "factorise",
+    **settings,
 ) -> DataFrame:
-    """A vector for every node, from its walks.
-
-    Skip-gram while both its weight tables fit ``max_driver_bytes``, the
-    distributed factorisation beyond that. Skip-gram work is split over tasks
-    by the number of walks.
-    """
+    """A vector for every node, from its walks, by the named method at every size."""
     paths = materialise(paths, "paths")
-    needed = nodes.count() * size * 4 * 2
-    if needed > max_driver_bytes:
-        return factorised_vectors(paths, nodes, size, window, seed=seed)
-    partitions = -(-paths.count() // config.WALKS_PER_TASK)
-    return skip_gram_vectors(paths, nodes, size, window, partitions=max(1, partitions), seed=seed)
+    return METHODS[method](paths, nodes, size, window, seed=seed, **settings)
 
 
 # ---- side information ------------------------------------------------------------
@@ -217,8 +221,11 @@ def with_side_score(
     pairs: DataFrame,
     side_scores: DataFrame,
     default: float = config.SIDE_SCORE_DEFAULT,
-    hot_rows: int = config.HOT_ROWS,
 ) -> DataFrame:
-    """Pairs with an outside score per (user, item); ``default`` when there is none."""
-    joined = skew_join(pairs, side_scores, ["user_id", "business_id"], "left", hot_rows)
+    """Pairs with an outside score per (user, item); ``default`` when there is none.
+
+    Few rows share both ids, so hot keys are not counted: that would be a second
+    shuffle of all pairs. Adaptive execution splits one that is repeated often.
+    """
+    joined = pairs.join(side_scores, ["user_id", "business_id"], "left")
     return joined.withColumn("score", F.coalesce("score", F.lit(default)))

@@ -3,6 +3,7 @@
 from collections.abc import Callable
 from functools import lru_cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +11,17 @@ from tastegraph import config
 from tastegraph.fixtures import VECTOR_DIM, Fixtures
 from tastegraph.functions import ids, scores, text
 from tastegraph.operators import evaluate, features, graph, matrix, models, vectors, walks
-from tastegraph.session import scratch_path
+from tastegraph.session import materialise, scratch_path
 from tastegraph.sources import readers, schemas, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Sizes of the learned queries here; the reference values are the defaults of
-# the operators.
+# Walks per node and trees of the queries below, which a checking engine must follow
+# in reasonable time; the operators' defaults are the full values. Depth, learning
+# rate, vector size and iterations are the full ones here too.
 WALKS, LENGTH = 4, config.WALK_LENGTH
 STEP_WALKS = 2
-TREES = {"maxIter": 5, "maxDepth": 5}
+TREES = {"maxIter": 5}
 
 tables = lru_cache(maxsize=4)(Fixtures)
 
@@ -63,6 +65,18 @@ def read_ratings(fx):
 def read_pairs(fx):
     path = scratch_path(fx.spark, "pairs")
     writers.write_ratings(fx.pairs, path)
+    return readers.read_pairs(fx.spark, path, header="user_id,business_id,stars")
+
+
+@query
+def read_pairs_parts(fx):
+    """A folder where a small file has the header and a larger one has not."""
+    path = scratch_path(fx.spark, "parts")
+    line = F.concat_ws(",", "user_id", "business_id").alias("value")
+    lines = fx.pairs.select(line)
+    header = lines.limit(1).select(F.lit("user_id,business_id").alias("value"))
+    header.write.text(path)
+    lines.coalesce(1).write.mode("append").text(path)
     return readers.read_pairs(fx.spark, path)
 
 
@@ -434,14 +448,19 @@ def walk_paths_undirected(fx):
     return _paths(fx, False, 1)
 
 
-def _trained_paths(fx):
-    prepared = walks.prepare(_edges(fx))
-    return walks.walk_paths(walks.visits(prepared, WALKS, LENGTH)), prepared.nodes
+def _trained_paths(fx, directed=True, num_walks=WALKS):
+    prepared = walks.prepare(_edges(fx), directed=directed)
+    return walks.walk_paths(walks.visits(prepared, num_walks, LENGTH)), prepared.nodes
 
 
 def _vector_summary(trained):
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x))
-    return trained.select("id", F.size("embedding").alias("dim"), norm.alias("norm"))
+    finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return trained.select(
+        "id",
+        F.size("embedding").alias("dim"),
+        finite.alias("finite"),
+        F.exists("embedding", lambda x: x != 0).alias("has_length"),
+    )
 
 
 @query
@@ -451,9 +470,9 @@ def node_vectors(fx):
 
 @query
 def node_vectors_factorised(fx):
-    return _vector_summary(
-        vectors.factorised_vectors(*_trained_paths(fx), size=16, iterations=3)
-    )
+    """The method by name, on walks that ignore the direction of edges."""
+    paths, nodes = _trained_paths(fx, False, 1)
+    return _vector_summary(vectors.factorised_vectors(materialise(paths, "paths"), nodes))
 
 
 # ---- matrix -----------------------------------------------------------------------
@@ -472,10 +491,15 @@ def one_hot_open(fx):
 
 @query
 def one_hot_city(fx):
-    values = matrix.learn_categories(fx.business, "city")
-    hot = matrix.one_hot(fx.business, "city", values)
-    names = {f"city_{v}": "city_" + v.replace("#", "_") for v in values}
-    return hot.select("business_id", *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+    fitted = matrix.fit_one_hot(fx.business, "city")
+    flags = vector_to_array(F.col("city_hot"))
+    return matrix.one_hot_sparse(fx.business, "city", fitted).select(
+        "business_id",
+        *(
+            flags[k].cast("int").alias("city_" + value.replace("#", "_"))
+            for k, value in enumerate(fitted.stages[0].labels)
+        ),
+    )
 
 
 def _matrix(fx, pairs):
@@ -504,32 +528,62 @@ def standardised_features(fx):
 
 # ---- models ------------------------------------------------------------------------
 
-def _model_scores(fx, estimator, name="prediction"):
-    train = matrix.assemble(_matrix(fx, fx.ratings))
-    pairs = matrix.assemble(_matrix(fx, fx.pairs))
-    return models.predict(models.fit(estimator, train), pairs, name)
+def _taught(fx, pairs):
+    """The model matrix of pairs whose rating follows their features, to be learned."""
+    taught = (F.col("bid_avg_stars") + F.col("uid_avg_stars")) / 2
+    return matrix.assemble(_matrix(fx, pairs).withColumn("stars", taught))
+
+
+def _held_out(fx, estimators, blend=None):
+    """For each score: rows scored, whether all are finite and in range, and whether
+    the error on held-out ratings is below that of their global mean."""
+    held = models.fold_of(config.MODEL1_FOLDS, "user_id", "business_id") == 0
+    scored = materialise(
+        models.held_out_scores(estimators, _taught(fx, fx.ratings), held, blend), "held_out"
+    )
+    names = [*estimators, *([blend[0]] if blend else [])]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("score"), F.col(n).alias("x")) for n in names)))
+    rows = scored.select("stars", each.alias("s")).select("stars", "s.score", "s.x")
+    wild = F.isnan("x") | (F.abs("x") == float("inf"))
+    return rows.groupBy("score").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.count_if(wild) == 0).alias("finite"),
+        (F.count_if((F.col("x") < 0.5) | (F.col("x") > 5.5)) == 0).alias("in_range"),
+        (F.avg((F.col("x") - F.col("stars")) ** 2) < F.var_pop("stars")).alias("below_mean_error"),
+    )
 
 
 @query
 def model1_scores(fx):
-    return _model_scores(fx, models.model1(**TREES))
+    return _held_out(fx, {"model1": models.model1(**TREES)})
 
 
 @query
 def model2_scores(fx):
-    return _model_scores(fx, models.model2(**TREES))
+    return _held_out(fx, {"model2": models.model2(**TREES)})
 
 
 @query
 def blended_model_scores(fx):
-    """Both models on one matrix, blended: the whole scoring path."""
-    train = matrix.assemble(_matrix(fx, fx.ratings))
-    pairs = matrix.assemble(_matrix(fx, fx.pairs))
-    first, second = models.fit_both(models.model1(**TREES), models.model2(**TREES), train)
-    scored = models.predict_both(first, second, pairs)
-    return scored.select(
-        "user_id", "business_id", "stars",
-        scores.blend(F.col("score_x"), F.col("score_c")).alias("prediction"),
+    """Both models and their blend: the whole scoring path."""
+    both = {"score_x": models.model1(**TREES), "score_c": models.model2(**TREES)}
+    blend = scores.blend(F.col("score_x"), F.col("score_c"))
+    return _held_out(fx, both, ("blend", blend))
+
+
+@query
+def model1_cross_validated(fx):
+    """Rows of each fold, and whether the model beats the global mean on it."""
+    table = _taught(fx, fx.ratings).withColumn(
+        "fold", models.fold_of(config.MODEL1_FOLDS, "user_id", "business_id")
+    )
+    found = models.cross_validated_rmse(models.model1(**TREES), table, config.MODEL1_FOLDS, "fold")
+    errors = fx.spark.createDataFrame(list(enumerate(found)), "fold int, rmse double")
+    folds = table.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_pop("stars").alias("spread")
+    )
+    return folds.join(errors, "fold").select(
+        "fold", "n", (F.col("rmse") < F.col("spread")).alias("below_mean_error")
     )
 
 

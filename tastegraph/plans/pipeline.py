@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tastegraph import config
 from tastegraph.functions import scores
-from tastegraph.operators import features, graph, matrix, models, vectors, walks
+from tastegraph.operators import evaluate, features, graph, matrix, models, vectors, walks
 from tastegraph.operators.joins import assert_unique
 from tastegraph.session import materialise, temporary_scratch
 from tastegraph.sources import readers, schemas, writers
@@ -27,13 +27,16 @@ class Inputs:
     users: DataFrame
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str, pairs_path: str, with_stars: bool = False):
-        """The usual files of a data folder, and the pairs to score."""
+    def read(
+        cls, spark: SparkSession, folder: str, ratings_path: str, pairs_path: str,
+        with_stars: bool = False,
+    ):
+        """The usual files of a data folder, the known ratings and the pairs to score."""
         def path(table):
             return os.path.join(folder, schemas.FILES[table])
 
         return cls(
-            ratings=readers.read_ratings(spark, path("ratings")),
+            ratings=readers.read_ratings(spark, ratings_path),
             pairs=readers.read_pairs(spark, pairs_path, with_stars=with_stars),
             business=readers.read_business(spark, path("business")),
             photo=readers.read_photo(spark, path("photo")),
@@ -84,13 +87,14 @@ def embed(
 
 
 def run_embedding(
-    spark: SparkSession, folder: str, pairs_path: str, vectors_path: str, **settings
+    spark: SparkSession, folder: str, ratings_path: str, pairs_path: str, vectors_path: str,
+    size: int = config.VECTOR_SIZE, **settings,
 ) -> None:
-    """Read the inputs, learn the vectors and store them as ``id, embedding``."""
+    """Read the inputs, learn the vectors and store them, see ``writers.store_vectors``."""
     with temporary_scratch(spark):
-        inputs = Inputs.read(spark, folder, pairs_path).stored()
+        inputs = Inputs.read(spark, folder, ratings_path, pairs_path).stored()
         inputs.check()
-        embed(inputs, **settings).write.parquet(vectors_path)
+        writers.store_vectors(embed(inputs, size=size, **settings), vectors_path, size)
 
 
 # ---- job 2: training -------------------------------------------------------------
@@ -137,15 +141,20 @@ def model_matrix(
     )
 
 
+def learned_open_values(inputs: Inputs) -> list:
+    """The one-hot values of the training data."""
+    seen = features.item_features(
+        inputs.ratings.select("business_id").distinct(), inputs.business, inputs.photo
+    )
+    return matrix.learn_categories(seen, "is_open")
+
+
 def train(
     inputs: Inputs, node_vectors: DataFrame, size: int = config.VECTOR_SIZE,
     model1: dict | None = None, model2: dict | None = None,
 ) -> Trained:
     """Fit both models on the known ratings."""
-    seen = features.item_features(
-        inputs.ratings.select("business_id").distinct(), inputs.business, inputs.photo
-    )
-    open_values = matrix.learn_categories(seen, "is_open")
+    open_values = learned_open_values(inputs)
     table = model_matrix(inputs, inputs.ratings, node_vectors, size, open_values)
     first, second = models.fit_both(
         models.model1(**(model1 or {})), models.model2(**(model2 or {})), table
@@ -155,43 +164,98 @@ def train(
 
 def cross_validate(
     inputs: Inputs, node_vectors: DataFrame, estimator, folds: int,
-    size: int = config.VECTOR_SIZE, open_values: list = (0, 1),
+    size: int = config.VECTOR_SIZE, open_values: list | None = None,
 ) -> list[float]:
     """Held-out RMSE per fold on the known ratings."""
     folded = inputs.ratings.withColumn("fold", models.fold_of(folds, "user_id", "business_id"))
-    table = model_matrix(inputs, folded, node_vectors, size, list(open_values))
+    if open_values is None:
+        open_values = learned_open_values(inputs)
+    table = model_matrix(inputs, folded, node_vectors, size, open_values)
     return models.cross_validated_rmse(estimator, table, folds, "fold")
 
 
+def quality(
+    inputs: Inputs, node_vectors: DataFrame, trained: Trained, size: int = config.VECTOR_SIZE
+) -> dict[str, float]:
+    """RMSE of each model on the ratings it was fitted to and, where the pairs carry
+    ratings, on the pairs."""
+    found = {}
+    tables = {"training": inputs.ratings}
+    if "stars" in inputs.pairs.columns:
+        tables["hold_out"] = inputs.pairs
+    for part, pairs in tables.items():
+        table = model_matrix(inputs, pairs, node_vectors, size, trained.open_values)
+        both = materialise(models.predict_both(trained.first, trained.second, table), "scored")
+        for name, column in (("model1", "score_x"), ("model2", "score_c")):
+            found[f"{part}_{name}"] = evaluate.rmse(both, prediction=column).first()["rmse"]
+    return found
+
+
 def run_training(
-    spark: SparkSession, folder: str, pairs_path: str, vectors_path: str, models_path: str,
-    size: int = config.VECTOR_SIZE, **settings,
-) -> None:
+    spark: SparkSession, folder: str, ratings_path: str, pairs_path: str, vectors_path: str,
+    models_path: str, size: int = config.VECTOR_SIZE, folds: tuple[int, int] | None = None,
+    with_stars: bool = False, model1: dict | None = None, model2: dict | None = None,
+) -> dict:
+    """Fit and store both models; returns their errors, which are also stored.
+
+    ``folds`` cross-validates the first and the second model before. With
+    ``with_stars`` the pairs file has ratings and is scored as the hold-out.
+    """
     with temporary_scratch(spark):
-        inputs = Inputs.read(spark, folder, pairs_path).stored()
+        inputs = Inputs.read(spark, folder, ratings_path, pairs_path, with_stars).stored()
         inputs.check()
-        train(inputs, spark.read.parquet(vectors_path), size, **settings).save(models_path)
+        node_vectors = readers.load_vectors(spark, vectors_path, size)
+        report = {}
+        if folds:
+            each = (models.model1(**(model1 or {})), models.model2(**(model2 or {})))
+            for name, estimator, n in zip(("model1", "model2"), each, folds, strict=True):
+                found = cross_validate(inputs, node_vectors, estimator, n, size)
+                report |= {f"fold_{k}_{name}": error for k, error in enumerate(found)}
+        trained = train(inputs, node_vectors, size, model1, model2)
+        trained.save(models_path)
+        report |= quality(inputs, node_vectors, trained, size)
+        spark.createDataFrame(list(report.items()), "measure string, rmse double").coalesce(
+            1
+        ).write.mode("overwrite").parquet(os.path.join(models_path, "quality"))
+        return report
 
 
 # ---- job 3: scoring --------------------------------------------------------------
 
 def score(
     inputs: Inputs, node_vectors: DataFrame, trained: Trained, size: int = config.VECTOR_SIZE,
-    clamp_inputs: bool = False,
+    clamp_inputs: bool = False, weights: tuple | None = None, side_scores: DataFrame | None = None,
+    only: str | None = None,
 ) -> DataFrame:
-    """Blended predictions for the pairs, one per input row."""
+    """Predictions for the pairs, one per input row.
+
+    Both models are blended, with a third score per pair if ``side_scores`` has
+    one; ``weights`` replace the usual ones. ``only`` names a single model,
+    ``model1`` or ``model2``, whose scores are returned as they are.
+    """
     table = model_matrix(inputs, inputs.pairs, node_vectors, size, trained.open_values)
+    columns = inputs.pairs.columns
+    if only:
+        model = {"model1": trained.first, "model2": trained.second}[only]
+        return models.predict(model, table).select(*columns, "prediction")
     both = models.predict_both(trained.first, trained.second, table)
-    blended = scores.blend(F.col("score_x"), F.col("score_c"), clamp_inputs=clamp_inputs)
-    return both.select(*inputs.pairs.columns, blended.alias("prediction"))
+    first, second = F.col("score_x"), F.col("score_c")
+    if side_scores is None:
+        blended = scores.blend(first, second, weights or config.BLEND_WEIGHTS, clamp_inputs)
+    else:
+        both = vectors.with_side_score(both, side_scores)
+        blended = scores.blend_three(first, second, F.col("score"), weights or config.THREE_WAY_WEIGHTS)
+    return both.select(*columns, blended.alias("prediction"))
 
 
 def run_scoring(
-    spark: SparkSession, folder: str, pairs_path: str, vectors_path: str, models_path: str,
-    out_path: str, size: int = config.VECTOR_SIZE,
+    spark: SparkSession, folder: str, ratings_path: str, pairs_path: str, vectors_path: str,
+    models_path: str, out_path: str, size: int = config.VECTOR_SIZE, **settings,
 ) -> None:
+    """Read the inputs and the models, write the predictions; settings as in :func:`score`."""
     with temporary_scratch(spark):
-        inputs = Inputs.read(spark, folder, pairs_path).stored()
+        inputs = Inputs.read(spark, folder, ratings_path, pairs_path).stored()
         inputs.check()
-        node_vectors, trained = spark.read.parquet(vectors_path), Trained.load(models_path)
-        writers.write_predictions(score(inputs, node_vectors, trained, size), out_path)
+        node_vectors = readers.load_vectors(spark, vectors_path, size)
+        trained = Trained.load(models_path)
+        writers.write_predictions(score(inputs, node_vectors, trained, size, **settings), out_path)

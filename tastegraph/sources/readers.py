@@ -12,31 +12,37 @@ def drop_header_lines(lines: DataFrame, header: str) -> DataFrame:
     return lines.where(F.col("value") != header)
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    """First line of a text source; reads no more than that."""
-    return spark.read.text(path).first()["value"]
-
-
 def _read_delimited(spark: SparkSession, path: str, columns: str, header: str | None) -> DataFrame:
-    """Comma-separated lines without quoting, header lines removed everywhere."""
+    """Comma-separated lines without quoting, header lines removed everywhere.
+
+    The header is the line of the column names unless another is given. Files of
+    a folder may have it or not, but at least one must: otherwise the real header
+    is a different line and would be read as data.
+    """
     schema = T.StructType.fromDDL(columns)
-    if header is None:
-        header = first_line(spark, path)
+    header = header or ",".join(schema.names)
+    lines = spark.read.text(path)
+    if lines.where(F.col("value") == header).isEmpty() and not lines.isEmpty():
+        found = lines.first()["value"]
+        raise ValueError(f"no header line {header!r} in {path}; a line there is {found!r}")
     piece = F.split("value", ",")
-    return drop_header_lines(spark.read.text(path), header).select(
+    return drop_header_lines(lines, header).select(
         *[piece[i].cast(field.dataType).alias(field.name) for i, field in enumerate(schema)]
     )
 
 
 def read_ratings(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
-    """Known ratings. Without ``header`` the first line is taken for it."""
+    """Known ratings."""
     return _read_delimited(spark, path, schemas.RATINGS, header)
 
 
 def read_pairs(
     spark: SparkSession, path: str, header: str | None = None, with_stars: bool = False
 ) -> DataFrame:
-    """Pairs to score; ``with_stars`` also reads the known rating for evaluation."""
+    """Pairs to score; ``with_stars`` also reads the known rating for evaluation.
+
+    Further columns may follow in the file; then ``header`` must be given.
+    """
     return _read_delimited(spark, path, schemas.RATINGS if with_stars else schemas.PAIRS, header)
 
 
@@ -64,8 +70,8 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 def read_vectors(spark: SparkSession, path: str, size: int) -> DataFrame:
     """Wide vector file (id, E_0 .. E_n) as ``id, embedding``.
 
-    Parquet with an array column is the better store; this reads the exchange
-    format.
+    Parquet with an array column is the better store, see :func:`load_vectors`;
+    this reads the exchange format.
     """
     names = [f"E_{i}" for i in range(size)]
     schema = "id string, " + ", ".join(f"{name} float" for name in names)
@@ -81,3 +87,8 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
         .where(F.size(piece) >= 2)
         .select(piece[0].alias("src"), piece[1].alias("dst"))
     )
+
+
+def load_vectors(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """Vectors in either form: a path that ends in ``.csv`` is a wide vector file."""
+    return read_vectors(spark, path, size) if path.endswith(".csv") else spark.read.parquet(path)

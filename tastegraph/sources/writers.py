@@ -23,6 +23,14 @@ def write_vectors(vectors: DataFrame, path: str, size: int) -> None:
     widen_vectors(vectors, size).write.option("header", True).csv(path)
 
 
+def store_vectors(vectors: DataFrame, path: str, size: int) -> None:
+    """Vectors as Parquet, or as a wide vector file if the path ends in ``.csv``."""
+    if path.endswith(".csv"):
+        write_vectors(vectors, path, size)
+    else:
+        vectors.write.parquet(path)
+
+
 def write_ratings(ratings: DataFrame, path: str) -> None:
     """User, item and, where present, rating, with a header per file."""
     ratings.write.option("header", True).csv(path)

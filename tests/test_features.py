@@ -73,8 +73,17 @@ def test_one_hot_keeps_width_for_unseen_values(spark):
     values = matrix.learn_categories(train, "is_open")
     hot = matrix.one_hot(spark.createDataFrame([(5,), (1,)], "is_open int"), "is_open", values)
     assert sorted(tuple(r)[1:] for r in hot.collect()) == [(0, 0), (0, 1)]
-    with pytest.raises(ValueError):
-        matrix.learn_categories(train, "is_open", limit=1)
+
+
+def test_one_hot_of_very_many_values(spark):
+    train = spark.range(5_000).select(F.format_string("c%04d", "id").alias("city"))
+    fitted = matrix.fit_one_hot(train, "city")
+    seen = spark.createDataFrame([("c0000",), ("c4999",), ("new",), (None,)], "city string")
+    hot = {r["city"]: r["city_hot"] for r in matrix.one_hot_sparse(seen, "city", fitted).collect()}
+    assert {v.size for v in hot.values()} == {5_000}
+    assert {c: v.indices.tolist() for c, v in hot.items()} == {
+        "c0000": [0], "c4999": [4_999], "new": [], None: []
+    }
 
 
 def test_holdout_rmse_counts_every_combination(spark):

@@ -75,10 +75,11 @@ def test_enriched_pairs_do_not_depend_on_salting(fx):
     assert rows(1_000_000) == rows(5)
 
 
-def test_side_score_salted(fx):
-    plain = vectors.with_side_score(fx.pairs, fx.side_scores)
-    salted = vectors.with_side_score(fx.pairs, fx.side_scores, hot_rows=2)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+def test_side_scores_of_repeated_pairs(spark):
+    pairs = spark.createDataFrame([("u", "b")] * 3 + [("v", "b")], "user_id string, business_id string")
+    side = spark.createDataFrame([("u", "b", 4.0)], "user_id string, business_id string, score double")
+    found = vectors.with_side_score(pairs, side).collect()
+    assert sorted((r["user_id"], r["score"]) for r in found) == [("u", 4.0)] * 3 + [("v", 3.0)]
 
 
 def test_ordered_index(spark):

@@ -34,11 +34,12 @@ def test_matrix_width(table):
     assert len(table.first()["features"]) == 22 + 2 + 2 * VECTOR_DIM
 
 
-def test_models_beat_the_global_mean(table):
-    mean = table.agg(F.avg("stars")).first()[0]
-    base = evaluate.rmse(table.withColumn("prediction", F.lit(mean))).first()["rmse"]
+def test_models_beat_the_global_mean_on_held_out_rows(table):
+    train, rest = table.where("fold = 0"), table.where("fold = 1")
+    mean = train.agg(F.avg("stars")).first()[0]
+    base = evaluate.rmse(rest.withColumn("prediction", F.lit(mean))).first()["rmse"]
     for estimator in (models.model1(**SMALL), models.model2(**SMALL)):
-        scored = models.predict(models.fit(estimator, table), table)
+        scored = models.predict(models.fit(estimator, train), rest)
         assert evaluate.rmse(scored).first()["rmse"] < 0.7 * base
 
 
@@ -80,19 +81,42 @@ def test_jobs_end_to_end(spark, fx, tmp_path):
     folder = str(tmp_path)
     from tastegraph.sources import schemas, writers
 
-    writers.write_ratings(fx.ratings, f"{folder}/some_train.csv")
+    writers.write_ratings(fx.ratings, f"{folder}/ratings.csv")
     writers.write_ratings(fx.pairs.select("user_id", "business_id"), f"{folder}/pairs.csv")
+    writers.write_ratings(fx.pairs, f"{folder}/rated_pairs.csv")
     for name in ("business", "photo", "reviews", "users"):
         getattr(fx, name).write.json(f"{folder}/{schemas.FILES[name]}")
 
-    pairs, vectors_path, models_path = f"{folder}/pairs.csv", f"{folder}/v", f"{folder}/m"
+    ratings, pairs, models_path = f"{folder}/ratings.csv", f"{folder}/pairs.csv", f"{folder}/m"
+    vectors_path = f"{folder}/v.csv"
+    small = {"model1": SMALL, "model2": {**SMALL, "maxDepth": 2}}
     pipeline.run_embedding(
-        spark, folder, pairs, vectors_path, num_walks=1, walk_length=4, size=8, window=3
+        spark, folder, ratings, pairs, vectors_path, num_walks=1, walk_length=4, size=8, window=3
     )
-    pipeline.run_training(
-        spark, folder, pairs, vectors_path, models_path, size=8, model1=SMALL, model2=SMALL
+    assert spark.read.option("header", True).csv(vectors_path).columns == ["id"] + [f"E_{i}" for i in range(8)]
+    report = pipeline.run_training(
+        spark, folder, ratings, f"{folder}/rated_pairs.csv", vectors_path, models_path, size=8,
+        folds=(2, 2), with_stars=True, **small,
     )
-    pipeline.run_scoring(spark, folder, pairs, vectors_path, models_path, f"{folder}/out", size=8)
-    rows = spark.read.option("header", True).csv(f"{folder}/out").collect()
-    assert len(rows) == fx.pairs.count()
-    assert all(1.0 <= float(r["prediction"]) <= 5.0 for r in rows)
+    parts = ["fold_0", "fold_1", "training", "hold_out"]
+    assert set(report) == {f"{part}_{model}" for part in parts for model in small}
+    assert all(0 < error < 3 for error in report.values())
+    assert spark.read.parquet(f"{models_path}/quality").count() == len(report)
+
+    def scored(name, **settings):
+        out = f"{folder}/{name}"
+        pipeline.run_scoring(spark, folder, ratings, pairs, vectors_path, models_path, out, size=8, **settings)
+        rows = spark.read.option("header", True).csv(out).collect()
+        assert len(rows) == fx.pairs.count()
+        return {(r["user_id"], r["business_id"]): float(r["prediction"]) for r in rows}
+
+    blended = scored("blended")
+    assert all(1.0 <= x <= 5.0 for x in blended.values())
+    first, second = scored("first", only="model1"), scored("second", only="model2")
+    assert first != second
+    weighted = scored("weighted", weights=(1.0, 0.0), clamp_inputs=True)
+    assert all(abs(weighted[k] - min(5.0, max(1.0, first[k]))) < 1e-9 for k in first)
+    side = fx.side_scores
+    three = scored("three", side_scores=side, weights=(0.0, 0.0, 1.0))
+    known = {(r["user_id"], r["business_id"]): r["score"] for r in side.collect()}
+    assert all(abs(x - known.get(k, 3.0)) < 1e-9 for k, x in three.items())

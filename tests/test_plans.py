@@ -32,3 +32,27 @@ def test_matrix_without_variance_does_not_read_reviews(fx):
     slim = features.enrich_pairs(fx.pairs, fx.business, fx.photo, fx.users)
     full = features.enrich_pairs(fx.pairs, fx.business, fx.photo, fx.users, fx.reviews)
     assert "var_pop" not in plan(slim) and "var_pop" in plan(full)
+
+
+def test_edges_read_each_source_once(spark, fx, monkeypatch):
+    """Ratings and pairs are read to store their ids, and not again for each family."""
+    from tastegraph.operators import graph
+
+    stored = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: stored.append(df) or real(df, name))
+    edges = graph.build_edges(fx.ratings, fx.pairs, fx.business, fx.users)
+    assert len(stored) == 1
+    text = plan(edges)
+    assert "lineitem" not in text and text.count("FileScan parquet") <= 12
+
+
+def test_salt_hashes_no_vector(spark):
+    from tastegraph.operators.joins import salted_join
+
+    left = spark.createDataFrame([(1, 2.0, [1.0, 2.0])], "k int, x double, vec array<float>")
+    hot = spark.createDataFrame([(1, 4)], "k int, _slices int")
+    right = spark.createDataFrame([(1, "a")], "k int, y string")
+    text = plan(salted_join(left, right, ["k"], hot))
+    hashed = [line for line in text.splitlines() if "xxhash64(" in line]
+    assert hashed and not any("vec" in line.split("xxhash64(")[1].split(")")[0] for line in hashed)

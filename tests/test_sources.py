@@ -14,17 +14,35 @@ def test_repeated_header_goes_everywhere(spark, folder):
     path = os.path.join(folder, "r.csv")
     with open(path, "w") as f:
         f.write("u,b,s\nu1,b1,4.0\nu,b,s\nu2,b2,3\n")
-    rows = sorted(map(tuple, readers.read_ratings(spark, path).collect()))
+    rows = sorted(map(tuple, readers.read_ratings(spark, path, "u,b,s").collect()))
     assert rows == [("u1", "b1", 4.0), ("u2", "b2", 3.0)]
-    assert sorted(map(tuple, readers.read_pairs(spark, path).collect())) == [
+    assert sorted(map(tuple, readers.read_pairs(spark, path, "u,b,s").collect())) == [
         ("u1", "b1"), ("u2", "b2")
     ]
+    with pytest.raises(ValueError, match="no header line"):
+        readers.read_ratings(spark, path)
+
+
+def test_a_file_without_header_next_to_one_with_it_loses_nothing(spark, folder):
+    lines = [f"u{i},b{i}\n" for i in range(199)] + ["u0,b0\n"]
+    with open(os.path.join(folder, "part-0.csv"), "w") as f:
+        f.writelines(["user_id,business_id\n", *lines[:20]])
+    with open(os.path.join(folder, "part-1.csv"), "w") as f:
+        f.writelines(lines[20:])
+    rows = readers.read_pairs(spark, folder).collect()
+    assert sorted(f"{u},{b}\n" for u, b in rows) == sorted(lines)
+
+
+def test_empty_file_has_no_rows(spark, folder):
+    path = os.path.join(folder, "empty.csv")
+    open(path, "w").close()
+    assert readers.read_pairs(spark, path).count() == 0
 
 
 def test_header_in_every_file(spark, folder):
     for name in ("a", "b"):
         with open(os.path.join(folder, name + ".csv"), "w") as f:
-            f.write(f"h1,h2,h3\nu{name},b{name},1\n")
+            f.write(f"user_id,business_id,stars\nu{name},b{name},1\n")
     assert readers.read_ratings(spark, folder).count() == 2
 
 
@@ -79,8 +97,33 @@ def test_scratch_folder_is_the_one_the_cluster_names():
 
     assert scratch_root(session({"spark.checkpoint.dir": "hdfs://n/x"})) == "hdfs://n/x"
     assert scratch_root(session({}, own="hdfs://n/own")) == "hdfs://n/own"
-    with pytest.raises(ValueError):
-        scratch_root(session({}))
+    for settings in ({}, {"spark.checkpoint.dir": "file:/tmp/x"}):
+        with pytest.raises(ValueError):
+            scratch_root(session(settings))
+
+
+def test_jobs_side_by_side_keep_their_files(spark):
+    import threading
+
+    from tastegraph.session import materialise, temporary_scratch
+
+    written, ended, rows = threading.Event(), threading.Event(), []
+
+    def longer():
+        with temporary_scratch(spark):
+            df = materialise(spark.range(5), "longer")
+            written.set()
+            ended.wait(60)
+            rows.append(df.count())
+
+    job = threading.Thread(target=longer)
+    job.start()
+    assert written.wait(60)
+    with temporary_scratch(spark):
+        materialise(spark.range(2), "shorter")
+    ended.set()
+    job.join()
+    assert rows == [5]
 
 
 def test_scratch_is_dropped(spark):

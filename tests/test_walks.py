@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tastegraph import config
 from tastegraph.operators import vectors, walks
 from tastegraph.plans.catalog import _edges
 
@@ -120,14 +121,27 @@ def trained_on(fx):
     return materialise(paths, "test-paths"), prepared.nodes
 
 
-@pytest.mark.parametrize("max_driver_bytes", [1 << 30, 0])
-def test_every_node_gets_a_vector(trained_on, max_driver_bytes):
+@pytest.mark.parametrize("method", list(vectors.METHODS))
+def test_every_node_gets_a_vector(trained_on, method):
     paths, nodes = trained_on
-    found = vectors.node_vectors(paths, nodes, 8, 5, max_driver_bytes=max_driver_bytes).collect()
+    found = vectors.node_vectors(paths, nodes, 8, 5, method=method).collect()
     assert len(found) == nodes.count() == len({r["id"] for r in found})
     assert {len(r["embedding"]) for r in found} == {8}
 
 
+def test_vectors_do_not_depend_on_the_sizes_that_only_affect_speed(trained_on, monkeypatch):
+    paths, nodes = trained_on
+
+    def found():
+        rows = vectors.node_vectors(paths, nodes, 4, 3).collect()
+        return {r["id"]: [round(x, 4) for x in r["embedding"]] for r in rows}
+
+    usual = found()
+    for name in ("HOT_ROWS", "WALKERS_PER_TASK", "MAX_SALTS"):
+        monkeypatch.setattr(config, name, 50)
+    assert found() == usual
+
+
 def test_skip_gram_is_repeatable(trained_on):
     paths, nodes = trained_on
     first, second = (
@@ -137,16 +151,21 @@ def test_skip_gram_is_repeatable(trained_on):
     assert first == second
 
 
-def test_factorised_vectors_separate_groups(spark):
-    """Nodes that walk together end up closer than nodes that never meet."""
-    rng = random.Random(1)
-    paths = [[base + rng.randrange(6) for _ in range(8)] for base in (0, 6) for _ in range(200)]
-    df = spark.createDataFrame([(p,) for p in paths], "path array<bigint>")
-    nodes = spark.range(12).select(F.col("id").cast("string").alias("id"), F.col("id").alias("node"))
-    found = {int(r["id"]): r["embedding"] for r in vectors.factorised_vectors(df, nodes, 4).collect()}
+@pytest.mark.parametrize("settings", [{"method": "factorise"}, {"method": "skip_gram", "iterations": 5}])
+def test_vectors_separate_groups(spark, settings):
+    """Nodes of a group that walks stay in are closer to each other than to the rest."""
+    edges = [(f"n{a}", f"n{b}") for g in range(3) for a in range(8 * g, 8 * g + 8) for b in range(a + 1, 8 * g + 8)]
+    edges += [("n0", "n8"), ("n8", "n16"), ("n16", "n0")]
+    prepared = walks.prepare(spark.createDataFrame(edges, "src string, dst string"), directed=False)
+    paths = walks.walk_paths(walks.visits(prepared, num_walks=10, walk_length=10))
+    rows = vectors.node_vectors(paths, prepared.nodes, 8, 4, **settings).collect()
+    found = {int(r["id"][1:]): r["embedding"] for r in rows}
 
     def cosine(a, b):
         dot = sum(x * y for x, y in zip(a, b))
         return dot / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
 
-    assert cosine(found[0], found[1]) > cosine(found[0], found[7]) + 0.3
+    pairs = [(a, b) for a in found for b in found if a < b]
+    inside = [cosine(found[a], found[b]) for a, b in pairs if a // 8 == b // 8]
+    across = [cosine(found[a], found[b]) for a, b in pairs if a // 8 != b // 8]
+    assert sum(inside) / len(inside) > sum(across) / len(across) + 0.3
