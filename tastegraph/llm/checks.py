@@ -1,3 +1,74 @@
-"""SQL that the text queries must agree with, where SQL can say it on whole tables."""
+"""SQL that the text queries must agree with, where SQL can say it on whole tables.
 
-CHECKS: dict[str, str] = {}
+The others hash, learn, align or tokenize in ways SQL has no words for; tests
+hold them against plain versions.
+"""
+
+CHECKS: dict[str, str] = {
+    "op1_suffix_dedup": """
+with docs as materialized (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n
+  from documents),
+strings as materialized (
+  select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as k
+  from (select doc_id, h, unnest(range(n - 399)) as i from docs where n >= 400) z),
+twice as (select k from strings group by k having count(*) > 1),
+starts as materialized (select doc_id, i from strings where k in (select k from twice)),
+runs as (
+  select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run
+  from (select doc_id, i,
+               case when i > lag(i) over (partition by doc_id order by i) + 400 then 1 else 0 end as fresh
+        from starts) z),
+spans as (select doc_id, run, min(i) as a, max(i) + 400 as b from runs group by doc_id, run),
+gone as (
+  select doc_id, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans,
+         list(a order by a) as a, list(b order by a) as b
+  from spans group by doc_id)
+select d.doc_id, cast(d.n as bigint) as n_bytes, coalesce(g.n_removed, 0) as n_removed,
+       coalesce(g.n_spans, 0) as n_spans,
+       sha256(unhex(case when g.a is null then d.h else concat(
+         substr(d.h, 1, 2 * g.a[1]),
+         array_to_string(list_transform(range(1, len(g.a) + 1), lambda r:
+           substr(d.h, 2 * g.b[r] + 1,
+                  2 * (case when r < len(g.a) then g.a[r + 1] else d.n end - g.b[r]))), '')) end)) as kept_sha256
+from docs d left join gone g on g.doc_id = d.doc_id""",
+    "op5_embedding_dedup": """
+with recursive usable as materialized (
+  select vec_id, label, embedding::double[] as v,
+         sqrt(list_dot_product(embedding::double[], embedding::double[])) as size
+  from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as materialized (
+  select a.vec_id as x, b.vec_id as y
+  from usable a join usable b
+    on b.label = a.label and b.vec_id <> a.vec_id and len(b.v) = len(a.v)
+  where list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93),
+reach as (
+  select vec_id as x, vec_id as y from embeddings
+  union
+  select r.x, l.y from reach r join links l on l.x = r.y)
+select e.vec_id, coalesce(n.n, 0) as n_links, c.least as component_id, e.vec_id = c.least as kept
+from embeddings e
+join (select x, min(y) as least from reach group by x) c on c.x = e.vec_id
+left join (select x, count(distinct y) as n from links group by x) n on n.x = e.vec_id""",
+    "op7_substring_dedup": """
+with docs as materialized (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+windows as materialized (
+  select doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) as k
+  from (select doc_id, words, unnest(range(1, len(words) - 18)) as i from docs where len(words) >= 20) z),
+firsts as (select k, min({'d': doc_id, 'i': i}) as f from windows group by k),
+again as (
+  select w.doc_id, w.i from windows w join firsts f on f.k = w.k
+  where w.doc_id <> f.f.d or w.i <> f.f.i),
+gone as (
+  select doc_id, list(distinct place) as places
+  from (select doc_id, unnest(range(i, i + 20)) as place from again) z group by doc_id)
+select d.doc_id, cast(len(d.words) as bigint) as n_words,
+       cast(coalesce(len(g.places), 0) as bigint) as n_removed,
+       sha256(array_to_string(case when g.places is null then d.words else
+         list_filter(d.words, lambda w, i: not list_contains(g.places, i)) end, ' ')) as kept_sha256
+from docs d left join gone g on g.doc_id = d.doc_id""",
+}
