@@ -84,7 +84,7 @@ select concat('b', cast(vec_id as varchar(20)), '_bid'), embedding
 from embeddings where vec_id % 2 = 1
 union all
 select md5(d.label), e.embedding
-from (select label, row_number() over (order by label) as rn
+from (select label, row_number() over (order by md5(label), label) as rn
       from (select distinct label from label_rows) q) d
 join embeddings e on e.vec_id = d.rn where d.rn % 2 = 0""",
     "side_scores": """
@@ -143,7 +143,8 @@ class Fixtures:
     def vectors(self) -> DataFrame:
         """As the view text, with the labels numbered bucket by bucket."""
         labels = self.label_rows.select("label").distinct()
-        numbered = ordered_index(labels, ["label"], F.substring("label", 1, 12), "rn")
+        labels = labels.withColumn("md5", F.md5(F.col("label").cast("binary")))
+        numbered = ordered_index(labels, ["md5", "label"], F.substring("md5", 1, 4), "rn")
         embeddings = self.embeddings.select("vec_id", "embedding")
         ids = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("u"), F.col("vec_id"), F.lit("_uid")))
         own = embeddings.select(
@@ -154,6 +155,6 @@ class Fixtures:
             numbered.withColumn("vec_id", F.col("rn") + 1)
             .where("vec_id % 2 = 0")
             .join(embeddings, "vec_id")
-            .select(F.md5(F.col("label").cast("binary")).alias("id"), "embedding")
+            .select(F.col("md5").alias("id"), "embedding")
         )
         return own.unionByName(of_labels)
