@@ -201,7 +201,7 @@ def drop_duplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> Da
 
     The columns stay as they are but for ``text`` and, where present, ``n_chars``.
     """
-    found = remove_lines(docs, settings).where("n_removed = 0 or trim(kept) != ''")
+    found = remove_lines(docs, settings).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
     changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(
         *(

@@ -57,7 +57,7 @@ def test_frequent_lines_go_from_all_but_their_first_owner(docs_of):
 
 
 def test_stage_keeps_columns_and_drops_emptied_documents(docs_of):
-    docs = docs_of(PAIRS)
+    docs = docs_of([*PAIRS, (10, "\n" + text_of("a") + "\n \t")])
     found = line_dedup.drop_duplicate_lines(docs)
     assert found.columns == docs.columns and [f.dataType for f in found.schema] == [f.dataType for f in docs.schema]
     rows = found.collect()
