@@ -90,7 +90,7 @@ def earlier_sequences(shard: list[tuple], length: int) -> list[np.ndarray]:
 
 
 def _reader():
-    words = Memo(lambda word: xxhash.xxh64_intdigest(word, 7), 300_000)
+    words = Memo(lambda word: xxhash.xxh64_intdigest(word, 7), 150_000)
 
     def units(body: bytes) -> np.ndarray:
         found = body.split()

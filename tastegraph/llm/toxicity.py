@@ -23,14 +23,14 @@ _PUNCTUATION = b".,;:!?\"'()[]"
 class Settings:
     """``rows`` bounds the labelled rows learned from, picked by a hash of their id."""
 
-    rows: int = 8_000
-    bits: int = 24
+    rows: int = 12_000
+    bits: int = 22
     stem: int = 5
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 3.0
     l2: float = 0.1
-    epochs: int = 2
+    epochs: int = 3
     threshold: float = 0.3
 
 
@@ -41,7 +41,7 @@ class Features:
         self.mask = np.uint64((1 << settings.bits) - 1)
         self.shift = np.uint64(32)
         self.stem = settings.stem
-        self.words = Memo(self._word, 300_000)
+        self.words = Memo(self._word, 150_000)
 
     def _word(self, word: bytes) -> int:
         """Hash of the word in the low half, of its beginning in the high half."""
