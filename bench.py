@@ -29,7 +29,6 @@ HEADLINE = [
     "cv_fold_rmse",
     "blend_clamp",
     "walk_paths",
-    "node_vectors",
     "blended_model_scores",
 ]
 
