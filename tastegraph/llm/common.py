@@ -39,6 +39,16 @@ def public_id(column: str = "id") -> Column:
     return F.when(F.col(column) > F.lit(-(1 << 63)).cast("long"), F.col(column))
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """A table with one row per key, away from the partitions of its keys.
+
+    A join with it by these keys shuffles both sides, and adaptive execution can
+    split a hot key of the other side, which it cannot where an aggregate by the
+    keys is joined in place.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def sample_texts(docs: DataFrame, rows: int, text_col: str = "text", chars: int = 4_000) -> list[str]:
     """The first ``chars`` characters of some ``rows`` texts, for fitting alone.
 

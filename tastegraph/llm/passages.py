@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import RollingHash, mix64
+from tastegraph.llm.common import RollingHash, dealt_anew, mix64
 from tastegraph.session import drop_path, materialise
 
 _ONE, _TWO = RollingHash(1), RollingHash(2)
@@ -257,9 +257,9 @@ def _split(found: DataFrame, plan: Plan) -> DataFrame:
         blocks = materialise(rows.mapInArrow(run, ddl), "blocks")
 
         def ends(part: str, blocks=blocks):
-            return blocks.groupBy("gram", "block", part).agg(
-                F.min("least").alias(f"{part}_low"), F.max("least").alias(f"{part}_high")
-            )
+            keys = ["gram", "block", part]
+            least, most = F.min("least").alias(f"{part}_low"), F.max("least").alias(f"{part}_high")
+            return dealt_anew(blocks.groupBy(*keys).agg(least, most), *keys)
 
         def again(part: str):
             return F.col(f"{part}_low") < F.col("least" if plan.later else f"{part}_high")
@@ -276,7 +276,7 @@ def _split(found: DataFrame, plan: Plan) -> DataFrame:
         )
         levels.append(known.where("whole").select("gram", "stretch", "from", "to"))
         # An open block needs the others of its core beside it; equal ones stand for each other.
-        open_ = known.where("open").select("gram", "block", "core").distinct()
+        open_ = dealt_anew(known.where("open").select("gram", "block", "core").distinct(), "gram", "block", "core")
         on = known.where("stands").join(open_, ["gram", "block", "core"], "left_semi")
         rows = crowded.join(on.groupBy("gram", "stretch").agg(F.collect_set("block").alias("parents")), ["gram", "stretch"])
         size //= FAN
