@@ -1,6 +1,6 @@
 """Lines that documents share with earlier ones, deleted where the two align.
 
-A document is compared with the first owners of its rare lines. The pair is
+A document is compared with the first owners of its lines. The pair is
 aligned by patience diff: lines that occur once on either side and in the same
 order are anchors, and equal lines around them grow them into blocks. Aligned
 blocks go from the later document.
@@ -21,12 +21,17 @@ from tastegraph.session import materialise
 class Settings:
     """``words``: what a line needs to lead to a comparison, and a block to be deleted.
 
-    ``rare``: documents that share a line for it to be rare. A more frequent line
-    is a block of its own and goes from all documents but its first owner.
+    ``rare``: a choice of cost over alignment that no query makes. Lines in more
+    documents than it are not aligned, but go from all documents but their first
+    owner. None aligns every line, however frequent.
     """
 
     words: int = 5
-    rare: int = 100
+    rare: int | None = None
+
+
+#: Places of lines for each slice of a first owner; it decides only where pairs go.
+SLICE_PLACES = 512
 
 
 def _lines(text: Column) -> Column:
@@ -139,32 +144,52 @@ def duplicate_lines(
     long = every.where(F.col("words") >= settings.words)
     owners = materialise(
         long.groupBy("line")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("uses"))
+        .agg(
+            F.min("id").alias("first"),
+            F.max("id").alias("last"),
+            F.count("*").alias("uses"),
+            *([F.count_distinct("id", "th").alias("owned")] if settings.rare is not None else []),
+        )
         .where("first < last")
         .drop("last"),
         "line_owners",
     )
-    shared = materialise(long.join(owners, "line").where("id > first").drop("words"), "shared_lines")
-    common = shared.where(F.col("uses") > settings.rare).groupBy("id", "th").agg(F.collect_set("place").alias("gone"))
-    pairs = shared.where(F.col("uses") <= settings.rare).select("first", "id", "th").distinct()
-    return (
-        _aligned(texts, pairs, settings.words)
-        .union(common)
-        .groupBy("id", "th")
-        .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    )
+    slices = owners.groupBy("first").agg(F.ceil(F.sum("uses") / SLICE_PLACES).alias("slices"))
+    shared = long.join(owners.join(slices, "first"), "line").where("id > first").drop("words")
+    if settings.rare is None:
+        return _united(_aligned(texts, slices, shared, settings.words))
+    shared = materialise(shared, "shared_lines")
+    common = shared.where(F.col("owned") > settings.rare).groupBy("id", "th").agg(F.collect_set("place").alias("gone"))
+    return _united(_aligned(texts, slices, shared.where(F.col("owned") <= settings.rare), settings.words).union(common))
+
 
+def _united(found: DataFrame) -> DataFrame:
+    """The places found for a document, of all its pairs together."""
+    return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
-def _aligned(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """``id, th, gone`` for each pair of documents with lines to delete from the later."""
-    earlier = texts.select(F.col("id").alias("first"), F.col("hashes").alias("first_hashes")).distinct()
-    rows = pairs.join(earlier, "first").join(texts, ["id", "th"])
+
+def _aligned(texts: DataFrame, slices: DataFrame, shared: DataFrame, least: int) -> DataFrame:
+    """``id, th, gone`` for each pair of documents with lines to delete from the later.
+
+    The pairs of a first owner are dealt over slices, each with a copy of its lines.
+    """
+    slice_ = F.pmod(F.xxhash64("id", "th"), F.col("slices")).alias("slice")
+    pairs = shared.select("first", slice_, "id", "th").distinct()
+    earlier = (
+        texts.select(F.col("id").alias("first"), F.col("hashes").alias("first_hashes"))
+        .distinct()
+        .join(slices, "first")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        .drop("slices")
+    )
+    rows = pairs.join(earlier, ["first", "slice"]).join(texts, ["id", "th"])
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
     def run(batches):
         def each():
             for batch in batches:
-                for ident, th, a, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in range(batch.num_rows):
+                    ident, th, a, b, words = (c[k].as_py() for c in batch.columns)
                     if gone := aligned_blocks(a, b, words, least):
                         yield ident, th, gone
 

@@ -56,6 +56,24 @@ def test_frequent_lines_go_from_all_but_their_first_owner(docs_of):
     assert {r.row.doc_id: r.n_removed for r in found} == {k: int(k > 0) for k in range(40)}
 
 
+def test_frequent_lines_are_aligned_like_rare_ones(docs_of):
+    copy = text_of("f", "xy", "", "g")
+    pairs = [(k, copy) for k in range(150)]
+    pairs += [(200, text_of("g", "own words of this one document", "f"))]
+    found = line_dedup.remove_lines(docs_of(pairs)).collect()
+    assert {r.row.doc_id: r.n_removed for r in found} == {0: 0, **{k: 4 for k in range(1, 150)}, 200: 1}
+    assert {r.doc_id for r in line_dedup.drop_duplicate_lines(docs_of(pairs)).collect()} == {0, 200}
+
+
+def test_slices_of_a_first_owner_do_not_change_the_result(docs_of, monkeypatch):
+    pairs = [(k, text_of("f", "xy", f"own {k} words of this one document", "g")) for k in range(30)]
+    found = []
+    for size in (line_dedup.SLICE_PLACES, 2):
+        monkeypatch.setattr(line_dedup, "SLICE_PLACES", size)
+        found.append(sorted((r.row.doc_id, r.kept) for r in line_dedup.remove_lines(docs_of(pairs)).collect()))
+    assert found[0] == found[1] and found[0][1][1] == "own 1 words of this one document"
+
+
 def test_stage_keeps_columns_and_drops_emptied_documents(docs_of):
     docs = docs_of([*PAIRS, (10, "\n" + text_of("a") + "\n \t")])
     found = line_dedup.drop_duplicate_lines(docs)
