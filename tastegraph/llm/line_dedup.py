@@ -1,6 +1,7 @@
 """Lines that documents share with earlier ones, deleted where the two align.
 
-A document is compared with the first owners of its lines. The pair is
+A document is compared with the first owners of its runs: from each line on, the
+fewest consecutive lines that together have the words of a block. The pair is
 aligned by patience diff: lines that occur once on either side and in the same
 order are anchors, and equal lines around them grow them into blocks. Aligned
 blocks go from the later document.
@@ -9,19 +10,20 @@ blocks go from the later document.
 from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import batches_of
+from tastegraph.llm.common import RollingHash, batches_of
 from tastegraph.session import materialise
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``words``: what a line needs to lead to a comparison, and a block to be deleted.
+    """``words``: what a run of lines needs to lead to a comparison, and a block to be deleted.
 
-    ``rare``: a choice of cost over alignment that no query makes. Lines in more
+    ``rare``: a choice of cost over alignment that no query makes. Runs in more
     documents than it are not aligned, but go from all documents but their first
     owner. None aligns every line, however frequent.
     """
@@ -30,7 +32,15 @@ class Settings:
     rare: int | None = None
 
 
-#: Places of lines for each slice of a first owner; it decides only where pairs go.
+#: A word: characters between white space, or as many of them as a word may have. Scripts
+#: that are written without spaces have their own lengths.
+WORD = (
+    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,2}"
+    r"|[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,4}"
+    r"|[^\p{IsWhite_Space}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,24}"
+)
+
+#: Places of runs for each slice of a first owner; it decides only where pairs go.
 SLICE_PLACES = 512
 
 
@@ -123,7 +133,7 @@ def duplicate_lines(
     A document is its id with the hash of its text; rows that share an id are
     never compared, and a null id comes before all others. "Earlier" is the
     smaller id. Lines are compared without the spaces around them; words are
-    what stands between spaces.
+    what stands between white space, in pieces of the length of a word.
     """
     parts = docs.select(
         _key(id_col).alias("id"), _text_hash(F.col(text_col)).alias("th"), _lines(F.col(text_col)).alias("lines")
@@ -133,17 +143,13 @@ def duplicate_lines(
             "id",
             "th",
             F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"),
-            F.transform("lines", lambda x: F.size(F.array_remove(F.split(F.trim(x), " "), ""))).alias("words"),
+            F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
         ),
         "line_hashes",
     )
-    places = F.explode(F.arrays_zip("hashes", "words", F.sequence(F.lit(0), F.size("hashes") - 1).alias("place")))
-    every = texts.select("id", "th", places.alias("x")).select(
-        "id", "th", F.col("x.hashes").alias("line"), F.col("x.words").alias("words"), F.col("x.place").alias("place")
-    )
-    long = every.where(F.col("words") >= settings.words)
+    every = _runs(texts, settings.words)
     owners = materialise(
-        long.groupBy("line")
+        every.groupBy("line")
         .agg(
             F.min("id").alias("first"),
             F.max("id").alias("last"),
@@ -155,14 +161,51 @@ def duplicate_lines(
         "line_owners",
     )
     slices = owners.groupBy("first").agg(F.ceil(F.sum("uses") / SLICE_PLACES).alias("slices"))
-    shared = long.join(owners.join(slices, "first"), "line").where("id > first").drop("words")
+    shared = every.join(owners.join(slices, "first"), "line").where("id > first")
     if settings.rare is None:
         return _united(_aligned(texts, slices, shared, settings.words))
     shared = materialise(shared, "shared_lines")
-    common = shared.where(F.col("owned") > settings.rare).groupBy("id", "th").agg(F.collect_set("place").alias("gone"))
+    common = shared.where(F.col("owned") > settings.rare).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("place", "last_place")))).alias("gone"))
     return _united(_aligned(texts, slices, shared.where(F.col("owned") <= settings.rare), settings.words).union(common))
 
 
+def _runs(texts: DataFrame, least: int) -> DataFrame:
+    """``id, th, line, place, last_place``: the run from each line that has words, by its hash.
+
+    A line of ``least`` words is a run of its own. Equal blocks with as many words
+    hold the run from their first line with words, so they lead to a comparison
+    whatever the length of their lines.
+    """
+    names = ["id", "th", "line", "place", "last_place"]
+
+    def run(batches):
+        rolling = RollingHash(0)
+        for batch in batches:
+            hashes, words = batch.column(2), batch.column(3)
+            sizes = np.diff(hashes.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            starts = np.cumsum(sizes) - sizes
+            sums = rolling.sums(hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            counts = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(counts)))
+            end = np.searchsorted(upto, upto[:-1] + least)
+            at = np.flatnonzero((counts > 0) & (end <= (starts + sizes)[doc]))
+            end, doc = end[at], doc[at]
+            yield pa.record_batch(
+                [
+                    batch.column(0).take(pa.array(doc)),
+                    batch.column(1).take(pa.array(doc)),
+                    pa.array(rolling.spans(sums, at, end).view(np.int64)),
+                    pa.array((at - starts[doc]).astype(np.int32)),
+                    pa.array((end - 1 - starts[doc]).astype(np.int32)),
+                ],
+                names=names,
+            )
+
+    rows = texts.select("id", "th", "hashes", "words")
+    return rows.mapInArrow(run, "id long, th long, line long, place int, last_place int")
+
+
 def _united(found: DataFrame) -> DataFrame:
     """The places found for a document, of all its pairs together."""
     return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))

@@ -65,6 +65,44 @@ def test_frequent_lines_are_aligned_like_rare_ones(docs_of):
     assert {r.doc_id for r in line_dedup.drop_duplicate_lines(docs_of(pairs)).collect()} == {0, 200}
 
 
+LISTS = [
+    "eggs\nmilk\nflour and salt\nbread\nbutter\ntea",
+    "alpha\tbeta\tgamma\tdelta\tepsilon",
+    "我们今天在城里看了一场很好的电影",
+    "昨日は友達と\n映画を見に\n行きました",
+    "https://example.org/a/long/path/without/any/space/in/it?with=parameters&and=more&of=them&to=the&end=of&the=line",
+]
+
+
+@pytest.mark.parametrize("copied", LISTS)
+def test_short_lines_and_other_scripts_lead_to_a_comparison(docs_of, copied):
+    pairs = [(1, copied), (2, copied), (3, "x\n" + copied + "\ny"), (4, "x\n" + "\ny\n".join(copied.split("\n")) + "\nz")]
+    found = {r.row.doc_id: r.kept for r in line_dedup.remove_lines(docs_of(pairs[:3])).collect()}
+    assert found == {1: copied, 2: "", 3: "x\ny"}
+
+
+def test_blocks_under_five_words_stay(docs_of):
+    pairs = [(1, "one two\n\nthree four"), (2, "one two\n\nthree four"), (3, "a b\nc\nx\nd e"), (4, "a b\nc\ny\nd e"), (5, "我们\n今天")]
+    pairs.append((6, pairs[-1][1]))
+    assert {r.n_removed for r in line_dedup.remove_lines(docs_of(pairs)).collect()} == {0}
+
+
+def test_runs_are_the_fewest_lines_with_the_words(spark):
+    rnd = random.Random(3)
+    hashes = [rnd.getrandbits(63) for _ in range(4)]
+    rows = [(k, 0, rnd.choices(hashes, k=n), [rnd.randrange(7) for _ in range(n)]) for k, n in enumerate([0, 1, 30, 9, 50])]
+    table = spark.createDataFrame(rows, "id long, th long, hashes array<long>, words array<int>").coalesce(1)
+    found, expected = {}, {}
+    for r in line_dedup._runs(table, 5).collect():
+        found.setdefault(r.line, set()).add((r.id, r.place, r.last_place))
+    for k, _, hashes, words in rows:
+        for i in range(len(words)):
+            ends = [j for j in range(i, len(words)) if sum(words[i : j + 1]) >= 5]
+            if words[i] and ends:
+                expected.setdefault(tuple(hashes[i : ends[0] + 1]), set()).add((k, i, ends[0]))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_slices_of_a_first_owner_do_not_change_the_result(docs_of, monkeypatch):
     pairs = [(k, text_of("f", "xy", f"own {k} words of this one document", "g")) for k in range(30)]
     found = []
