@@ -1,10 +1,10 @@
 """Credentials in texts: fixed patterns, and formats learned from what they find.
 
-The strings found by the patterns in a bounded sample of documents are labelled
-credentials. For each kind a prefix tree of their character classes is reduced
-by merging states whose statistics agree, which leaves a probabilistic
-automaton of the format. Every other token of a text is scored by how likely
-the automata are to write it.
+The strings found by the patterns in all documents are labelled credentials, of
+which a bounded number is learned from. For each kind a prefix tree of their
+character classes is reduced by merging states whose statistics agree, which
+leaves a probabilistic automaton of the format. Every other token of a text is
+scored by how likely the automata are to write it.
 """
 
 import hashlib
@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import sample_texts, text_bytes
+from tastegraph.llm.common import batches_of, text_bytes
+from tastegraph.session import materialise
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(
@@ -37,14 +38,14 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 class Settings:
     """Bounds on what is learned from, and the merge and acceptance tests.
 
-    The beginnings of at most ``docs`` documents are searched and ``strings``
-    strings of a kind used. ``alpha`` is the error of the test that two states differ; a token is
-    accepted when its mean log-likelihood per character is at least the lowest
+    All texts are searched and the ``strings`` distinct strings of a kind with the
+    least hashes used, of longer ones the first ``chars`` characters. ``alpha`` is
+    the error of the test that two states differ; a token is accepted when its mean log-likelihood per character is at least the lowest
     of the labelled strings less ``slack``, and above the background's.
     """
 
-    docs: int = 4_000
     strings: int = 400
+    chars: int = 4_000
     alpha: float = 0.05
     slack: float = 0.25
 
@@ -189,17 +190,50 @@ class Formats:
 
 
 def learn_formats(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> Formats:
-    """Automata for each kind, from a bounded sample of documents."""
-    strings: dict[str, set[str]] = {kind: set() for kind in KINDS[:3]}
-    background: Counter[str] = Counter()
-    for text in sample_texts(docs, settings.docs, text_col):
-        for kind, value in labelled(text):
-            strings[kind].add(value)
-        background.update(c for c in text.translate(_CLASSES) if c in "dxlU+/_.=-")
-    chosen = (sorted(found, key=hash_of)[: settings.strings] for found in strings.values())
-    return Formats(
-        [FormatAutomaton(found, settings.alpha) for found in chosen if found], background, settings.slack
+    """Automata for each kind, from the credentials and class counts of all texts.
+
+    A task sends the strings of a kind with the least hashes, so what is shuffled
+    and what reaches the driver is bounded, and the choice is that of all texts
+    whatever the order of rows.
+    """
+    schema = pa.schema([("kind", pa.string()), ("value", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        strings: dict[str, dict[str, int]] = {kind: {} for kind in KINDS[:3]}
+        background: Counter[str] = Counter()
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                text = body.decode()
+                for kind, value in labelled(text):
+                    value = value[: settings.chars]
+                    strings[kind][value] = hash_of(value) - (1 << 63)
+                    if len(strings[kind]) >= 4 * settings.strings:
+                        strings[kind] = dict(_least(strings[kind], settings.strings))
+                classes = text.translate(_CLASSES)
+                background.update({c: classes.count(c) for c in "dxlU+/_.=-"})
+        rows = [(kind, v, h, 0) for kind, held in strings.items() for v, h in _least(held, settings.strings)]
+        rows += [("background", c, 0, count) for c, count in background.items()]
+        yield from batches_of(iter(rows), schema)
+
+    found = materialise(
+        docs.select(text_bytes(text_col).alias("body"))
+        .mapInArrow(run, "kind string, value string, h long, n long")
+        .groupBy("kind", "value", "h")
+        .agg(F.sum("n").alias("n")),
+        "credentials",
     )
+    automata = []
+    for kind in KINDS[:3]:
+        chosen = found.where(F.col("kind") == kind).orderBy("h", "value").limit(settings.strings).collect()
+        if chosen:
+            automata.append(FormatAutomaton([r.value for r in chosen], settings.alpha))
+    background = Counter({r.value: r.n for r in found.where("kind = 'background'").collect()})
+    return Formats(automata, background, settings.slack)
+
+
+def _least(strings: dict[str, int], n: int) -> list[tuple[str, int]]:
+    """The ``n`` strings with the least hashes."""
+    return sorted(strings.items(), key=lambda x: (x[1], x[0]))[:n]
 
 
 def hash_of(value: str) -> int:

@@ -83,6 +83,30 @@ def test_learned_formats_find_unmarked_credentials_and_leave_words(docs_of):
     assert [text[s:e] for s, _, e in spans if (s, _, e) not in base] == [text.split()[1]]
 
 
+def test_formats_are_learned_from_all_texts(docs_of):
+    rnd = random.Random(12)
+
+    def hexes(n):
+        return "".join(rnd.choices("0123456789abcdef", k=n))
+
+    plain = [(k, "no credential here") for k in range(4_100)]
+    taught = [(5_000 + k, "word " * 900 + f"password={hexes(18)} end") for k in range(60)]
+    formats = secret_scan.learn_formats(docs_of(plain + taught))
+    assert len(formats.automata) == 1
+    text = f"see {hexes(16)}a1 here"
+    base, spans = secret_scan.all_spans(text, formats)
+    assert base == [] and [text[s:e] for s, _, e in spans] == [text.split()[1]]
+    assert formats.background["d"] == sum(sum(c.isdigit() for c in t) for _, t in taught)
+
+
+def test_learned_strings_do_not_depend_on_the_order_of_rows(docs_of):
+    pairs = [(k, f"token={k * 7919 + 1000003}abc") for k in range(300)]
+    chosen = secret_scan.Settings(strings=20)
+    found = [secret_scan.learn_formats(docs_of(p).repartition(n), chosen) for p, n in ((pairs, 1), (pairs[::-1], 5))]
+    assert found[0] == found[1] or vars(found[0].automata[0]) == vars(found[1].automata[0])
+    assert found[0].background == found[1].background and found[0].automata[0].states[0].total == 20
+
+
 def test_state_merging_keeps_formats_apart():
     automaton = secret_scan.FormatAutomaton(["AB12"] * 50 + ["AB34"] * 50, 0.05)
     assert automaton.score("AB99") > automaton.score("AB9") and automaton.score("9999") == -np.inf
