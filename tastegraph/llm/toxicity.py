@@ -170,10 +170,11 @@ def score(
 
     Scores come from the text alone. A text without known features, empty and
     null ones included, gets the score of the intercept (0.5 if nothing was
-    learned); repeated rows are scored each; an empty table gives an empty result.
+    learned, and then no row is predicted toxic); repeated rows are scored each; an
+    empty table gives an empty result.
     """
     settings = model["settings"]
-    threshold = settings.threshold
+    threshold = _threshold(model)
     shared = docs.sparkSession.sparkContext.broadcast((model["at"], model["weight"]))
 
     def run(batches):
@@ -193,16 +194,22 @@ def score(
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def _threshold(model: dict) -> float:
+    """The least score that is predicted toxic: none if nothing was learned."""
+    return model["settings"].threshold if np.any(model["weight"]) else np.inf
+
+
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
     settings = model["settings"]
+    threshold = _threshold(model)
     shared = docs.sparkSession.sparkContext.broadcast((model["at"], model["weight"]))
 
     def run(batches):
         scorer = Scorer(settings, *shared.value)
         for batch in batches:
             scores = np.array([scorer(b) for b in batch.column(0).to_pylist()], np.float64)
-            rows = batch.filter(pa.array(scores < settings.threshold))
+            rows = batch.filter(pa.array(scores < threshold))
             yield pa.RecordBatch.from_arrays(rows.columns[1:], names=rows.schema.names[1:])
 
     return docs.select(text_bytes(text_col).alias("_body"), "*").mapInArrow(run, docs.schema)

@@ -49,3 +49,10 @@ def test_pipeline_of_odd_and_empty_documents(docs_of, odd_pairs, spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert docs.count() <= len(pairs)
+
+
+def test_pipeline_without_labels_keeps_documents(docs_of, spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = docs_of([(1, "some clean words"), (2, "other text")], extra=False)
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 2

@@ -144,6 +144,15 @@ def test_toxicity_without_labels_or_documents(docs_of, spark):
     assert toxicity.score(docs_of([]), model).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[], [(1, 0, None), (2, 0, None)], [(77, 0, 1)]])
+def test_without_learned_examples_every_document_stays(docs_of, spark, rows):
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    docs = docs_of([(1, "x"), (2, None), (3, "some words")])
+    model = toxicity.learn_weights(docs, labels)
+    assert [r.predicted for r in toxicity.score(docs, model).collect()] == [0, 0, 0]
+    assert sorted(r.doc_id for r in toxicity.keep_clean(docs, model).collect()) == [1, 2, 3]
+
+
 def edit_distance_inside(passage, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(passage, 1):
