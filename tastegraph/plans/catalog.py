@@ -16,12 +16,11 @@ from tastegraph.sources import readers, schemas, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Walks per node and trees of the queries below, which a checking engine must follow
-# in reasonable time; the operators' defaults are the full values. Depth, learning
-# rate, vector size and iterations are the full ones here too.
+# Walks per node of the queries below, which a checking engine must follow in
+# reasonable time; the operators' defaults are the full values. Length, vector size
+# and iterations are the full ones here too, and the models have all their trees.
 WALKS, LENGTH = 4, config.WALK_LENGTH
 STEP_WALKS = 2
-TREES = {"maxIter": 5}
 
 tables = lru_cache(maxsize=4)(Fixtures)
 
@@ -555,18 +554,18 @@ def _held_out(fx, estimators, blend=None):
 
 @query
 def model1_scores(fx):
-    return _held_out(fx, {"model1": models.model1(**TREES)})
+    return _held_out(fx, {"model1": models.model1()})
 
 
 @query
 def model2_scores(fx):
-    return _held_out(fx, {"model2": models.model2(**TREES)})
+    return _held_out(fx, {"model2": models.model2()})
 
 
 @query
 def blended_model_scores(fx):
     """Both models and their blend: the whole scoring path."""
-    both = {"score_x": models.model1(**TREES), "score_c": models.model2(**TREES)}
+    both = {"score_x": models.model1(), "score_c": models.model2()}
     blend = scores.blend(F.col("score_x"), F.col("score_c"))
     return _held_out(fx, both, ("blend", blend))
 
@@ -577,7 +576,7 @@ def model1_cross_validated(fx):
     table = _taught(fx, fx.ratings).withColumn(
         "fold", models.fold_of(config.MODEL1_FOLDS, "user_id", "business_id")
     )
-    found = models.cross_validated_rmse(models.model1(**TREES), table, config.MODEL1_FOLDS, "fold")
+    found = models.cross_validated_rmse(models.model1(), table, config.MODEL1_FOLDS, "fold")
     errors = fx.spark.createDataFrame(list(enumerate(found)), "fold int, rmse double")
     folds = table.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_pop("stars").alias("spread")

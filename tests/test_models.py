@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tastegraph import config
 from tastegraph.fixtures import VECTOR_DIM
 from tastegraph.operators import evaluate, models
-from tastegraph.plans import pipeline
+from tastegraph.plans import catalog, pipeline
 from tastegraph.session import materialise
 
 SMALL = {"maxIter": 3, "maxDepth": 3}
@@ -120,3 +121,11 @@ def test_jobs_end_to_end(spark, fx, tmp_path):
     three = scored("three", side_scores=side, weights=(0.0, 0.0, 1.0))
     known = {(r["user_id"], r["business_id"]): r["score"] for r in side.collect()}
     assert all(abs(x - known.get(k, 3.0)) < 1e-9 for k, x in three.items())
+
+
+def test_queries_train_all_trees(monkeypatch, fx, sf_dir):
+    asked = []
+    monkeypatch.setattr(catalog, "_held_out", lambda fx, estimators, blend=None: asked.extend(estimators.values()))
+    for name in ("model1_scores", "model2_scores", "blended_model_scores"):
+        catalog.QUERIES[name](fx.spark, sf_dir)
+    assert [e.getMaxIter() for e in asked] == [config.MODEL1["maxIter"], config.MODEL2["maxIter"]] * 2
