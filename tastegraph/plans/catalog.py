@@ -75,7 +75,7 @@ def read_pairs_parts(fx):
     lines = fx.pairs.select(line)
     header = lines.limit(1).select(F.lit("user_id,business_id").alias("value"))
     header.write.text(path)
-    lines.coalesce(1).write.mode("append").text(path)
+    lines.write.mode("append").text(path)
     return readers.read_pairs(fx.spark, path)
 
 

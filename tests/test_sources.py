@@ -1,7 +1,9 @@
 import os
+from types import SimpleNamespace
 
 import pytest
 
+from tastegraph.plans import catalog
 from tastegraph.sources import readers, writers
 
 
@@ -135,3 +137,10 @@ def test_scratch_is_dropped(spark):
     assert os.path.exists(path)
     drop_scratch(spark)
     assert not os.path.exists(path)
+
+
+def test_parts_of_pairs_are_written_by_many_tasks(fx):
+    table = SimpleNamespace(spark=fx.spark, pairs=fx.pairs.repartition(3))
+    found = catalog.read_pairs_parts(table)
+    assert len(found.inputFiles()) >= 4
+    assert found.count() == fx.pairs.count()
