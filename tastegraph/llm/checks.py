@@ -71,4 +71,72 @@ select d.doc_id, cast(len(d.words) as bigint) as n_words,
        sha256(array_to_string(case when g.places is null then d.words else
          list_filter(d.words, lambda w, i: not list_contains(g.places, i)) end, ' ')) as kept_sha256
 from docs d left join gone g on g.doc_id = d.doc_id""",
+    "op12_fill_middle": """
+with docs as materialized (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id) as h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t
+  from documents),
+drawn as (
+  select doc_id, text, t, len(t) as n,
+         ('0x' || substr(h, 1, 8))::bigint % (len(t) + 1) as u,
+         ('0x' || substr(h, 9, 8))::bigint % (len(t) + 1) as v,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+                or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 then 'plain'
+              when ('0x' || substr(h, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form
+  from docs),
+parted as (
+  select doc_id, text, n, form,
+         array_to_string(t[1:least(u, v)], '') as p,
+         array_to_string(t[least(u, v) + 1:greatest(u, v)], '') as m,
+         array_to_string(t[greatest(u, v) + 1:n], '') as s
+  from drawn)
+select doc_id, cast(n as bigint) as n, form,
+       case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then text
+                        when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from parted""",
+    "op13_vector_codes": """
+with recursive kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as q
+  from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cut as materialized (
+  select vec_id, label, p, q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4] as x
+  from kept, (select unnest(range(4)) as p)),
+first as (
+  select p, cast(row_number() over (partition by p order by vec_id) - 1 as bigint) as entry, x as e
+  from cut where vec_id in (select vec_id from kept order by vec_id limit 256)),
+books as (
+  select 0 as round, p, entry, e from first
+  union all
+  (with placed as (
+     select p, x, unnest(entry) as entry, dim from (
+       select c.p, c.x, len(c.x) as dim,
+              [arg_min(b.entry, {'d': list_inner_product(c.x, c.x) - 2 * list_inner_product(c.x, b.e)
+                                      + list_inner_product(b.e, b.e), 'i': b.entry})] as entry
+       from cut c join books b on b.p = c.p where b.round < 4
+       group by c.vec_id, c.p, c.x)),
+   sums as (
+     select p, entry, i, floor(cast(sum(x[i]) as double) / count(*)) as mean
+     from (select p, entry, x, unnest(range(1, dim + 1)) as i from placed) group by p, entry, i),
+   means as (select p, entry, list(mean order by i) as e from sums group by p, entry)
+   select b.round + 1, b.p, b.entry, coalesce(m.e, b.e)
+   from books b left join means m on m.p = b.p and m.entry = b.entry where b.round < 4)),
+final as materialized (select p, entry, e from books where round = 4),
+coded as materialized (
+  select c.vec_id, c.label, c.p, min({'d': list_inner_product(c.x, c.x) - 2 * list_inner_product(c.x, b.e)
+                                  + list_inner_product(b.e, b.e), 'i': b.entry}) as near
+  from cut c join final b on b.p = c.p group by c.vec_id, c.label, c.p),
+rows as (
+  select vec_id, label, array_to_string(list(printf('%02x', near.i) order by p), '') as code,
+         cast(sum(near.d) as bigint) as error
+  from coded group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(cast(cast(v as bigint) as varchar), ',' order by p, entry, i))
+        from (select p, entry, unnest(e) as v, unnest(range(len(e))) as i from final)) as codebooks_sha256
+from rows""",
 }

@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegraph.llm import (
+    byte_bpe,
     decontaminate,
     embedding_dedup,
+    fill_middle,
     line_dedup,
     packing,
     secret_scan,
@@ -14,6 +16,7 @@ from tastegraph.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    vector_codes,
 )
 from tastegraph.llm.common import table
 
@@ -69,6 +72,29 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    digests = encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids", "offsets"
+    )
+    return byte_bpe.decode(digests).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.restore(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    digests = {f"{name}_sha256": F.sha2(F.col(of), 256) for name, of in (("output", "output"), ("restored", "restored"))}
+    return found.withColumns(digests).drop("output", "restored")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    text = "" if books is None else vector_codes.codebook_text(books)
+    return codes.withColumn("codebooks_sha256", F.sha2(F.lit(text), 256))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -82,5 +108,8 @@ QUERIES = {
         op8_toxicity,
         op9_packing,
         op10_simhash_dedup,
+        op11_byte_bpe,
+        op12_fill_middle,
+        op13_vector_codes,
     )
 }
