@@ -50,9 +50,9 @@ IN_OUT_Q = 4.0
 VECTOR_SIZE = 200
 WINDOW = 15
 
-MODEL1 = {"maxIter": 400, "maxDepth": 7, "stepSize": 0.06}
+MODEL1 = {"trees": 400, "depth": 7, "rate": 0.06, "leaves": 100, "l2": 1.0}
 MODEL1_FOLDS = 4
-MODEL2 = {"maxIter": 1200, "maxDepth": 7, "stepSize": 0.06, "seed": 0}
+MODEL2 = {"trees": 1200, "depth": 7, "rate": 0.06, "symmetric": True, "l2": 3.0}
 MODEL2_FOLDS = 10
 
 # Blocks of the factorisation. Its first guess is drawn block by block, so these

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastegraph import config
+from tastegraph.functions.ids import poly_bucket
 
 
 def hot_keys(
@@ -145,3 +146,9 @@ def ordered_index(df: DataFrame, order: list[str | Column], bucket: Column, name
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_offset")
     )
+
+
+def placed_by_id(df: DataFrame, column: str, partitions: int = config.HASH_BUCKETS) -> DataFrame:
+    """Rows in the partition that the polynomial hash of their id names; null ids in the first."""
+    bucket = F.coalesce(poly_bucket(F.col(column), partitions), F.lit(0))
+    return df.repartitionById(partitions, bucket.cast("int"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tastegraph import config
 from tastegraph.fixtures import VECTOR_DIM, Fixtures
 from tastegraph.functions import ids, scores, text
-from tastegraph.operators import evaluate, features, graph, matrix, models, vectors, walks
+from tastegraph.operators import evaluate, features, graph, joins, matrix, models, vectors, walks
+from tastegraph.operators.boosting import SCHEMA, Ensemble
 from tastegraph.session import materialise, scratch_path
 from tastegraph.sources import readers, schemas, writers
 
@@ -227,6 +228,17 @@ def poly_hash_partitions(fx):
     return spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def rows_placed_by_id(fx):
+    """Each business with its hash bucket and the partition that it is in."""
+    placed = joins.placed_by_id(fx.business, "business_id", config.HASH_BUCKETS)
+    return placed.select(
+        "business_id",
+        ids.poly_bucket(F.col("business_id")).alias("id_bucket"),
+        F.spark_partition_id().cast("bigint").alias("partition"),
+    )
+
+
 # ---- aggregates -----------------------------------------------------------------
 
 @query
@@ -586,6 +598,53 @@ def model1_cross_validated(fx):
     )
 
 
+GRID = {"depth": [8], "rate": [0.1, 0.12], "column_share": [0.4], "row_share": [0.6]}
+
+
+@query
+def model_grid_search(fx):
+    """For each combination and fold: whether the model beats the global mean on it."""
+    table = _taught(fx, fx.ratings).withColumn(
+        "fold", models.fold_of(config.MODEL1_FOLDS, "user_id", "business_id")
+    )
+    found = models.grid_search(table, "fold", config.MODEL1_FOLDS, GRID, models.model1(trees=100, leaves=None))
+    spread = table.groupBy("fold").agg(F.stddev_pop("stars").alias("spread"))
+    return found.join(spread, "fold").select(
+        "name", F.col("fold").cast("bigint").alias("fold"), (F.col("rmse") < F.col("spread")).alias("below_mean_error")
+    )
+
+
+# A small model as its table of nodes; the checking SQL repeats it. The
+# features are 0 num_photo, 2 bid_avg_stars, 4 uid_num_reviews, 5 uid_avg_stars,
+# 22 is_open_0 and 24, the first component of the user's vector.
+FIXED_MODEL = [
+    (-1, 0, -1, 0.0, -1, -1, 3.0),
+    (0, 0, 2, 3.0, 1, 2, 0.0),
+    (0, 1, 5, 2.5, 3, 4, 0.0),
+    (0, 2, -1, 0.0, -1, -1, 0.5),
+    (0, 3, -1, 0.0, -1, -1, -1.0),
+    (0, 4, -1, 0.0, -1, -1, -0.25),
+    (1, 0, 0, 1.0, 1, 2, 0.0),
+    (1, 1, -1, 0.0, -1, -1, -0.125),
+    (1, 2, 4, 20.0, 3, 4, 0.0),
+    (1, 3, -1, 0.0, -1, -1, 0.0625),
+    (1, 4, -1, 0.0, -1, -1, 0.375),
+    (2, 0, 22, 0.0, 1, 2, 0.0),
+    (2, 1, -1, 0.0, -1, -1, 0.03125),
+    (2, 2, 24, 0.0, 3, 4, 0.0),
+    (2, 3, -1, 0.0, -1, -1, 0.015625),
+    (2, 4, -1, 0.0, -1, -1, -0.015625),
+]
+
+
+@query
+def model_round_trip(fx):
+    """A model stored as its table of nodes, loaded and applied to the pairs' features."""
+    path = scratch_path(fx.spark, "model")
+    models.save(Ensemble.from_table(fx.spark.createDataFrame(FIXED_MODEL, SCHEMA)), path)
+    return models.predict(models.load(path), matrix.assemble(_matrix(fx, fx.pairs)))
+
+
 # ---- blending and evaluation --------------------------------------------------------------
 
 def _baseline_scores(fx):

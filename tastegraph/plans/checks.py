@@ -320,6 +320,12 @@ from (select list_reduce(list_prepend(0::bigint, list_transform(
                lambda a, c: (a * 131 + c) & 2147483647) % 10 as bucket
       from business) z
 group by bucket""",
+    "rows_placed_by_id": """
+select business_id, bucket as id_bucket, bucket as partition
+from (select business_id, list_reduce(list_prepend(0::bigint, list_transform(
+               list_filter(string_split(business_id, ''), lambda c: c <> ''), lambda c: unicode(c)::bigint)),
+               lambda a, c: (a * 131 + c) & 2147483647) % 10 as bucket
+      from business) z""",
     "item_review_count": """
 select business_id, cast(sum(review_count) as bigint) as bid_num_review from business group by 1""",
     "item_star_variance": """
@@ -431,6 +437,17 @@ from pairs t join baseline_blend b
     "blended_model_scores": _held_out("score_x", "score_c", "blend"),
     "model1_cross_validated": f"""
 select {_FOLD} as fold, count(*) as n, true as below_mean_error from ratings group by 1""",
+    "model_grid_search": f"""
+select concat('depth=8,rate=', rate, ',column_share=0.4,row_share=0.6') as name, fold, true as below_mean_error
+from (select unnest(['0.1', '0.12']) as rate) g, (select distinct {_FOLD} as fold from ratings) f""",
+    "model_round_trip": """
+select e.user_id, e.business_id, e.stars,
+       3.0::double
+       + case when bid_avg_stars > 3.0 then 0.5 when uid_avg_stars <= 2.5 then -1.0 else -0.25 end::double
+       + case when num_photo <= 1 then -0.125 when uid_num_reviews <= 20 then 0.0625 else 0.375 end::double
+       + case when is_open <> 0 then 0.03125
+              when coalesce(v.embedding[1], 0) <= 0 then 0.015625 else -0.015625 end::double as prediction
+from eval_enriched e left join vectors v on v.id = concat(e.user_id, '_uid')""",
     "train_rmse": """
 select count(*) as n, round(sqrt(avg((r.stars - i.m) * (r.stars - i.m))), 6) as rmse
 from ratings r join item_mean i on i.business_id = r.business_id""",

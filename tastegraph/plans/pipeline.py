@@ -3,13 +3,13 @@
 import os
 from dataclasses import dataclass, replace
 
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegraph import config
 from tastegraph.functions import scores
 from tastegraph.operators import evaluate, features, graph, matrix, models, vectors, walks
+from tastegraph.operators.boosting import Ensemble, Params
 from tastegraph.operators.joins import assert_unique
 from tastegraph.session import materialise, temporary_scratch
 from tastegraph.sources import readers, schemas, writers
@@ -103,8 +103,8 @@ def run_embedding(
 class Trained:
     """Both models and the one-hot values they were trained with."""
 
-    first: GBTRegressionModel
-    second: GBTRegressionModel
+    first: Ensemble
+    second: Ensemble
     open_values: list
 
     def save(self, path: str) -> None:
@@ -163,7 +163,7 @@ def train(
 
 
 def cross_validate(
-    inputs: Inputs, node_vectors: DataFrame, estimator, folds: int,
+    inputs: Inputs, node_vectors: DataFrame, params: Params, folds: int,
     size: int = config.VECTOR_SIZE, open_values: list | None = None,
 ) -> list[float]:
     """Held-out RMSE per fold on the known ratings."""
@@ -171,7 +171,7 @@ def cross_validate(
     if open_values is None:
         open_values = learned_open_values(inputs)
     table = model_matrix(inputs, folded, node_vectors, size, open_values)
-    return models.cross_validated_rmse(estimator, table, folds, "fold")
+    return models.cross_validated_rmse(params, table, folds, "fold")
 
 
 def quality(
@@ -208,8 +208,8 @@ def run_training(
         report = {}
         if folds:
             each = (models.model1(**(model1 or {})), models.model2(**(model2 or {})))
-            for name, estimator, n in zip(("model1", "model2"), each, folds, strict=True):
-                found = cross_validate(inputs, node_vectors, estimator, n, size)
+            for name, params, n in zip(("model1", "model2"), each, folds, strict=True):
+                found = cross_validate(inputs, node_vectors, params, n, size)
                 report |= {f"fold_{k}_{name}": error for k, error in enumerate(found)}
         trained = train(inputs, node_vectors, size, model1, model2)
         trained.save(models_path)
@@ -230,7 +230,7 @@ def score(
     """Predictions for the pairs, one per input row.
 
     Both models are blended, with a third score per pair if ``side_scores`` has
-    one; ``weights`` replace the usual ones. ``only`` names a single model,
+    one, and with rescaled weights where it has none; ``weights`` replace the usual ones. ``only`` names a single model,
     ``model1`` or ``model2``, whose scores are returned as they are.
     """
     table = model_matrix(inputs, inputs.pairs, node_vectors, size, trained.open_values)
@@ -243,7 +243,7 @@ def score(
     if side_scores is None:
         blended = scores.blend(first, second, weights or config.BLEND_WEIGHTS, clamp_inputs)
     else:
-        both = vectors.with_side_score(both, side_scores)
+        both = vectors.with_side_score(both, side_scores, config.NO_SCORE)
         blended = scores.blend_three(first, second, F.col("score"), weights or config.THREE_WAY_WEIGHTS)
     return both.select(*columns, blended.alias("prediction"))
 

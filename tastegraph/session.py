@@ -26,6 +26,8 @@ def local_session(cpus="*", partitions=8, app="tastegraph", memory="16g") -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # TCP between tasks and their Python workers waits up to 40 ms for each answer.
+        .config("spark.python.unix.domain.socket.enabled", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

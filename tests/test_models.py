@@ -3,11 +3,12 @@ from pyspark.sql import functions as F
 
 from tastegraph import config
 from tastegraph.fixtures import VECTOR_DIM
-from tastegraph.operators import evaluate, models
+from tastegraph.operators import boosting, evaluate, models
 from tastegraph.plans import catalog, pipeline
 from tastegraph.session import materialise
 
-SMALL = {"maxIter": 3, "maxDepth": 3}
+# Every tree is shrunk by the rate, the first one too.
+SMALL = {"trees": 12, "depth": 3, "rate": 0.3}
 
 
 @pytest.fixture(scope="module")
@@ -62,19 +63,32 @@ def test_cross_validation(table):
     assert len(found) == 2 and all(0 < score < 1.5 for score in found)
 
 
-def test_grid_search(table):
-    found = models.grid_search(
-        table, "fold", 2, grid={"maxDepth": [1, 3], "stepSize": [0.5]},
-        base=models.model1(maxIter=2),
-    )
-    assert len(found.avgMetrics) == 2
-    assert found.avgMetrics[1] < found.avgMetrics[0]
+def test_grid_search_goes_on_after_the_last_result(spark, table, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    values = {"depth": [1, 3], "rate": [0.5]}
+    first = models.grid_search(table, "fold", 2, {"depth": [1], "rate": [0.5]}, models.model1(trees=2), path)
+    assert first.count() == 2
+    trained = []
+    real = models._by_fold
+    monkeypatch.setattr(models, "_by_fold", lambda *args: trained.append(args[1]) or real(*args))
+    found = models.grid_search(table, "fold", 2, values, models.model1(trees=2), path)
+    assert [p.depth for p in trained] == [3]
+    errors = {(r["name"], r["fold"]): r["rmse"] for r in found.collect()}
+    assert set(errors) == {(f"depth={d},rate=0.5", f) for d in (1, 3) for f in (0, 1)}
+    assert errors["depth=3,rate=0.5", 0] < errors["depth=1,rate=0.5", 0]
+    assert models.best_params(models.model1(trees=2), found, values) == models.model1(trees=2, depth=3, rate=0.5)
 
 
-def test_reference_parameters():
+def test_fixed_parameters():
     first, second = models.model1(), models.model2()
-    assert (first.getMaxIter(), first.getMaxDepth(), first.getStepSize()) == (400, 7, 0.06)
-    assert (second.getMaxIter(), second.getMaxDepth(), second.getStepSize()) == (1200, 7, 0.06)
+    assert (first.trees, first.depth, first.rate, first.leaves, first.symmetric) == (400, 7, 0.06, 100, False)
+    assert (second.trees, second.depth, second.rate, second.symmetric) == (1200, 7, 0.06, True)
+
+
+def test_sides_of_the_matrix(table):
+    items, users = models._sides(table)
+    assert len(items) == 3 + 2 + VECTOR_DIM and len(users) == 19 + VECTOR_DIM
+    assert boosting.binned(table).rows == table.count()
 
 
 def test_jobs_end_to_end(spark, fx, tmp_path):
@@ -90,7 +104,7 @@ def test_jobs_end_to_end(spark, fx, tmp_path):
 
     ratings, pairs, models_path = f"{folder}/ratings.csv", f"{folder}/pairs.csv", f"{folder}/m"
     vectors_path = f"{folder}/v.csv"
-    small = {"model1": SMALL, "model2": {**SMALL, "maxDepth": 2}}
+    small = {"model1": SMALL, "model2": {**SMALL, "depth": 2}}
     pipeline.run_embedding(
         spark, folder, ratings, pairs, vectors_path, num_walks=1, walk_length=4, size=8, window=3
     )
@@ -118,14 +132,19 @@ def test_jobs_end_to_end(spark, fx, tmp_path):
     weighted = scored("weighted", weights=(1.0, 0.0), clamp_inputs=True)
     assert all(abs(weighted[k] - min(5.0, max(1.0, first[k]))) < 1e-9 for k in first)
     side = fx.side_scores
-    three = scored("three", side_scores=side, weights=(0.0, 0.0, 1.0))
+    three = scored("three", side_scores=side, weights=(0.0, 1e-12, 1.0))
     known = {(r["user_id"], r["business_id"]): r["score"] for r in side.collect()}
-    assert all(abs(x - known.get(k, 3.0)) < 1e-9 for k, x in three.items())
+    # A pair without a third score is rescaled, never blended with a made-up one.
+    assert all(abs(three[k] - known[k]) < 1e-9 for k in known)
+    fourth = scored("fourth", side_scores=side, weights=(0.5, 0.0, 0.5))
+    missing = [k for k in fourth if k not in known]
+    assert missing and all(abs(fourth[k] - first[k]) < 1e-9 for k in missing)
+    assert all(abs(fourth[k] - (first[k] + known[k]) / 2) < 1e-9 for k in known)
 
 
 def test_queries_train_all_trees(monkeypatch, fx, sf_dir):
     asked = []
-    monkeypatch.setattr(catalog, "_held_out", lambda fx, estimators, blend=None: asked.extend(estimators.values()))
+    monkeypatch.setattr(catalog, "_held_out", lambda fx, models, blend=None: asked.extend(models.values()))
     for name in ("model1_scores", "model2_scores", "blended_model_scores"):
         catalog.QUERIES[name](fx.spark, sf_dir)
-    assert [e.getMaxIter() for e in asked] == [config.MODEL1["maxIter"], config.MODEL2["maxIter"]] * 2
+    assert [p.trees for p in asked] == [config.MODEL1["trees"], config.MODEL2["trees"]] * 2
