@@ -111,7 +111,8 @@ def learn_weights(
     One task learns, since every step depends on the one before; the bound on
     rows keeps it small at any size of the corpus. Labels are joined by a list of
     at most that many ids, so no other text moves. An id with several labels
-    takes the highest; null labels and ids are left out.
+    takes the highest, one with several texts that of the least hash; null labels and
+    ids are left out.
     """
     picked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -123,7 +124,8 @@ def learn_weights(
     rows = (
         docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_body"))
         .join(F.broadcast(picked), "_id")
-        .dropDuplicates(["_id"])
+        .groupBy("_id", "_label")
+        .agg(F.min(F.struct(F.xxhash64("_body"), "_body"))["_body"].alias("_body"))
     )
 
     def train(batches):
@@ -156,8 +158,11 @@ class Scorer:
         self.features = Features(settings)
         self.table = np.zeros(1 << settings.bits, np.float32)
         self.table[at] = weight
+        self.learned = bool(np.any(weight))
 
     def __call__(self, text: bytes) -> float:
+        if not self.learned:
+            return 0.0
         found = self.features.all(text)
         found = np.unique(found[self.table[found] != 0])
         return float(1 / (1 + np.exp(-np.clip(self.table[found].sum(dtype=np.float64), -35, 35))))
@@ -169,12 +174,12 @@ def score(
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Scores come from the text alone. A text without known features, empty and
-    null ones included, gets the score of the intercept (0.5 if nothing was
-    learned, and then no row is predicted toxic); repeated rows are scored each; an
-    empty table gives an empty result.
+    null ones included, gets the score of the intercept; if nothing was learned
+    every score is 0. Repeated rows are scored each; an empty table gives an empty
+    result.
     """
     settings = model["settings"]
-    threshold = _threshold(model)
+    threshold = settings.threshold
     shared = docs.sparkSession.sparkContext.broadcast((model["at"], model["weight"]))
 
     def run(batches):
@@ -194,15 +199,10 @@ def score(
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _threshold(model: dict) -> float:
-    """The least score that is predicted toxic: none if nothing was learned."""
-    return model["settings"].threshold if np.any(model["weight"]) else np.inf
-
-
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
     settings = model["settings"]
-    threshold = _threshold(model)
+    threshold = settings.threshold
     shared = docs.sparkSession.sparkContext.broadcast((model["at"], model["weight"]))
 
     def run(batches):
