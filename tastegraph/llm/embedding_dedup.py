@@ -64,33 +64,46 @@ def cover_tree(points: np.ndarray) -> CoverTree:
     """The cover tree of unit vectors; the first point is the root's center.
 
     A child keeps its parent's center or is farther than the level's radius from
-    the centers before it; a point goes to the first center that covers it.
+    the centers before it; a point goes to the first center that covers it. Only the
+    distances of a node's own points to its children's centers are computed.
     """
-    distance = np.sqrt(np.maximum(2 - 2 * (points @ points.T), 0))
-    centers, radii, starts, ends = [0], [float(distance[0].max())], [0], [0]
-    open_ = deque([(0, np.arange(len(points)), 2.0)])
+
+    def distances(center: int, own: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (points[own] @ points[center]), 0))
+
+    whole = np.arange(len(points))
+    first = distances(0, whole)
+    centers, radii, starts, ends = [0], [float(first.max())], [0], [0]
+    # A node, its points, their distances to its center, and its level's radius.
+    open_ = deque([(0, whole, first, 2.0)])
     while open_:
-        node, own, radius = open_.popleft()
+        node, own, far, radius = open_.popleft()
         if len(own) == 1:
             continue
+        starts[node] = len(centers)
         while radius / 2 >= radii[node] and radius > _SLACK:
             radius /= 2
         radius /= 2
-        starts[node] = len(centers)
-        left, center = own, centers[node]
-        while len(left):
-            far = distance[center, left]
+        if radius <= _SLACK:
             # Points on one spot cannot be told apart by radii: a leaf for each.
-            near = far <= radius if radius > _SLACK else left == left[0]
-            center = center if radius > _SLACK else left[0]
-            child = len(centers)
-            centers.append(int(center))
-            radii.append(float(far[near].max()) if radius > _SLACK else 0.0)
-            starts.append(0)
-            ends.append(0)
-            open_.append((child, left[near], radius))
-            left = left[~near]
-            center = left[0] if len(left) else center
+            centers += own.tolist()
+            radii += [0.0] * len(own)
+            starts += [0] * len(own)
+            ends += [0] * len(own)
+        else:
+            left, center = own, centers[node]
+            while len(left):
+                near = far <= radius
+                child = len(centers)
+                centers.append(int(center))
+                radii.append(float(far[near].max()))
+                starts.append(0)
+                ends.append(0)
+                open_.append((child, left[near], far[near], radius))
+                left = left[~near]
+                if len(left):
+                    center = left[0]
+                    far = distances(center, left)
         ends[node] = len(centers)
     return CoverTree(*map(np.array, (centers, radii, starts, ends)))
 
@@ -127,6 +140,14 @@ def _spread(key: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(7)), n).cast("int")
 
 
+def _label_key(vectors: DataFrame, label_col: str) -> Column:
+    """A string that is equal for equal labels of whatever type, null for null."""
+    kind, label = dict(vectors.dtypes)[label_col], F.col(label_col)
+    if kind == "binary":
+        return F.hex(label)
+    return (label + F.lit(0).cast(kind) if kind in ("float", "double") else label).cast("string")
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     """Distinct vectors that can link, with the smallest id and the number of ids."""
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -165,8 +186,8 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
 
     def pack(found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("node")
-        vectors = np.stack([np.asarray(v, np.float32) for v in found["vec"]])
-        points = unit(vectors.astype(np.float64))
+        vectors = np.stack([np.asarray(v, np.float64) for v in found["vec"]])
+        points = unit(vectors)
         mean = points.mean(axis=0)
         size = np.linalg.norm(mean)
         center = mean / size if size > 0 else points[0]
@@ -186,7 +207,7 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
             }
         )
 
-    schema = "label long, dim int, block long, center array<double>, radius double, nodes binary, copies binary, vectors binary, tree binary"
+    schema = "label string, dim int, block long, center array<double>, radius double, nodes binary, copies binary, vectors binary, tree binary"
     return materialise(rows.groupBy(*key, "slice").applyInPandas(pack, schema), "blocks")
 
 
@@ -194,7 +215,7 @@ def _block_links(found: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links between the one or two blocks of a pair, counted and spanned per vector."""
     sides = []
     for row in found.sort_values("block").itertuples():
-        points = unit(np.frombuffer(row.vectors, np.float32).reshape(-1, row.dim).astype(np.float64))
+        points = unit(np.frombuffer(row.vectors, np.float64).reshape(-1, row.dim))
         nodes, copies = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64)
         sides.append((points, nodes, copies, CoverTree.from_bytes(row.tree)))
     (a, ids_a, copies_a, tree_a), (b, ids_b, copies_b, tree_b) = sides[0], sides[-1]
@@ -237,7 +258,7 @@ def embedding_components(
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     Two vectors link when their labels are equal and not null and their cosine is
-    at least ``cosine``. Null or zero vectors and those with null or non-finite
+    at least ``cosine`` in double precision; labels are of any type. Null or zero vectors and those with null or non-finite
     components link with nothing, nor do vectors of different lengths or with a
     null id. Equal vectors are compared once as a class and count with all their
     ids. Rows that share an id are one vertex; without an id there is no component;
@@ -246,8 +267,8 @@ def embedding_components(
     rows = materialise(
         vectors.select(
             F.col(id_col).cast("long").alias("vec_id"),
-            F.col(vec_col).cast("array<float>").alias("vec"),
-            F.col(label_col).cast("long").alias("label"),
+            F.col(vec_col).cast("array<double>").alias("vec"),
+            _label_key(vectors, label_col).alias("label"),
         ),
         "vectors",
     )

@@ -1,4 +1,5 @@
 import math
+from datetime import date
 
 import numpy as np
 import pytest
@@ -41,6 +42,29 @@ def test_links_against_brute_force(spark, block):
     assert found == brute(rows)
 
 
+def test_cosine_is_taken_in_double_precision(spark):
+    """Pairs on either side of the threshold, nearer to it than single precision tells apart."""
+    rows = []
+    for k, over in enumerate((1e-9, -1e-9, 3e-9, -3e-9)):
+        c = 0.93 + over
+        rows += [(2 * k, [1.0, 0.0], f"pair {k}"), (2 * k + 1, [c, math.sqrt(1 - c * c)], f"pair {k}")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: r.n_links for r in ed.embedding_components(table).collect()}
+    assert found == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0}
+
+
+@pytest.mark.parametrize(
+    "kind, labels",
+    [("string", ["a", "a", "b", None]), ("double", [0.0, -0.0, 1.5, None]), ("binary", [b"\xff", b"\xff", b"\xfe", None]),
+     ("date", [date(2024, 1, 1), date(2024, 1, 1), date(2024, 1, 2), None]), ("boolean", [True, True, False, None])],
+)
+def test_labels_of_any_type_and_clashing_columns(spark, kind, labels):
+    schema = f"vec_id int, embedding array<double>, label {kind}, cell int, slice int, dim int, copies int, links int, root int"
+    table = spark.createDataFrame([(k, [1.0, 0.5], x, 1, 2, 3, 4, 5, 6) for k, x in enumerate(labels)], schema)
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.embedding_components(table).collect())
+    assert found == [(0, 1, 0), (1, 1, 0), (2, 0, 2), (3, 0, 3)]
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     rows = [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.001], 1)]
     table = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)
