@@ -1,21 +1,24 @@
 """Lines that documents share with earlier ones, deleted where the two align.
 
-A document is compared with the first owners of its runs: from each line on, the
-fewest consecutive lines that together have the words of a block. The pair is
-aligned by patience diff: lines that occur once on either side and in the same
-order are anchors, and equal lines around them grow them into blocks. Aligned
-blocks go from the later document.
+A document is compared with earlier owners of its runs: from each line on, the fewest
+consecutive lines that together have the words of a block. First with the first
+owner of each run; then, for the runs that stay, with their next owners, until a
+round deletes nothing. A pair is aligned by patience diff: lines that occur once on
+either side and in the same order are anchors, and equal lines around them grow them
+into blocks. Aligned blocks go from the later document.
 """
 
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import RollingHash, batches_of
+from tastegraph.llm.common import RollingHash, batches_of, text_bytes
 from tastegraph.session import materialise
 
 
@@ -34,14 +37,13 @@ class Settings:
 
 #: A word: characters between white space, or as many of them as a word may have. Scripts
 #: that are written without spaces have their own lengths.
-WORD = (
-    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,2}"
-    r"|[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,4}"
-    r"|[^\p{IsWhite_Space}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,24}"
-)
+SCRIPTS = {r"[\p{Han}\p{Hiragana}\p{Katakana}]": 2, r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]": 4}
+LONGEST_WORD = 24
 
 #: Places of runs for each slice of a first owner; it decides only where pairs go.
 SLICE_PLACES = 512
+#: Bytes of texts whose words are counted together.
+GROUP_BYTES = 1 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -56,6 +58,33 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+@cache
+def character_classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of every code point (0 for white space) and the longest word of each class."""
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    classes = np.ones(0x110000, np.uint8)
+    for k, pattern in enumerate((r"\p{White_Space}", *SCRIPTS)):
+        found = "".join(regex.findall(pattern, everything))
+        classes[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = k + 1 if k else 0
+    return classes, np.array([1, LONGEST_WORD, *SCRIPTS.values()])
+
+
+def line_words(texts: list[str], classes: np.ndarray, longest: np.ndarray) -> list[np.ndarray]:
+    """The number of words of each line of each text, all texts in one pass."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    kind = classes[codes]
+    first = np.flatnonzero(np.diff(kind, prepend=255))
+    # Words begin every so many characters of a run of one class.
+    sizes = np.diff(first, append=len(kind))
+    words = np.where(kind[first] > 0, -(-sizes // longest[kind[first]]), 0)
+    upto = np.concatenate(([0], np.cumsum(words)))
+    breaks = np.flatnonzero(codes == 10)
+    # A line break ends a run, so whole runs stand before it.
+    counts = np.diff(upto[np.searchsorted(first, breaks, side="right") - (kind[breaks] == 0)], prepend=0)
+    ends = np.cumsum([t.count("\n") + 1 for t in texts])
+    return np.split(counts, ends[:-1])
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of equal lines of two texts, in order."""
     found, open_ = [], [(0, len(a), 0, len(b))]
@@ -134,39 +163,86 @@ def duplicate_lines(
     never compared, and a null id comes before all others. "Earlier" is the
     smaller id. Lines are compared without the spaces around them; words are
     what stands between white space, in pieces of the length of a word.
+
+    A run that stays after its first owner has been aligned is tried with the next
+    one of another text. Every round makes at most one pair per run and document; a
+    round that deletes nothing is the last.
     """
-    parts = docs.select(
-        _key(id_col).alias("id"), _text_hash(F.col(text_col)).alias("th"), _lines(F.col(text_col)).alias("lines")
-    )
-    texts = materialise(
-        parts.select(
-            "id",
-            "th",
-            F.transform("lines", lambda x: F.xxhash64(F.trim(x))).alias("hashes"),
-            F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
-        ),
-        "line_hashes",
-    )
-    every = _runs(texts, settings.words)
-    owners = materialise(
+    texts = materialise(_texts(docs, id_col, text_col), "line_hashes")
+    every = materialise(_runs(texts, settings.words), "line_runs")
+    rare = settings.rare is not None
+    owners = (
         every.groupBy("line")
         .agg(
-            F.min("id").alias("first"),
+            F.min(F.struct("id", "th")).alias("owner"),
             F.max("id").alias("last"),
             F.count("*").alias("uses"),
-            *([F.count_distinct("id", "th").alias("owned")] if settings.rare is not None else []),
+            *([F.count_distinct("id", "th").alias("owned")] if rare else []),
         )
-        .where("first < last")
-        .drop("last"),
-        "line_owners",
+        .where("owner.id < last")
+        .select("line", "owner", "uses", *(["owned"] if rare else []))
     )
-    slices = owners.groupBy("first").agg(F.ceil(F.sum("uses") / SLICE_PLACES).alias("slices"))
-    shared = every.join(owners.join(slices, "first"), "line").where("id > first")
-    if settings.rare is None:
-        return _united(_aligned(texts, slices, shared, settings.words))
-    shared = materialise(shared, "shared_lines")
-    common = shared.where(F.col("owned") > settings.rare).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("place", "last_place")))).alias("gone"))
-    return _united(_aligned(texts, slices, shared.where(F.col("owned") <= settings.rare), settings.words).union(common))
+    open_, gone, deleted = every, None, 0
+    while True:
+        shared = _shared(open_, materialise(owners, "line_owners"))
+        if rare and gone is None:
+            common = shared.where(F.col("owned") > settings.rare)
+            places = F.flatten(F.collect_list(F.sequence("place", "last_place")))
+            gone = common.groupBy("id", "th").agg(F.array_distinct(places).alias("gone"))
+            shared = shared.where(F.col("owned") <= settings.rare)
+        found = _aligned(texts, shared, settings.words)
+        gone = materialise(_united(found if gone is None else gone.union(found)), "gone_lines")
+        now = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+        if now == deleted:
+            return gone
+        deleted = now
+        stays = F.size(F.array_except(F.sequence("place", "last_place"), F.coalesce("gone", F.array().cast("array<int>")))) > 0
+        open_ = materialise(
+            shared.join(gone, ["id", "th"], "left").where(stays).select("id", "th", "line", "place", "last_place", "owner"),
+            "open_lines",
+        )
+        tried = materialise(open_.groupBy("line").agg(F.max("owner").alias("tried"), F.count("*").alias("uses")), "tried_lines")
+        open_ = open_.drop("owner")
+        owners = (
+            every.join(tried, "line")
+            .where("id > tried.id and th != tried.th")
+            .groupBy("line")
+            .agg(F.min(F.struct("id", "th")).alias("owner"), F.max("uses").alias("uses"))
+        )
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, th, hashes, words``: the hash and the number of words of each line."""
+    shared = docs.sparkSession.sparkContext.broadcast(character_classes())
+
+    def run(batches):
+        classes, longest = shared.value
+        for batch in batches:
+            counts, held, size = [], [], 0
+            for body in batch.column(3).to_pylist():
+                held.append(body.decode("utf-8", "replace"))
+                size += len(body)
+                if size > GROUP_BYTES:
+                    counts += line_words(held, classes, longest)
+                    held, size = [], 0
+            counts += line_words(held, classes, longest) if held else []
+            words = pa.array(counts, pa.list_(pa.int32()))
+            yield pa.record_batch([*batch.columns[:3], words], names=["id", "th", "hashes", "words"])
+
+    rows = docs.select(
+        _key(id_col).alias("id"),
+        _text_hash(F.col(text_col)).alias("th"),
+        F.transform(_lines(F.col(text_col)), lambda x: F.xxhash64(F.trim(x))).alias("hashes"),
+        text_bytes(text_col).alias("body"),
+    )
+    return rows.mapInArrow(run, "id long, th long, hashes array<long>, words array<int>")
+
+
+def _shared(open_: DataFrame, owners: DataFrame) -> DataFrame:
+    """The runs of documents with an earlier owner, and the slices that its pairs are dealt over."""
+    slices = owners.groupBy("owner.id").agg(F.ceil(F.sum("uses") / SLICE_PLACES).alias("slices"))
+    with_slices = owners.join(slices, F.col("owner.id") == slices["id"]).drop("id")
+    return materialise(open_.join(with_slices, "line").where("id > owner.id"), "shared_lines")
 
 
 def _runs(texts: DataFrame, least: int) -> DataFrame:
@@ -211,13 +287,14 @@ def _united(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def _aligned(texts: DataFrame, slices: DataFrame, shared: DataFrame, least: int) -> DataFrame:
+def _aligned(texts: DataFrame, shared: DataFrame, least: int) -> DataFrame:
     """``id, th, gone`` for each pair of documents with lines to delete from the later.
 
-    The pairs of a first owner are dealt over slices, each with a copy of its lines.
+    The pairs of an owner are dealt over slices, each with a copy of its lines.
     """
     slice_ = F.pmod(F.xxhash64("id", "th"), F.col("slices")).alias("slice")
-    pairs = shared.select("first", slice_, "id", "th").distinct()
+    pairs = shared.select(F.col("owner.id").alias("first"), slice_, "id", "th").distinct()
+    slices = shared.select(F.col("owner.id").alias("first"), "slices").distinct()
     earlier = (
         texts.select(F.col("id").alias("first"), F.col("hashes").alias("first_hashes"))
         .distinct()

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,6 +66,54 @@ def test_frequent_lines_are_aligned_like_rare_ones(docs_of):
     assert {r.doc_id for r in line_dedup.drop_duplicate_lines(docs_of(pairs)).collect()} == {0, 200}
 
 
+def all_pairs(pairs, words=5):
+    """Lines deleted from each document by aligning it with every earlier one."""
+    docs = sorted({(i, t or "") for i, t in pairs}, key=lambda d: (d[0] is not None, d[0] or 0))
+    lines = [(i, t, [x.strip(" ") for x in t.split("\n")]) for i, t in docs]
+    out = {}
+    for k, (i, t, own) in enumerate(lines):
+        counts = [len(x.split()) for x in own]
+        gone = set()
+        for j, _, other in lines[:k]:
+            if j != i:
+                gone.update(line_dedup.aligned_blocks(other, own, counts, words))
+        out[i, t] = gone
+    return out
+
+
+def test_a_moved_line_goes_with_the_document_that_holds_it_alone(docs_of):
+    """Document 3 is out of order against 1, its first owner; 2 holds the line that stays."""
+    pairs = [(1, text_of("x", "y")), (2, text_of("x")), (3, text_of("y", "x")), (4, text_of("y"))]
+    found = {r.row.doc_id: r.kept for r in line_dedup.remove_lines(docs_of(pairs)).collect()}
+    assert found == {1: text_of("x", "y"), 2: "", 3: "", 4: ""}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deleted_lines_against_alignment_of_all_pairs(docs_of, seed):
+    """Nothing is deleted that no pair would delete, and hardly anything stays that one would."""
+    rnd = random.Random(seed)
+    letters = "abcdefghijklmnop"
+    pairs = [(k, text_of(*rnd.choices(letters, k=rnd.randrange(1, 7)))) for k in range(60)]
+    expected = all_pairs(pairs)
+    found = line_dedup.duplicate_lines(docs_of(pairs)).collect()
+    texts = {i: t for i, t in pairs}
+    got = {(r.id, texts[r.id]): set(r.gone) for r in found}
+    assert all(lines <= expected[d] for d, lines in got.items())
+    assert sum(map(len, got.values())) >= 0.9 * sum(map(len, expected.values()))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\t中あไé\u3000x", max_size=60), max_size=6))
+def test_words_of_lines_against_a_pattern(texts):
+    word = (
+        r"[\p{Han}\p{Hiragana}\p{Katakana}]{1,2}|[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{1,4}"
+        r"|[^\p{White_Space}\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{1,24}"
+    )
+    if texts:
+        found = line_dedup.line_words(texts, *line_dedup.character_classes())
+        assert [c.tolist() for c in found] == [[len(regex.findall(word, x)) for x in t.split("\n")] for t in texts]
+
+
 LISTS = [
     "eggs\nmilk\nflour and salt\nbread\nbutter\ntea",
     "alpha\tbeta\tgamma\tdelta\tepsilon",
