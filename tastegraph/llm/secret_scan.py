@@ -3,8 +3,9 @@
 The strings found by the patterns in all documents are labelled credentials, of
 which a bounded number is learned from. For each kind a prefix tree of their
 character classes is reduced by merging states whose statistics agree, which
-leaves a probabilistic automaton of the format. Every other token of a text is
-scored by how likely the automata are to write it.
+leaves a probabilistic automaton of the format. Every other token of a text that is
+as long as the shortest value of an assignment is scored: by how likely an automaton
+is to write it, against ordinary text and the share of credentials among tokens.
 """
 
 import hashlib
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import batches_of, text_bytes
+from tastegraph.llm.common import Memo, batches_of, text_bytes
 from tastegraph.session import materialise
 
 #: The base patterns, in the order in which kinds are listed.
@@ -30,9 +31,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 
-#: What is scored: tokens of this shape that hold a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Decisions that a task keeps, by the classes of a token.
+KEPT_DECISIONS = 200_000
 
+#: The shortest value of an assignment, and so the shortest token that is scored.
+SHORTEST = 6
 
 @dataclass(frozen=True)
 class Settings:
@@ -40,8 +43,10 @@ class Settings:
 
     All texts are searched and the ``strings`` distinct strings of a kind with the
     least hashes used, of longer ones the first ``chars`` characters. ``alpha`` is
-    the error of the test that two states differ; a token is accepted when its mean log-likelihood per character is at least the lowest
-    of the labelled strings less ``slack``, and above the background's.
+    the error of the test that two states differ. A token is accepted when its mean
+    log-likelihood per character is at least the lowest of the labelled strings less
+    ``slack``, and its likelihood exceeds that of ordinary text by more than ordinary
+    tokens outnumber credentials.
     """
 
     strings: int = 400
@@ -50,9 +55,17 @@ class Settings:
     slack: float = 0.25
 
 
+def _assignments(text: str) -> list[re.Match]:
+    """Matches of the assignment pattern; texts without any of its names are not searched."""
+    low = text.lower()
+    if not any(name in low for name in ("passw", "secret", "token", "apikey", "api_key")):
+        return []
+    return [m for m in ASSIGN.finditer(text) if len(m[2]) >= SHORTEST]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches, in code points."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found = [(m.start(), 0, m.end()) for m in _assignments(text)]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
@@ -60,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def labelled(text: str) -> list[tuple[str, str]]:
     """(kind, credential) of the base matches: for assignments the value alone."""
-    found = [("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found = [("assign", m[2]) for m in _assignments(text)]
     found += [("access", m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     return found + [("hex", m[0]) for m in HEX.finditer(text)]
 
@@ -73,6 +86,9 @@ _CLASSES = str.maketrans(
 )
 #: Digits, hex letters, other small letters, capitals, and the signs + / _ . = -
 _SYMBOLS = 10
+#: A token that is scored, written in classes. Texts have no other way to these letters:
+#: each letter and digit has a class.
+_TOKEN = re.compile(r"[dxlU+/_.=-]{%d,}" % SHORTEST)
 
 
 @dataclass
@@ -162,8 +178,11 @@ class FormatAutomaton:
 
     def score(self, s: str) -> float:
         """Mean log-likelihood per character, the end included."""
+        return self.score_classes(s.translate(_CLASSES))
+
+    def score_classes(self, s: str) -> float:
         at, total = 0, 0.0
-        for c in s.translate(_CLASSES):
+        for c in s:
             state = self.states[at]
             total += math.log((state.through[c] + 0.01) / (state.total + 0.01 * (_SYMBOLS + 1)))
             if c not in state.next:
@@ -176,17 +195,29 @@ class FormatAutomaton:
 
 @dataclass
 class Formats:
-    """The learned automata, and class frequencies of ordinary tokens."""
+    """The learned automata, and what ordinary text looks like.
+
+    ``background`` counts the classes of all characters, ``tokens`` the tokens that
+    are scored and ``credentials`` the labelled strings among them.
+    """
 
     automata: list[FormatAutomaton]
     background: Counter
     slack: float
+    tokens: int = 0
+    credentials: int = 0
 
     def accepts(self, token: str) -> bool:
+        return self.accepts_classes(token.translate(_CLASSES))
+
+    def accepts_classes(self, token: str) -> bool:
+        """Whether a token of these classes fits a format; nothing else of it matters."""
         total = self.background.total() + _SYMBOLS
-        plain = sum(math.log((self.background[c] + 1) / total) for c in token.translate(_CLASSES)) / len(token)
-        scores = ((a.score(token), a.least) for a in self.automata)
-        return any(s >= least - self.slack and s > plain for s, least in scores)
+        ends = math.log((self.tokens + 1) / (total + self.tokens + 1))
+        plain = ends + sum(math.log((self.background[c] + 1) / total) for c in token)
+        odds = math.log((self.tokens + 1) / (self.credentials + 1))
+        scores = ((a.score_classes(token), a.least) for a in self.automata)
+        return any(s >= least - self.slack and s * (len(token) + 1) - plain > odds for s, least in scores)
 
 
 def learn_formats(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> Formats:
@@ -205,12 +236,14 @@ def learn_formats(docs: DataFrame, settings: Settings = Settings(), text_col: st
             for body in batch.column(0).to_pylist():
                 text = body.decode()
                 for kind, value in labelled(text):
+                    background["credentials"] += 1
                     value = value[: settings.chars]
                     strings[kind][value] = hash_of(value) - (1 << 63)
                     if len(strings[kind]) >= 4 * settings.strings:
                         strings[kind] = dict(_least(strings[kind], settings.strings))
                 classes = text.translate(_CLASSES)
                 background.update({c: classes.count(c) for c in "dxlU+/_.=-"})
+                background["tokens"] += len(_TOKEN.findall(classes))
         rows = [(kind, v, h, 0) for kind, held in strings.items() for v, h in _least(held, settings.strings)]
         rows += [("background", c, 0, count) for c, count in background.items()]
         yield from batches_of(iter(rows), schema)
@@ -228,7 +261,8 @@ def learn_formats(docs: DataFrame, settings: Settings = Settings(), text_col: st
         if chosen:
             automata.append(FormatAutomaton([r.value for r in chosen], settings.alpha))
     background = Counter({r.value: r.n for r in found.where("kind = 'background'").collect()})
-    return Formats(automata, background, settings.slack)
+    tokens, credentials = background.pop("tokens", 0), background.pop("credentials", 0)
+    return Formats(automata, background, settings.slack, tokens, credentials)
 
 
 def _least(strings: dict[str, int], n: int) -> list[tuple[str, int]]:
@@ -240,16 +274,19 @@ def hash_of(value: str) -> int:
     return xxhash.xxh64_intdigest(value)
 
 
-def all_spans(text: str, formats: Formats) -> tuple[list, list]:
-    """The base spans, and with them the tokens that fit a learned format."""
+def all_spans(text: str, formats: Formats, decided: dict[str, bool] | None = None) -> tuple[list, list]:
+    """The base spans, and with them the tokens that fit a learned format.
+
+    ``decided`` keeps the decisions by a token's classes.
+    """
     base = base_spans(text)
-    added = []
-    for m in CANDIDATE.finditer(text):
-        token = m[0]
-        mixed = any(map(str.isdigit, token)) and any(map(str.isalpha, token))
-        if mixed and not any(s < m.end() and m.start() < e for s, _, e in base):
-            if formats.accepts(token):
-                added.append((m.start(), 3, m.end()))
+    if decided is None:
+        decided = Memo(formats.accepts_classes, KEPT_DECISIONS)
+    added = [
+        (m.start(), 3, m.end())
+        for m in _TOKEN.finditer(text.translate(_CLASSES))
+        if decided[m[0]] and not any(s < m.end() and m.start() < e for s, _, e in base)
+    ]
     return base, sorted(base + added)
 
 
@@ -273,10 +310,11 @@ def scan_secrets(
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"]
 
     def run(batches):
+        decided = Memo(formats.accepts_classes, KEPT_DECISIONS)
         for batch in batches:
             rows = []
             for body in batch.column(1).to_pylist():
-                base, spans = all_spans(body.decode(), formats)
+                base, spans = all_spans(body.decode(), formats, decided)
                 kinds = Counter(k for _, k, _ in spans)
                 digest = hashlib.sha256(written(base).encode()).hexdigest()
                 rows.append((kinds[0], kinds[1], kinds[2], digest, written(spans), kinds[3]))

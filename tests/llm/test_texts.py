@@ -83,6 +83,53 @@ def test_learned_formats_find_unmarked_credentials_and_leave_words(docs_of):
     assert [text[s:e] for s, _, e in spans if (s, _, e) not in base] == [text.split()[1]]
 
 
+def test_short_unmarked_credentials_are_found_and_words_left(docs_of):
+    """Passwords of 9 characters, small letters alone but for two digits, among ordinary words."""
+    rnd = random.Random(31)
+
+    def password():
+        return "".join(rnd.choices("bcdfghjkmnpqrstvwz", k=2)) + "".join(rnd.choices("23456789", k=5)) + "".join(rnd.choices("ABCDEFGH", k=2))
+
+    lexicon = ["".join(rnd.choices("aeiounrstl", k=rnd.randrange(3, 11))) for _ in range(3000)]
+    taught = [(k, " ".join(rnd.choices(lexicon, k=60)) + f" password={password()}") for k in range(300)]
+    unmarked = [password() for _ in range(200)]
+    hidden = [(1000 + k, " ".join([*rnd.choices(lexicon, k=30), p, *rnd.choices(lexicon, k=30)])) for k, p in enumerate(unmarked)]
+    docs = docs_of(taught + hidden)
+    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    hits = [k for k, t in hidden if f"format:{t.index(unmarked[k - 1000])}:" in found[k]]
+    added = sum(s.count("format:") for s in found.values())
+    assert len(hits) >= 0.95 * len(hidden)
+    assert added - len(hits) <= 0.02 * added
+
+
+def test_added_spans_against_scores_of_every_token(docs_of, odd_pairs):
+    """Every token from the shortest length on, judged by the likelihoods written out."""
+    pairs = odd_pairs + list(enumerate(SECRETS, 700)) + [(800 + k, f"token={k * 7919 + 1000003}ab and {k * 104729}cd-x1") for k in range(80)]
+    docs = docs_of(pairs)
+    formats = secret_scan.learn_formats(docs)
+    total = sum(formats.background.values()) + 10
+
+    def fits(token):
+        classes = "".join("d" if c in "0123456789" else "x" if c in "abcdef" else "l" if c.islower() else "U" if c.isupper() else c for c in token)
+        plain = np.log((formats.tokens + 1) / (total + formats.tokens + 1)) + sum(np.log((formats.background[c] + 1) / total) for c in classes)
+        odds = np.log((formats.tokens + 1) / (formats.credentials + 1))
+        return any(a.score(token) >= a.least - formats.slack and a.score(token) * (len(token) + 1) - plain > odds for a in formats.automata)
+
+    expected, scored = {}, 0
+    for i, t in pairs:
+        base = plain_spans(t or "")
+        tokens = [m for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", t or "")]
+        scored += len(tokens)
+        added = [(m.start(), 3, m.end()) for m in tokens if fits(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        expected[str(i), t] = secret_scan.written(sorted(base + added))
+    assert formats.tokens == scored
+    got = {str(r.doc_id): r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    for (i, _), spans in expected.items():
+        if sum(k == i for k, _ in expected) == 1:
+            assert got[i] == spans
+    assert any("format" in spans for spans in expected.values())
+
+
 def test_formats_are_learned_from_all_texts(docs_of):
     rnd = random.Random(12)
 
@@ -140,7 +187,7 @@ def test_toxicity_on_held_out_rows(docs_of, spark):
 def test_toxicity_without_labels_or_documents(docs_of, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.learn_weights(docs_of([(1, "x")]), none)
-    assert [r.score for r in toxicity.score(docs_of([(1, "x"), (2, None)]), model).collect()] == [0.5, 0.5]
+    assert [r.score for r in toxicity.score(docs_of([(1, "x"), (2, None)]), model).collect()] == [0.0, 0.0]
     assert toxicity.score(docs_of([]), model).count() == 0
 
 
@@ -149,10 +196,55 @@ def test_without_learned_examples_every_document_stays(docs_of, spark, rows):
     labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     docs = docs_of([(1, "x"), (2, None), (3, "some words")])
     model = toxicity.learn_weights(docs, labels)
-    assert [r.predicted for r in toxicity.score(docs, model).collect()] == [0, 0, 0]
+    scored = toxicity.score(docs, model).collect()
+    assert [(r.predicted, r.score < 0.3) for r in scored] == [(0, True)] * 3
     assert sorted(r.doc_id for r in toxicity.keep_clean(docs, model).collect()) == [1, 2, 3]
 
 
+def test_repeated_ids_teach_the_same_whatever_their_order(docs_of, spark):
+    rnd = random.Random(9)
+    pairs = [(i // 2, " ".join(rnd.choices(["moron", "fine", "words", "here"], k=6))) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    found = [toxicity.learn_weights(docs_of(p).repartition(n), labels) for p, n in ((pairs, 1), (pairs[::-1], 4))]
+    assert all(np.array_equal(found[0][k], found[1][k]) for k in ("at", "weight"))
+
+
+def plain_ftrl(examples, s):
+    """Weights by the update rule written out, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0 if i == 0 else s.l1
+        if abs(z.get(i, 0)) <= l1:
+            return 0.0
+        return (np.sign(z[i]) * l1 - z[i]) / ((s.beta + np.sqrt(n.get(i, 0))) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for features, label in examples:
+            own = {i: weight(i) for i in features}
+            g = 1 / (1 + np.exp(-sum(own.values()))) - label
+            for i, w in own.items():
+                step = (np.sqrt(n.get(i, 0) + g * g) - np.sqrt(n.get(i, 0))) / s.alpha
+                z[i] = z.get(i, 0) + g - step * w
+                n[i] = n.get(i, 0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_learner_follows_the_plain_update_rule():
+    rnd = random.Random(10)
+    s = toxicity.Settings(bits=10, l1=0.4)
+    examples = [(sorted({0, *rnd.choices(range(1, 60), k=8)}), rnd.randrange(2)) for _ in range(150)]
+    learner = toxicity.Ftrl(s)
+    for _ in range(s.epochs):
+        for features, label in examples:
+            learner.learn(np.array(features, np.int32), label)
+    at, weights = learner.model()
+    expected = plain_ftrl(examples, s)
+    got = {int(i): float(w) for i, w in zip(at, weights) if w}
+    assert got.keys() == expected.keys() and 10 < len(got) < 60
+    assert all(abs(got[i] - expected[i]) < 1e-3 for i in got)
+
+
 def edit_distance_inside(passage, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(passage, 1):
