@@ -10,12 +10,14 @@ vocabulary's bytes to those offsets in one step.
 """
 
 import base64
+from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +25,11 @@ from pyspark.sql import functions as F
 from tastegraph.llm.common import text_bytes
 
 #: Entries that a worker holds, and the longest pre-token worth one.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 LONGEST_KEPT = 64
-#: Characters whose boundaries are searched together (a longer text is taken alone),
-#: and those of one block of the scan.
-GROUP_CHARS = 500_000
+#: Bytes whose boundaries are searched together (a longer text is taken alone), and
+#: characters of one block of the scan.
+GROUP_BYTES = 250_000
 BLOCK = 64
 
 # The classes of characters and the states after them. The classes
@@ -165,6 +167,7 @@ class Vocabulary:
             if token[:k] in rank and token[k:] in rank
         ]
         self.pairs, self.pair_ranks = np.array(sorted(pairs), np.int64).reshape(-1, 2).T.copy()
+        self.letters, self.begins = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.sizes) - self.sizes
         self._encoder = None
 
     def encoder(self) -> "Encoder":
@@ -173,6 +176,11 @@ class Vocabulary:
             self._encoder = Encoder(self)
         return self._encoder
 
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of tokens, each copied to its offset."""
+        shift = np.repeat(self.begins[ids] - offsets, self.sizes[ids])
+        return self.letters[np.arange(len(shift)) + shift].tobytes()
+
 
 class Merger:
     """Merges the bytes of pre-tokens by rank; results are cached up to a bound."""
@@ -311,17 +319,16 @@ class Encoder:
         return out
 
 
-def _groups(bodies: list[bytes]):
-    """Runs of texts of GROUP_CHARS bytes in all, or one longer text."""
-    held, size = [], 0
-    for k, body in enumerate(bodies):
-        if held and size + len(body) > GROUP_CHARS:
-            yield held
-            held, size = [], 0
-        held.append(k)
-        size += len(body)
-    if held:
-        yield held
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """First text and number of texts of runs of GROUP_BYTES in all, or one longer text."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and held + size > GROUP_BYTES:
+            yield first, k - first
+            first, held = k, 0
+        held += size
+    if len(sizes) > first:
+        yield first, len(sizes) - first
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -331,7 +338,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(
-    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
 ) -> DataFrame:
     """``doc_id, ids, offsets`` for every row of ``docs``.
 
@@ -339,28 +346,30 @@ def encode(
     begins. Null and empty texts have none; bytes that are not UTF-8 count as the
     replacement character. Repeated rows are encoded each; an empty table gives an
     empty result; other columns are not read. What is broadcast is the vocabulary,
-    its mergeable pairs and one byte per code point.
+    its mergeable pairs and one byte per code point. With ``decoded`` the ids are
+    decoded in the same pass and ``decoded`` takes the place of ``offsets``; see
+    :func:`decode`.
     """
     vocabulary = Vocabulary(read_ranks(path or rank_path()), character_classes())
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    last = "decoded binary" if decoded else "offsets array<int>"
 
     def run(batches):
-        encoder = shared.value.encoder()
+        vocabulary = shared.value
+        encoder = vocabulary.encoder()
         for batch in batches:
-            bodies = [b.decode("utf-8", "replace").encode() for b in batch.column(1).to_pylist()]
-            for group in _groups(bodies):
-                found = encoder.encode([bodies[k] for k in group])
+            bodies = batch.column(1)
+            for first, size in _groups(pc.binary_length(bodies).to_pylist()):
+                own = [b.decode("utf-8", "replace").encode() for b in bodies.slice(first, size).to_pylist()]
+                found = encoder.encode(own)
+                end = pa.array([vocabulary.decode(*f) for f in found]) if decoded else _lists([o for _, o in found])
                 yield pa.record_batch(
-                    [
-                        batch.column(0).slice(group[0], len(group)),
-                        _lists([ids for ids, _ in found]),
-                        _lists([offsets for _, offsets in found]),
-                    ],
-                    names=["doc_id", "ids", "offsets"],
+                    [batch.column(0).slice(first, size), _lists([ids for ids, _ in found]), end],
+                    names=["doc_id", "ids", last.split()[0]],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
+    return rows.mapInArrow(run, f"doc_id long, ids array<int>, {last}")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -369,25 +378,19 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     Each token's bytes are copied to its offset. No tokens, or null, give no bytes;
     other columns stay.
     """
-    tokens = read_ranks(path or rank_path())
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    vocabulary = Vocabulary(read_ranks(path or rank_path()), np.empty(0, np.uint8))
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     names = [c for c in encoded.columns if c not in ("offsets", "decoded")]
 
     def run(batches):
-        tokens = shared.value
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        letters = np.frombuffer(b"".join(tokens), np.uint8)
+        vocabulary = shared.value
         for batch in batches:
-            out = []
-            for ids, offsets in zip(batch.column("ids"), batch.column("offsets"), strict=True):
-                ids = np.asarray(ids.values, np.int64) if ids.is_valid else np.empty(0, np.int64)
-                if not len(ids):
-                    out.append(b"")
-                    continue
-                own = sizes[ids]
-                shift = np.repeat(begins[ids] - np.asarray(offsets.values, np.int64), own)
-                out.append(letters[np.arange(len(shift)) + shift].tobytes())
+            out = [
+                vocabulary.decode(np.asarray(ids.values, np.int64), np.asarray(offsets.values, np.int64))
+                if ids.is_valid and len(ids.values)
+                else b""
+                for ids, offsets in zip(batch.column("ids"), batch.column("offsets"), strict=True)
+            ]
             columns = [batch.column(c) for c in names]
             yield pa.record_batch([*columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
