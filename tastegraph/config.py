@@ -59,6 +59,7 @@ MODEL2_FOLDS = 10
 # are part of the result.
 PAIRS_PER_BLOCK = 500_000
 NODES_PER_BLOCK = 50_000
+PAIRS_PER_CELL = 8_000_000    # co-occurrences of two blocks of nodes
 
 # Sizes below change speed and memory only, never a result. A key past the
 # MAX_HOT_KEYS heaviest is not sliced (it has under 1/1,024 of the rows), and one of
@@ -69,3 +70,4 @@ MAX_SALTS = 4_096             # slices of the hottest key
 HOT_SLICES = 1_024            # most ranges in which a hub's neighbours are numbered
 TRIES_PER_ROUND = 8            # draws a walker makes per round, at most 63
 WALKERS_PER_TASK = 1_000_000  # walkers one task starts
+EDGES_PER_BUCKET = 4_000_000  # edges in a bucket of the stored edge tables

@@ -1,6 +1,7 @@
 """Node vectors, and joining them to pairs."""
 
-from pyspark.ml.feature import Word2Vec
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tastegraph import config
 from tastegraph.functions import ids, text
+from tastegraph.operators import skip_gram
 from tastegraph.operators.features import attach_vector, key_counts
 from tastegraph.operators.joins import counted_join, skew_join
 from tastegraph.session import materialise
@@ -25,24 +27,38 @@ def skip_gram_vectors(
     nodes: DataFrame,
     size: int = config.VECTOR_SIZE,
     window: int = config.WINDOW,
-    iterations: int = 1,
-    partitions: int = 1,
+    iterations: int = 5,
     seed: int = 0,
+    negatives: int = 5,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """Skip-gram over walks of node numbers, as ``id, embedding``.
-
-    For small graphs only: the learner keeps the vectors of all nodes on the
-    driver and in every task. ``partitions`` is part of the result; with one, a
-    seed gives the same vectors again.
+    """Skip-gram with negative sampling over walks of node numbers, as ``id, embedding``.
+
+    Nodes are dealt over blocks. A task holds one block of center vectors and one of
+    context vectors and learns the co-occurrences between the two, with negatives from
+    the same context block; then the context blocks move on by one. After as many turns
+    as there are blocks every pair has been learned once. The weights pass from task
+    to task as written tables, none through the driver; a lost executor costs the turn
+    it was in. ``blocks`` is part of the result and follows the nodes and pairs unless
+    given; the same input and seed give the same vectors. Nodes without a neighbour on
+    any walk get zeros.
     """
-    words = paths.select(F.transform("path", lambda node: node.cast("string")).alias("words"))
-    learner = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=0, maxIter=iterations,
-        numPartitions=partitions, seed=seed, inputCol="words", outputCol="ignored",
-    )
-    trained = learner.fit(words).getVectors()
-    return trained.join(nodes, F.col("word") == F.col("node").cast("string")).select(
-        "id", vector_to_array("vector", "float32").alias("embedding")
+    counts = materialise(cooccurrences(paths, window), "cooccurrences")
+    n_nodes, n_pairs = nodes.count(), counts.count()
+    if not n_pairs:
+        return nodes.select("id", zeros(size).alias("embedding"))
+    if blocks is None:
+        by_pairs = math.ceil(math.sqrt(n_pairs / config.PAIRS_PER_CELL))
+        blocks = max(1, -(-n_nodes // config.NODES_PER_BLOCK), by_pairs)
+    cells = materialise(skip_gram.packed_pairs(counts, blocks), "cells")
+    state = skip_gram.first_weights(counts, nodes, blocks, size, seed)
+    for epoch in range(iterations):
+        for turn in range(blocks):
+            step = epoch * blocks + turn
+            state = skip_gram.learned(state, cells, blocks, turn, negatives, (seed, step), size)
+    trained = skip_gram.center_vectors(state, size, blocks)
+    return nodes.join(trained, "node", "left").select(
+        "id", F.coalesce("embedding", zeros(size)).alias("embedding")
     )
 
 

@@ -16,9 +16,10 @@ the cost per step does not depend on the degree:
 
 All draws come from ``md5(seed|walk|step|try)``. A walk is a function of its
 number alone, whatever the partitioning, the batch of tries or a lost executor.
-Rows are spread by (node, position) in the lookup and by (previous, drawn) in
-the edge test; what is left of skew there is split by the skew join of adaptive
-execution, since both sides are plain shuffles of stored tables.
+Both edge tables lie in buckets, by (node, position) for the lookup and by (source,
+target) for the edge test, so a round shuffles tries and never an edge. A (node,
+position) that more tries ask for than a task should hold is looked up in a broadcast
+list, which has at most one row per ``hot_rows`` tries.
 Walkers do not wait for each other: in a round each makes some tries, moves if
 one is kept, and goes on with later tries if none is. Each round is written to
 the scratch folder; those files are also the record of all visits.
@@ -34,7 +35,7 @@ from tastegraph import config
 from tastegraph.functions.ids import hex_number
 from tastegraph.operators import graph
 from tastegraph.operators.joins import hot_keys, ordered_index, salted_join, skew_join
-from tastegraph.session import materialise, scratch_path
+from tastegraph.session import bucketed, materialise, scratch_path
 
 
 @dataclass
@@ -42,8 +43,8 @@ class WalkGraph:
     """A graph prepared for walking; the first three tables lie in the scratch folder."""
 
     nodes: DataFrame      # id, node
-    links: DataFrame      # src, dst, as node numbers, distinct
-    neighbours: DataFrame  # src, pos, dst, degree (of dst), back (dst -> src exists)
+    links: DataFrame      # src, dst, as node numbers, distinct; in buckets of both
+    neighbours: DataFrame  # src, pos, dst, degree (of dst), back (dst -> src exists); in buckets of src, pos
     starts: DataFrame     # node, degree
     n_nodes: int
 
@@ -126,12 +127,23 @@ def prepare(
         back = F.coalesce("_back", F.lit(False))
     else:
         with_back, back = with_degree, F.lit(True)
-    neighbours = materialise(
+    # At least as many buckets as a shuffle has partitions: else Spark would rather
+    # shuffle the buckets too.
+    buckets = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // config.EDGES_PER_BUCKET))
+    neighbours = bucketed(
         with_back.select(
-            "src", "pos", "dst", F.coalesce("degree", F.lit(0)).alias("degree"),
-            back.alias("back"),
+            F.col("src").cast("bigint").alias("src"), F.col("pos").cast("bigint").alias("pos"), "dst",
+            F.coalesce("degree", F.lit(0)).alias("degree"), back.alias("back"),
         ),
         "neighbours",
+        ["src", "pos"],
+        buckets,
+    )
+    links = bucketed(
+        links.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")),
+        "links",
+        ["src", "dst"],
+        buckets,
     )
     starts = nodes.join(degrees, nodes["node"] == degrees["src"], "left").select(
         "node", F.coalesce("degree", F.lit(0)).alias("degree")
@@ -288,22 +300,28 @@ class _Rounds:
         """The drawn neighbour of each try.
 
         Positions spread the walkers at a hub, but many walkers may stand at a
-        node with few out-edges. Such nodes are found by counting the frontier
-        and their rows are salted. With fewer walkers than ``hot_rows`` no node
-        can be hot, and the count is not made.
+        node with few out-edges. Such nodes are found by counting the frontier; their
+        edges are broadcast, at most one per ``hot_rows`` tries, and their tries go
+        on to keys that match nothing and are shared by few. With fewer walkers than
+        ``hot_rows`` no node can be hot, and the count is not made.
         """
         if n_walkers < self.hot_rows:
             return draws.join(self.neighbours, ["cur", "pos"])
         load = frontier.groupBy("cur").agg(self.load.alias("n"))
-        hot = F.broadcast(hot_keys(load, ["cur"], hot_rows=self.hot_rows))
-        slices = F.coalesce("_slices", F.lit(1))
-        left = draws.join(hot, "cur", "left").withColumn(
-            "_salt", F.pmod(F.xxhash64("walk_id", "offset"), slices).cast("int")
-        ).drop("_slices")
-        right = self.neighbours.join(hot, "cur", "left").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), slices - 1))
-        ).drop("_slices")
-        return left.join(right, ["cur", "pos", "_salt"]).drop("_salt")
+        hot = F.broadcast(hot_keys(load, ["cur"], hot_rows=self.hot_rows)).drop("_slices")
+        found = self.neighbours.join(hot, "cur").select(
+            "cur", "pos", F.struct("x", "x_degree", "x_back").alias("_hot")
+        )
+        names = ["x", "x_degree", "x_back"]
+        rest = self.neighbours.select(
+            F.col("cur").alias("_key"), F.col("pos").alias("_place"), F.struct(*names).alias("_cold")
+        )
+        nowhere = -1 - F.pmod(F.col("walk_id"), F.lit(_SPREAD))
+        marked = draws.join(F.broadcast(found), ["cur", "pos"], "left")
+        key = F.when(F.col("_hot").isNull(), F.col("cur")).otherwise(nowhere)
+        joined = marked.withColumns({"_key": key, "_place": F.col("pos")}).join(rest, ["_key", "_place"], "left")
+        edge = F.coalesce("_hot", "_cold")
+        return joined.select(*draws.columns, *(edge[name].alias(name) for name in names))
 
     def after(self, frontier: DataFrame, n_walkers: int, tries: int) -> DataFrame:
         """The walkers after a round: moved on, or with more tries behind them."""

@@ -17,11 +17,11 @@ from tastegraph.sources import readers, schemas, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Walks per node of the queries below, which a checking engine must follow in
-# reasonable time; the operators' defaults are the full values. Length, vector size
-# and iterations are the full ones here too, and the models have all their trees.
-WALKS, LENGTH = 4, config.WALK_LENGTH
-STEP_WALKS = 2
+# Walks per node that ignore the direction of edges: such walks never end early, and 250
+# of them are some minutes' work on one machine even at small scale (see README). All
+# other queries run with the full values.
+UNDIRECTED_WALKS = 25
+UNDIRECTED_VECTOR_WALKS = 1
 
 tables = lru_cache(maxsize=4)(Fixtures)
 
@@ -423,7 +423,7 @@ def out_degree(fx):
 def _walk_step(step):
     def run(fx):
         prepared = walks.prepare(_edges(fx))
-        visited = walks.visits(prepared, STEP_WALKS, step + 1).where(F.col("step") == step)
+        visited = walks.visits(prepared, walk_length=step + 1).where(F.col("step") == step)
         came_from = prepared.nodes.select(F.col("node").alias("prev"), F.col("id").alias("prev_id"))
         return (
             visited.join(prepared.nodes, "node")
@@ -439,9 +439,9 @@ for _step in (1, 2, 3, 4):
     _walk_step(_step)
 
 
-def _paths(fx, directed, num_walks):
+def _paths(fx, directed, num_walks=config.NUM_WALKS):
     prepared = walks.prepare(_edges(fx), directed=directed)
-    visited = walks.visits(prepared, num_walks, LENGTH)
+    visited = walks.visits(prepared, num_walks)
     return walks.named_paths(visited, prepared.nodes).select(
         "walk_id",
         F.size("path").cast("bigint").alias("n_nodes"),
@@ -451,17 +451,17 @@ def _paths(fx, directed, num_walks):
 
 @query
 def walk_paths(fx):
-    return _paths(fx, True, WALKS)
+    return _paths(fx, True)
 
 
 @query
 def walk_paths_undirected(fx):
-    return _paths(fx, False, 1)
+    return _paths(fx, False, UNDIRECTED_WALKS)
 
 
-def _trained_paths(fx, directed=True, num_walks=WALKS):
+def _trained_paths(fx, directed=True, num_walks=config.NUM_WALKS):
     prepared = walks.prepare(_edges(fx), directed=directed)
-    return walks.walk_paths(walks.visits(prepared, num_walks, LENGTH)), prepared.nodes
+    return walks.walk_paths(walks.visits(prepared, num_walks)), prepared.nodes
 
 
 def _vector_summary(trained):
@@ -482,10 +482,16 @@ def node_vectors(fx):
 @query
 def node_vectors_factorised(fx):
     """The method by name, on walks that ignore the direction of edges."""
-    paths, nodes = _trained_paths(fx, False, 1)
+    paths, nodes = _trained_paths(fx, False, UNDIRECTED_VECTOR_WALKS)
     return _vector_summary(vectors.factorised_vectors(materialise(paths, "paths"), nodes))
 
 
+@query
+def node_vectors_skip_gram(fx):
+    paths, nodes = _trained_paths(fx)
+    return _vector_summary(vectors.skip_gram_vectors(materialise(paths, "paths"), nodes))
+
+
 # ---- matrix -----------------------------------------------------------------------
 
 @query
@@ -537,6 +543,14 @@ def standardised_features(fx):
     return rounded(scaled.select("user_id", "business_id", *matrix.SCALARS), *matrix.SCALARS)
 
 
+@query
+def standardised_vectors(fx):
+    """The users' vectors of the pairs, scaled as those of the ratings."""
+    train = vectors.with_user_vector(fx.ratings, fx.vectors, VECTOR_DIM)
+    pairs = vectors.with_user_vector(fx.pairs, fx.vectors, VECTOR_DIM)
+    return vector_sums(matrix.standardise(pairs, train, [], ["user_vec"]), "user_vec")
+
+
 # ---- models ------------------------------------------------------------------------
 
 def _taught(fx, pairs):

@@ -138,6 +138,8 @@ def with_steps(sql: str) -> str:
     parts = [part for part in parts if part]
     if not parts:
         return sql
+    if sql.lstrip().startswith("with spots "):
+        return "with " + ",\n".join(parts) + ",\n" + sql.lstrip()[len("with "):]
     if sql.lstrip().startswith("with recursive "):
         return "with recursive " + ",\n".join(parts) + ",\n" + sql.lstrip()[len("with recursive "):]
     return "with " + ",\n".join(parts) + "\n" + sql
@@ -145,7 +147,7 @@ def with_steps(sql: str) -> str:
 
 def _walk(directed: bool, num_walks: int, length: int, final: str) -> str:
     """Walks made one try per turn of a recursive query."""
-    p, q = config.RETURN_P, config.IN_OUT_Q
+    p, q = 0.25, 4.0
     most = max(1.0, 1.0 / q)
     extra = max(0.0, 1.0 / p - most)
     both = "" if directed else "union select d.node, s.node from all_edges e " \
@@ -195,21 +197,21 @@ walk as (
 
 
 def _steps(step: int) -> str:
-    return _walk(True, 2, step + 1, f"""
+    return _walk(True, 250, step + 1, f"""
 select w.walk_id, a.id as prev, b.id as cur
 from walk w join nodes a on a.node = w.prev join nodes b on b.node = w.cur
 where w.step = {step} and w.tried = 0""")
 
 
 def _paths(directed: bool, num_walks: int) -> str:
-    return _walk(directed, num_walks, config.WALK_LENGTH, """
+    return _walk(directed, num_walks, 25, """
 select walk_id, count(*) as n_nodes, string_agg(id, ' ' order by step) as path
 from walk join nodes on nodes.node = walk.cur where tried = 0 group by walk_id""")
 
 
 def _placed(directed: bool, num_walks: int) -> str:
     """Nodes with a vector: those on a walk of two nodes or more."""
-    return _walk(directed, num_walks, config.WALK_LENGTH, """
+    return _walk(directed, num_walks, 25, """
 select n.id, 200 as dim, true as finite, bool_or(w.walk_id is not null) as has_length
 from nodes n left join (
   select walk_id, cur, count(*) over (partition by walk_id) as n from walk where tried = 0
@@ -389,8 +391,8 @@ from pairs p left join side_scores s
     "graph_nodes": "select src as id from all_edges union select dst from all_edges",
     "out_degree": "select src as id, count(*) as out_degree from all_edges group by 1",
     **{f"biased_walk_step{step}": _steps(step) for step in (1, 2, 3, 4)},
-    "walk_paths": _paths(True, 4),
-    "walk_paths_undirected": _paths(False, 1),
+    "walk_paths": _paths(True, 250),
+    "walk_paths_undirected": _paths(False, 25),
     "one_hot_open": """
 select business_id, is_open, case when is_open = 0 then 1 else 0 end as is_open_0,
        case when is_open = 1 then 1 else 0 end as is_open_1
@@ -409,6 +411,17 @@ select e.user_id, e.business_id, e.stars, {', '.join('e.' + c for c in SCALARS)}
 from (select z.*, coalesce(v.embedding, list_resize([]::float[], {VECTOR_DIM}, 0)) as user_vec
       from eval_enriched z left join vectors v on v.id = concat(z.user_id, '_uid')) e
 left join category_sums c on c.id = concat(e.business_id, '_bid')""",
+    "standardised_vectors": f"""
+with spots as materialized (
+  select i, avg(coalesce(v.embedding[i], 0)::double) as m, stddev_pop(coalesce(v.embedding[i], 0)::double) as s
+  from ratings r cross join (select unnest(range(1, {VECTOR_DIM + 1})) as i) d
+  left join vectors v on v.id = concat(r.user_id, '_uid') group by i),
+lists as (
+  select list(m order by i) as m, list(case when s = 0 then 1.0 else s end order by i) as s from spots)
+select user_id, business_id, stars, {_sums('z', 'user_vec')}
+from (select p.user_id, p.business_id, p.stars,
+             list_transform(p.user_vec, lambda x, i: (x::double - l.m[i]) / l.s[i]) as z
+      from user_vectors p, lists l) q""",
     "standardised_features": "select e.user_id, e.business_id, " + ", ".join(
         f"round((e.{c} - s.m_{c}) / case when s.s_{c} = 0 then 1.0 else s.s_{c} end, 6) as {c}"
         for c in SCALARS
@@ -430,7 +443,8 @@ from model_scores""",
 select count(*) as n, round(sqrt(avg((t.stars - b.prediction) * (t.stars - b.prediction))), 6) as rmse
 from pairs t join baseline_blend b
   on b.user_id = t.user_id and b.business_id = t.business_id""",
-    "node_vectors": _placed(True, 4),
+    "node_vectors": _placed(True, 250),
+    "node_vectors_skip_gram": _placed(True, 250),
     "node_vectors_factorised": _placed(False, 1),
     "model1_scores": _held_out("model1"),
     "model2_scores": _held_out("model2"),
@@ -451,8 +465,8 @@ from eval_enriched e left join vectors v on v.id = concat(e.user_id, '_uid')""",
     "train_rmse": """
 select count(*) as n, round(sqrt(avg((r.stars - i.m) * (r.stars - i.m))), 6) as rmse
 from ratings r join item_mean i on i.business_id = r.business_id""",
-    "cv_fold_rmse": _cv(config.MODEL1_FOLDS),
-    "cv_fold_rmse_10": _cv(config.MODEL2_FOLDS),
+    "cv_fold_rmse": _cv(4),
+    "cv_fold_rmse_10": _cv(10),
 }
 
 CHECKS = {name: with_steps(sql) for name, sql in _SQL.items()}

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths written, by nested block; the first list is that of the process.
 _blocks: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=([],))
+#: The bucketed table that lies at a path.
+_tables: dict[str, str] = {}
 
 
 def local_session(cpus="*", partitions=8, app="tastegraph", memory="16g") -> SparkSession:
@@ -79,7 +81,10 @@ def drop_scratch(spark: SparkSession) -> None:
     """
     written = _blocks.get()[-1]
     while written:
-        drop_path(spark, written.pop())
+        path = written.pop()
+        if path in _tables:
+            spark.sql(f"drop table if exists {_tables.pop(path)}")
+        drop_path(spark, path)
 
 
 @contextmanager
@@ -119,3 +124,18 @@ def materialise(df: DataFrame, name: str, with_path: bool = False):
         spark.conf.set(_FREE_SHUFFLES, before) if before else spark.conf.unset(_FREE_SHUFFLES)
     table = spark.read.schema(df.schema).parquet(path)
     return (table, path) if with_path else table
+
+
+def bucketed(df: DataFrame, name: str, columns: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` to the scratch folder in buckets of ``columns`` and read it back.
+
+    A join by these columns takes the table as it lies and shuffles the other side
+    alone. The table has a name of its own until the scratch folder is dropped.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    _tables[path] = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", path).format(
+        "parquet"
+    ).saveAsTable(_tables[path])
+    return spark.table(_tables[path])

@@ -142,6 +142,37 @@ def test_vectors_do_not_depend_on_the_sizes_that_only_affect_speed(trained_on, m
     assert found() == usual
 
 
+def test_rounds_shuffle_no_edge(spark, random_edges):
+    """Each bucketed edge table is joined as it lies, with hot nodes and without."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prepared = walks.prepare(random_edges)
+        frontier = prepared.starts.where("degree > 0").selectExpr(
+            "node as walk_id", "1L as step", "node as prev", "degree as prev_degree", "node as cur", "degree",
+            "true as back", "0L as tried",
+        )
+        for hot_rows, walkers in ((10**6, 5), (3, 10**7)):
+            rounds = walks._Rounds(prepared, 0.25, 4.0, 0, hot_rows)
+            plan = rounds.after(frontier, walkers, 4)._jdf.queryExecution().executedPlan().toString()
+            lines = plan.split("\n")
+            scans = [k for k, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line]
+            assert len(scans) >= 2
+            for k in scans:
+                # The first exchange or join above a scan, by depth of the tree.
+                depth = lines[k].index("FileScan")
+                above = None
+                for line in reversed(lines[:k]):
+                    at = len(line) - len(line.lstrip(" :|+-*("))
+                    if at < depth:
+                        depth = at
+                        if "Exchange" in line or "Join" in line:
+                            above = line
+                            break
+                assert "Join" in above or "BroadcastExchange" in above, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_skip_gram_is_repeatable(trained_on):
     paths, nodes = trained_on
     first, second = (
@@ -151,7 +182,10 @@ def test_skip_gram_is_repeatable(trained_on):
     assert first == second
 
 
-@pytest.mark.parametrize("settings", [{"method": "factorise"}, {"method": "skip_gram", "iterations": 5}])
+@pytest.mark.parametrize(
+    "settings",
+    [{"method": "factorise"}, {"method": "skip_gram", "iterations": 12}, {"method": "skip_gram", "iterations": 12, "blocks": 3}],
+)
 def test_vectors_separate_groups(spark, settings):
     """Nodes of a group that walks stay in are closer to each other than to the rest."""
     edges = [(f"n{a}", f"n{b}") for g in range(3) for a in range(8 * g, 8 * g + 8) for b in range(a + 1, 8 * g + 8)]
