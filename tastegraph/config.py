@@ -42,6 +42,7 @@ LOW_SCORE, HIGH_SCORE = 1.0, 5.0
 BLEND_WEIGHTS = (0.4, 0.6)
 THREE_WAY_WEIGHTS = (0.8, 0.1, 0.1)
 NO_SCORE = -1.0
+PROFILE_SIZE = 64              # slots of a profile that neighbours are found by
 
 WALK_LENGTH = 25
 NUM_WALKS = 250

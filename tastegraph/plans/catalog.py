@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from tastegraph import config
 from tastegraph.fixtures import VECTOR_DIM, Fixtures
 from tastegraph.functions import ids, scores, text
-from tastegraph.operators import evaluate, features, graph, joins, matrix, models, vectors, walks
+from tastegraph.operators import (
+    evaluate,
+    features,
+    graph,
+    joins,
+    matrix,
+    models,
+    neighbours,
+    vectors,
+    walks,
+)
 from tastegraph.operators.boosting import SCHEMA, Ensemble
 from tastegraph.session import materialise, scratch_path
 from tastegraph.sources import readers, schemas, writers
@@ -698,6 +708,38 @@ def blend_three_way(fx):
     )
 
 
+@query
+def item_profiles(fx):
+    """The slots of each item's profile that hold anything."""
+    profiles = neighbours.item_profiles(neighbours.centred_ratings(fx.ratings))
+    values = profiles.select("business_id", F.posexplode("profile").alias("slot", "value"))
+    return rounded(values, "value").where("value <> 0").select(
+        "business_id", F.col("slot").cast("bigint").alias("slot"), "value"
+    )
+
+
+@query
+def neighbour_scores(fx):
+    return rounded(neighbours.neighbour_scores(fx.pairs, fx.ratings), "score")
+
+
+@query
+def neighbour_scores_of_ratings(fx):
+    """The same for rated pairs: each leaves out its own rating."""
+    return rounded(neighbours.neighbour_scores(fx.ratings, fx.ratings), "score")
+
+
+@query
+def blend_with_neighbours(fx):
+    """The baseline scores blended with the neighbours' where there are any."""
+    found = neighbours.neighbour_scores(fx.pairs, fx.ratings)
+    scored = vectors.with_side_score(_baseline_scores(fx), found, config.NO_SCORE)
+    blended = scores.blend_three(F.col("score_x"), F.col("score_c"), F.col("score"))
+    return rounded(
+        scored.select("user_id", "business_id", "stars", blended.alias("prediction")), "prediction"
+    )
+
+
 @query
 def rmse_eval(fx):
     return rounded(evaluate.holdout_rmse(fx.pairs, _baseline_predictions(fx)), "rmse")

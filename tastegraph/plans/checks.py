@@ -69,6 +69,32 @@ _PAIR_VECTOR = """
 select p.user_id, p.business_id, p.stars, coalesce(v.embedding, list_resize([]::float[], {dim}, 0)) as {name}
 from pairs p left join vectors v on v.id = {key}"""
 
+def _neighbours(asked: str) -> str:
+    """Slot by slot: the item's profile and the user's taste, without the pair's own rating."""
+    return f"""
+select user_id, business_id,
+       case when a > 1e-9 and b > 1e-9 and abs(d / a / b) > 1e-9
+            then least(5.0, greatest(1.0, mean + spread * (d / a / b))) else -1.0 end as score
+from (
+  select user_id, business_id, any_value(mean) as mean, any_value(spread) as spread,
+         sqrt(sum(x * x)) as a, sqrt(sum(y * y)) as b, sum(x * y) as d
+  from (
+    select q.user_id, q.business_id, u.mean, u.spread,
+           coalesce(p.value, 0.0)
+             - case when c.slot = k.slot then c.sign * c.off else 0.0 end as x,
+           coalesce(t.value, 0.0)
+             - case when l.len > 1e-9 then coalesce(c.off, 0.0) / l.len else 0.0 end
+               * coalesce(p.value, 0.0) as y
+    from (select distinct user_id, business_id from {asked}) q
+    cross join (select unnest(range(64)) as slot) k
+    left join user_spread u on u.user_id = q.user_id
+    left join centred c on c.user_id = q.user_id and c.business_id = q.business_id
+    left join profile_lengths l on l.business_id = q.business_id
+    left join profiles p on p.business_id = q.business_id and p.slot = k.slot
+    left join tastes t on t.user_id = q.user_id and t.slot = k.slot) s
+  group by user_id, business_id) z"""
+
+
 # Shared steps, in dependency order, on top of the input views.
 STEPS = {
     "in_scope": """
@@ -122,6 +148,27 @@ select user_id, business_id, stars,
             else least(5.0, greatest(1.0, 0.4 * score_x::double + 0.6 * score_c::double))
        end as prediction
 from baseline""",
+    "rated": """
+select user_id, business_id, avg(stars) as stars from ratings group by 1, 2""",
+    "user_spread": """
+select user_id, avg(stars) as mean, stddev_pop(stars) as spread from rated group by 1""",
+    "centred": """
+select r.user_id, r.business_id, r.stars - u.mean as off,
+       ('0x' || substr(md5(r.user_id), 1, 8))::bigint % 64 as slot,
+       case when ('0x' || substr(md5(r.user_id), 9, 1))::bigint % 2 = 0 then 1.0 else -1.0 end::double
+         as sign
+from rated r join user_spread u on u.user_id = r.user_id""",
+    "profiles": """
+select business_id, slot, sum(sign * off) as value from centred group by 1, 2""",
+    "profile_lengths": """
+select business_id, sqrt(sum(value * value)) as len from profiles group by 1""",
+    "tastes": """
+select c.user_id, p.slot, sum(p.value * c.off / l.len) as value
+from centred c join profiles p on p.business_id = c.business_id
+join profile_lengths l on l.business_id = c.business_id
+where l.len > 1e-9 group by 1, 2""",
+    "neighbour_pairs": _neighbours("pairs"),
+    "neighbour_ratings": _neighbours("ratings"),
 }
 
 _SOURCE = re.compile(r"\b(?:from|join)\s+(\w+)")
@@ -439,6 +486,20 @@ select user_id, business_id, stars,
                   else 0.8::double * score_x + 0.1::double * score_c + 0.1::double * score_n
              end, 6) as prediction
 from model_scores""",
+    "item_profiles": """
+select business_id, slot, round(value, 6) as value from profiles where round(value, 6) <> 0""",
+    "neighbour_scores": """
+select user_id, business_id, round(score, 6) as score from neighbour_pairs""",
+    "neighbour_scores_of_ratings": """
+select user_id, business_id, round(score, 6) as score from neighbour_ratings""",
+    "blend_with_neighbours": """
+select b.user_id, b.business_id, b.stars,
+       round(case when n.score = -1
+                  then (0.8::double * score_x + 0.1::double * score_c) / 0.9::double
+                  else 0.8::double * score_x + 0.1::double * score_c + 0.1::double * n.score
+             end, 6) as prediction
+from baseline b join neighbour_pairs n
+  on n.user_id = b.user_id and n.business_id = b.business_id""",
     "rmse_eval": """
 select count(*) as n, round(sqrt(avg((t.stars - b.prediction) * (t.stars - b.prediction))), 6) as rmse
 from pairs t join baseline_blend b

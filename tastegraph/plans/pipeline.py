@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 
 from tastegraph import config
 from tastegraph.functions import scores
-from tastegraph.operators import evaluate, features, graph, matrix, models, vectors, walks
+from tastegraph.operators import (
+    evaluate,
+    features,
+    graph,
+    matrix,
+    models,
+    neighbours,
+    vectors,
+    walks,
+)
 from tastegraph.operators.boosting import Ensemble, Params
 from tastegraph.operators.joins import assert_unique
 from tastegraph.session import materialise, temporary_scratch
@@ -225,13 +234,15 @@ def run_training(
 def score(
     inputs: Inputs, node_vectors: DataFrame, trained: Trained, size: int = config.VECTOR_SIZE,
     clamp_inputs: bool = False, weights: tuple | None = None, side_scores: DataFrame | None = None,
-    only: str | None = None,
+    only: str | None = None, with_neighbours: bool = False,
 ) -> DataFrame:
     """Predictions for the pairs, one per input row.
 
     Both models are blended, with a third score per pair if ``side_scores`` has
-    one, and with rescaled weights where it has none; ``weights`` replace the usual ones. ``only`` names a single model,
-    ``model1`` or ``model2``, whose scores are returned as they are.
+    one, and with rescaled weights where it has none; ``weights`` replace the usual ones.
+    ``with_neighbours`` takes the third score from the ratings, see
+    :func:`neighbours.neighbour_scores`. ``only`` names a single model, ``model1`` or
+    ``model2``, whose scores are returned as they are.
     """
     table = model_matrix(inputs, inputs.pairs, node_vectors, size, trained.open_values)
     columns = inputs.pairs.columns
@@ -240,6 +251,8 @@ def score(
         return models.predict(model, table).select(*columns, "prediction")
     both = models.predict_both(trained.first, trained.second, table)
     first, second = F.col("score_x"), F.col("score_c")
+    if with_neighbours:
+        side_scores = neighbours.neighbour_scores(inputs.pairs, inputs.ratings)
     if side_scores is None:
         blended = scores.blend(first, second, weights or config.BLEND_WEIGHTS, clamp_inputs)
     else:
