@@ -72,3 +72,4 @@ HOT_SLICES = 1_024            # most ranges in which a hub's neighbours are numb
 TRIES_PER_ROUND = 8            # draws a walker makes per round, at most 63
 WALKERS_PER_TASK = 1_000_000  # walkers one task starts
 EDGES_PER_BUCKET = 4_000_000  # edges in a bucket of the stored edge tables
+VECTORS_PER_BUCKET = 500_000  # vectors in a bucket of a stored vector table

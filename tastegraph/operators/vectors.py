@@ -13,7 +13,7 @@ from tastegraph.functions import ids, text
 from tastegraph.operators import skip_gram
 from tastegraph.operators.features import attach_vector, key_counts
 from tastegraph.operators.joins import counted_join, skew_join
-from tastegraph.session import materialise
+from tastegraph.session import bucketed, materialise
 
 
 def zeros(size: int) -> Column:
@@ -150,6 +150,17 @@ def node_vectors(
     return METHODS[method](paths, nodes, size, window, seed=seed, **settings)
 
 
+def stored_by_node(vectors: DataFrame) -> DataFrame:
+    """The table in buckets of its ids, for one that is joined several times.
+
+    A lookup by node then shuffles the ids that ask, and no vector. There are at least
+    as many buckets as a shuffle has partitions: else Spark would shuffle the buckets.
+    """
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, -(-vectors.count() // config.VECTORS_PER_BUCKET))
+    return bucketed(vectors.select("id", "embedding"), "vectors", ["id"], buckets)
+
+
 # ---- side information ------------------------------------------------------------
 
 def category_connections(business: DataFrame) -> DataFrame:

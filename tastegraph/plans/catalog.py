@@ -387,6 +387,17 @@ def pairs_with_both_vectors(fx):
     return vector_sums(vector_sums(both, "user_vec"), "item_vec")
 
 
+@query
+def pairs_with_stored_vectors(fx):
+    """Both vectors looked up in a table that lies in buckets by node."""
+    stored = vectors.stored_by_node(fx.vectors)
+    both = vectors.with_item_vector(
+        vectors.with_user_vector(fx.pairs, stored, VECTOR_DIM), stored, VECTOR_DIM,
+        counts_from=fx.pairs,
+    )
+    return vector_sums(vector_sums(both, "user_vec"), "item_vec")
+
+
 @query
 def pairs_with_side_score(fx):
     return vectors.with_side_score(fx.pairs, fx.side_scores)

@@ -311,6 +311,14 @@ from (select a.fold, a.stars, coalesce(avg_rest, 3.0) as guess
 group by fold"""
 
 
+_BOTH_VECTORS = f"""
+select p.user_id, p.business_id, p.stars,
+       {_sums('a', 'user_vec')}, {_sums('b', 'item_vec')}
+from (select p.*, coalesce(v.embedding, list_resize([]::float[], {VECTOR_DIM}, 0)) as a,
+             coalesce(w.embedding, list_resize([]::float[], {VECTOR_DIM}, 0)) as b
+      from pairs p left join vectors v on v.id = concat(p.user_id, '_uid')
+                   left join vectors w on w.id = concat(p.business_id, '_bid')) p"""
+
 _SQL = {
     "read_ratings": "select user_id, business_id, stars from ratings",
     "read_pairs": "select user_id, business_id from pairs",
@@ -420,13 +428,8 @@ from pairs p left join category_sums c on c.id = concat(p.business_id, '_bid')""
 select p.user_id, p.business_id, p.stars, {_sums('e', 'item_vec')}
 from (select p.*, coalesce(v.embedding, list_resize([]::float[], {VECTOR_DIM}, 0)) as e
       from pairs p left join vectors v on v.id = concat(p.business_id, '_bid')) p""",
-    "pairs_with_both_vectors": f"""
-select p.user_id, p.business_id, p.stars,
-       {_sums('a', 'user_vec')}, {_sums('b', 'item_vec')}
-from (select p.*, coalesce(v.embedding, list_resize([]::float[], {VECTOR_DIM}, 0)) as a,
-             coalesce(w.embedding, list_resize([]::float[], {VECTOR_DIM}, 0)) as b
-      from pairs p left join vectors v on v.id = concat(p.user_id, '_uid')
-                   left join vectors w on w.id = concat(p.business_id, '_bid')) p""",
+    "pairs_with_both_vectors": _BOTH_VECTORS,
+    "pairs_with_stored_vectors": _BOTH_VECTORS,
     "pairs_with_side_score": """
 select p.user_id, p.business_id, p.stars, coalesce(s.score, 3.0) as score
 from pairs p left join side_scores s

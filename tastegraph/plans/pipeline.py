@@ -134,15 +134,33 @@ class Trained:
         )
 
 
+@dataclass
+class SideVectors:
+    """The vectors of users, and those of items: the means over an item's labels."""
+
+    users: DataFrame
+    items: DataFrame
+
+    @classmethod
+    def of(cls, inputs: Inputs, node_vectors: DataFrame, size: int) -> "SideVectors":
+        return cls(node_vectors, vectors.category_mean_vector(inputs.business, node_vectors, size))
+
+    def stored(self) -> "SideVectors":
+        """Both in buckets by node, for a job that builds several matrices: the means are
+        formed once, and no matrix shuffles a vector to look it up."""
+        return SideVectors(vectors.stored_by_node(self.users), vectors.stored_by_node(self.items))
+
+
 def model_matrix(
-    inputs: Inputs, pairs: DataFrame, node_vectors: DataFrame, size: int, open_values: list
+    inputs: Inputs, pairs: DataFrame, node_vectors: DataFrame | SideVectors, size: int,
+    open_values: list,
 ) -> DataFrame:
     """Pairs as ``features`` in model order, with their own columns kept."""
+    if isinstance(node_vectors, DataFrame):
+        node_vectors = SideVectors.of(inputs, node_vectors, size)
     enriched = features.enrich_pairs(
         pairs, inputs.business, inputs.photo, inputs.users,
-        user_vectors=node_vectors,
-        item_vectors=vectors.category_mean_vector(inputs.business, node_vectors, size),
-        vector_size=size,
+        user_vectors=node_vectors.users, item_vectors=node_vectors.items, vector_size=size,
     )
     names = ["user_vec", "item_vec"]
     return matrix.assemble(
@@ -159,7 +177,7 @@ def learned_open_values(inputs: Inputs) -> list:
 
 
 def train(
-    inputs: Inputs, node_vectors: DataFrame, size: int = config.VECTOR_SIZE,
+    inputs: Inputs, node_vectors: DataFrame | SideVectors, size: int = config.VECTOR_SIZE,
     model1: dict | None = None, model2: dict | None = None,
 ) -> Trained:
     """Fit both models on the known ratings."""
@@ -172,7 +190,7 @@ def train(
 
 
 def cross_validate(
-    inputs: Inputs, node_vectors: DataFrame, params: Params, folds: int,
+    inputs: Inputs, node_vectors: DataFrame | SideVectors, params: Params, folds: int,
     size: int = config.VECTOR_SIZE, open_values: list | None = None,
 ) -> list[float]:
     """Held-out RMSE per fold on the known ratings."""
@@ -184,7 +202,8 @@ def cross_validate(
 
 
 def quality(
-    inputs: Inputs, node_vectors: DataFrame, trained: Trained, size: int = config.VECTOR_SIZE
+    inputs: Inputs, node_vectors: DataFrame | SideVectors, trained: Trained,
+    size: int = config.VECTOR_SIZE,
 ) -> dict[str, float]:
     """RMSE of each model on the ratings it was fitted to and, where the pairs carry
     ratings, on the pairs."""
@@ -213,7 +232,8 @@ def run_training(
     with temporary_scratch(spark):
         inputs = Inputs.read(spark, folder, ratings_path, pairs_path, with_stars).stored()
         inputs.check()
-        node_vectors = readers.load_vectors(spark, vectors_path, size)
+        loaded = readers.load_vectors(spark, vectors_path, size)
+        node_vectors = SideVectors.of(inputs, loaded, size).stored()
         report = {}
         if folds:
             each = (models.model1(**(model1 or {})), models.model2(**(model2 or {})))

@@ -148,3 +148,49 @@ def test_queries_train_all_trees(monkeypatch, fx, sf_dir):
     for name in ("model1_scores", "model2_scores", "blended_model_scores"):
         catalog.QUERIES[name](fx.spark, sf_dir)
     assert [p.trees for p in asked] == [config.MODEL1["trees"], config.MODEL2["trees"]] * 2
+
+
+def test_blend_with_neighbours_keeps_every_pair(inputs, fx):
+    """Pairs without a neighbour keep the two models' scores with rescaled weights."""
+    from tastegraph.operators import neighbours
+
+    trained = pipeline.train(inputs, fx.vectors, VECTOR_DIM, SMALL, SMALL)
+    # Somebody whom nobody knows has no neighbour.
+    asked = inputs.pairs.limit(50).unionByName(
+        inputs.pairs.limit(1).withColumn("user_id", F.lit("nobody"))
+    )
+    pairs = materialise(asked, "asked")
+    some = pipeline.Inputs(
+        inputs.ratings, pairs, inputs.business, inputs.photo, inputs.reviews, inputs.users
+    )
+    third = neighbours.neighbour_scores(pairs, inputs.ratings)
+    third = {(r["user_id"], r["business_id"]): r["score"] for r in third.collect()}
+
+    def scored(**settings):
+        rows = pipeline.score(some, fx.vectors, trained, VECTOR_DIM, **settings).collect()
+        return sorted((r["user_id"], r["business_id"], r["prediction"]) for r in rows)
+
+    found = scored(with_neighbours=True)
+    first, second = (
+        dict((row[:2], row[2]) for row in scored(only=name)) for name in ("model1", "model2")
+    )
+    assert len(found) == 51 and any(pair[0] == "nobody" for pair in third)
+    for user, item, score in found:
+        pair = (user, item)
+        expected = 0.8 * first[pair] + 0.1 * second[pair]
+        expected = expected / 0.9 if third[pair] == -1 else expected + 0.1 * third[pair]
+        assert score == pytest.approx(expected, abs=1e-9)
+    assert third["nobody", next(item for user, item, _ in found if user == "nobody")] == -1
+    assert any(score != -1 for score in third.values())
+
+
+def test_stored_side_vectors_give_the_same_matrix(inputs, fx):
+    side = pipeline.SideVectors.of(inputs, fx.vectors, VECTOR_DIM)
+    plain, stored = (
+        sorted(
+            (r["user_id"], r["business_id"], r["stars"], [round(x, 6) for x in r["features"]])
+            for r in pipeline.model_matrix(inputs, inputs.pairs, given, VECTOR_DIM, [0, 1]).collect()
+        )
+        for given in (side, side.stored())
+    )
+    assert plain == stored

@@ -1,6 +1,7 @@
 """Plans stay on the JVM, without cartesian products or needless scans."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tastegraph.plans.catalog import QUERIES
 
@@ -56,3 +57,39 @@ def test_salt_hashes_no_vector(spark):
     text = plan(salted_join(left, right, ["k"], hot))
     hashed = [line for line in text.splitlines() if "xxhash64(" in line]
     assert hashed and not any("vec" in line.split("xxhash64(")[1].split(")")[0] for line in hashed)
+
+
+def _above(lines, scan):
+    """The first exchange or join above a scan, by depth of the tree."""
+    depth = lines[scan].index("FileScan")
+    for line in reversed(lines[:scan]):
+        at = len(line) - len(line.lstrip(" :|+-*("))
+        if at < depth:
+            depth = at
+            if "Exchange" in line or "Join" in line:
+                return line
+    return ""
+
+
+def test_stored_vectors_are_not_shuffled(spark, fx):
+    """A lookup by node takes the vectors as they lie; the asking ids move."""
+    from tastegraph.functions import ids
+    from tastegraph.operators import features, vectors
+
+    stored = vectors.stored_by_node(fx.vectors)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = features.key_counts(fx.pairs, "user_id")
+        found = features.attach_vector(keys, stored, ids.user_node(F.col("user_id")), "user_vec", 64)
+        lines = plan(found).split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [k for k, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line]
+    assert len(scans) == 1 and "Join" in _above(lines, scans[0]), "\n".join(lines)
+    assert found.where("user_vec is null").count() == 0 and found.count() == keys.count()
+
+
+def test_both_vectors_are_looked_up_in_buckets(spark, sf_dir):
+    """Every scan of the store in the query is a bucketed one."""
+    text = plan(QUERIES["pairs_with_stored_vectors"](spark, sf_dir))
+    assert text.count("Bucketed: true") == 2 and "embeddings.parquet" not in text
