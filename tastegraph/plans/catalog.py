@@ -500,6 +500,39 @@ def node_vectors(fx):
     return _vector_summary(vectors.node_vectors(*_trained_paths(fx)))
 
 
+def _cosine(left, right):
+    def dot(a, b):
+        product = F.zip_with(a, b, lambda x, y: (x * y).cast("double"))
+        return F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)
+
+    size = F.sqrt(dot(left, left) * dot(right, right))
+    return F.when(size > 0, dot(left, right) / size)
+
+
+@query
+def linked_nodes_nearer(fx):
+    """Whether linked nodes have nearer vectors than nodes that are half the numbers
+    apart; numbers follow a hash of the id."""
+    linked = materialise(_edges(fx), "edges")
+    prepared = walks.prepare(linked)
+    paths = walks.walk_paths(walks.visits(prepared))
+    trained = materialise(vectors.node_vectors(paths, prepared.nodes), "trained")
+    n_nodes = prepared.nodes.count()
+    apart = prepared.nodes.withColumn("far", (F.col("node") + n_nodes // 2) % n_nodes)
+    others = prepared.nodes.select(F.col("node").alias("far"), F.col("id").alias("dst"))
+    pairs = linked.select("src", "dst", F.lit(True).alias("linked")).unionByName(
+        apart.join(others, "far").select(F.col("id").alias("src"), "dst", F.lit(False).alias("linked"))
+    )
+    near = pairs.join(
+        trained.select(F.col("id").alias("src"), F.col("embedding").alias("a")), "src"
+    ).join(trained.select(F.col("id").alias("dst"), F.col("embedding").alias("b")), "dst")
+    cosine = _cosine(F.col("a"), F.col("b"))
+    return near.agg(
+        F.count_if("linked").alias("n_links"),
+        (F.avg(F.when(F.col("linked"), cosine)) > F.avg(F.when(~F.col("linked"), cosine))).alias("nearer"),
+    )
+
+
 @query
 def node_vectors_factorised(fx):
     """The method by name, on walks that ignore the direction of edges."""

