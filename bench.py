@@ -30,6 +30,7 @@ HEADLINE = [
     "rmse_eval",
     "cv_fold_rmse",
     "blend_clamp",
+    "neighbour_scores",
     "walk_paths",
     "blended_model_scores",
 ]
