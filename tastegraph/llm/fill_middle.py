@@ -9,10 +9,12 @@ which a cut lies are looked into.
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,11 @@ class Settings:
 WINDOW = 32
 CUT_BITS = 9
 LONGEST = 8_192
-#: Bytes of content a worker keeps with its summaries, and bytes hashed together.
-CACHE_BYTES = 64 << 20
-GROUP_BYTES = 1 << 20
+#: Bytes a worker keeps for its summaries, what holds each of them included, and bytes
+#: of texts that exist as Python objects, and are hashed, together.
+CACHE_BYTES = 32 << 20
+SUMMARY_BYTES = 500
+GROUP_BYTES = 250_000
 
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -52,7 +56,7 @@ def _token_starts(chunk: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first | (~letter & ((chunk & 0xC0) != 0x80)))
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Summary:
     content: bytes
     chars: int
@@ -107,7 +111,7 @@ class Chunks:
         if self.size > CACHE_BYTES:
             self.kept.clear()
             self.size = 0
-        self.size += len(content) + 200
+        self.size += len(content) + SUMMARY_BYTES
         self.kept[key] = found
         return found
 
@@ -165,6 +169,41 @@ def _draws(id_col: Column, seed: int) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
 
 
+def rearranged(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`fill_in_middle` for batches of id, text and draws."""
+    chunks = Chunks()
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).to_pylist()
+        begin = 0
+        while begin < len(sizes):
+            stop, size = begin, 0
+            while stop < len(sizes) and (stop == begin or size + sizes[stop] <= GROUP_BYTES):
+                size += sizes[stop]
+                stop += 1
+            # Only the rows of a group exist as Python objects at a time.
+            body, *drawn = (c.to_pylist() for c in batch.slice(begin, stop - begin).columns[1:])
+            bodies = [b.decode("utf-8", "replace").encode() for b in body]
+            rows = [
+                arranged(text, document, draw, settings)
+                for text, document, draw in zip(
+                    bodies, documents(bodies, chunks), zip(*drawn, strict=True), strict=True
+                )
+            ]
+            n, form, prefix, middle, output = zip(*rows, strict=True)
+            yield pa.record_batch(
+                [
+                    batch.column(0).slice(begin, stop - begin),
+                    pa.array(n, pa.int64()),
+                    pa.array(form, pa.string()),
+                    pa.array(prefix, pa.int64()),
+                    pa.array(middle, pa.int64()),
+                    pa.array([o.decode() for o in output], pa.string()),
+                ],
+                names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
+            )
+            begin = stop
+
+
 def fill_in_middle(
     docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -178,35 +217,7 @@ def fill_in_middle(
     """
 
     def run(batches):
-        chunks = Chunks()
-        for batch in batches:
-            bodies = [b.decode("utf-8", "replace").encode() for b in batch.column(1).to_pylist()]
-            draws = list(zip(*(batch.column(2 + k).to_pylist() for k in range(4)), strict=True))
-            begin = 0
-            while begin < len(bodies):
-                stop, size = begin, 0
-                while stop < len(bodies) and (stop == begin or size + len(bodies[stop]) <= GROUP_BYTES):
-                    size += len(bodies[stop])
-                    stop += 1
-                rows = [
-                    arranged(text, document, draw, settings)
-                    for text, document, draw in zip(
-                        bodies[begin:stop], documents(bodies[begin:stop], chunks), draws[begin:stop], strict=True
-                    )
-                ]
-                n, form, prefix, middle, output = zip(*rows, strict=True)
-                yield pa.record_batch(
-                    [
-                        batch.column(0).slice(begin, stop - begin),
-                        pa.array(n, pa.int64()),
-                        pa.array(form, pa.string()),
-                        pa.array(prefix, pa.int64()),
-                        pa.array(middle, pa.int64()),
-                        pa.array([o.decode() for o in output], pa.string()),
-                    ],
-                    names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
-                )
-                begin = stop
+        return rearranged(batches, settings)
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"), *_draws(F.col(id_col).cast("long"), settings.seed)

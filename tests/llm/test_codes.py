@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import sha
 from hypothesis import given, settings
@@ -155,6 +156,23 @@ def test_shared_passages_fall_into_the_same_chunks():
     assert len(contents[0] & contents[1] & contents[2]) >= len(contents[0]) - 3
 
 
+def test_a_batch_of_texts_is_not_held_whole():
+    """What a worker allocates does not grow with the rows that Spark hands over together."""
+    import tracemalloc
+
+    text = " ".join(f"w{k}" for k in range(900)).encode()
+    ids = pa.array(range(4000), pa.int64())
+    batch = pa.record_batch([ids, pa.array([text] * 4000, pa.binary()), *[ids] * 4], names=["doc_id", "body", "h1", "h2", "h3", "h4"])
+    tracemalloc.start()
+    try:
+        rows = sum(found.num_rows for found in fill_middle.rearranged(iter([batch]), fill_middle.Settings()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 4000
+    assert peak < len(text) * 4000
+
+
 # ---- vector codes -------------------------------------------------------------------
 
 
