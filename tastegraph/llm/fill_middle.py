@@ -14,11 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import RollingHash, mix64, text_bytes
+from tastegraph.llm.common import RollingHash, in_groups, mix64, text_bytes
 
 
 @dataclass(frozen=True)
@@ -38,11 +37,9 @@ class Settings:
 WINDOW = 32
 CUT_BITS = 9
 LONGEST = 8_192
-#: Bytes a worker keeps for its summaries, what holds each of them included, and bytes
-#: of texts that exist as Python objects, and are hashed, together.
+#: Bytes a worker keeps for its summaries, what holds each of them included.
 CACHE_BYTES = 32 << 20
 SUMMARY_BYTES = 500
-GROUP_BYTES = 250_000
 
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -172,36 +169,27 @@ def _draws(id_col: Column, seed: int) -> list[Column]:
 def rearranged(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
     """The rows of :func:`fill_in_middle` for batches of id, text and draws."""
     chunks = Chunks()
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(1)).to_pylist()
-        begin = 0
-        while begin < len(sizes):
-            stop, size = begin, 0
-            while stop < len(sizes) and (stop == begin or size + sizes[stop] <= GROUP_BYTES):
-                size += sizes[stop]
-                stop += 1
-            # Only the rows of a group exist as Python objects at a time.
-            body, *drawn = (c.to_pylist() for c in batch.slice(begin, stop - begin).columns[1:])
-            bodies = [b.decode("utf-8", "replace").encode() for b in body]
-            rows = [
-                arranged(text, document, draw, settings)
-                for text, document, draw in zip(
-                    bodies, documents(bodies, chunks), zip(*drawn, strict=True), strict=True
-                )
-            ]
-            n, form, prefix, middle, output = zip(*rows, strict=True)
-            yield pa.record_batch(
-                [
-                    batch.column(0).slice(begin, stop - begin),
-                    pa.array(n, pa.int64()),
-                    pa.array(form, pa.string()),
-                    pa.array(prefix, pa.int64()),
-                    pa.array(middle, pa.int64()),
-                    pa.array([o.decode() for o in output], pa.string()),
-                ],
-                names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
+    for group in in_groups(batches, 1):
+        body, *drawn = (c.to_pylist() for c in group.columns[1:])
+        bodies = [b.decode("utf-8", "replace").encode() for b in body]
+        rows = [
+            arranged(text, document, draw, settings)
+            for text, document, draw in zip(
+                bodies, documents(bodies, chunks), zip(*drawn, strict=True), strict=True
             )
-            begin = stop
+        ]
+        n, form, prefix, middle, output = zip(*rows, strict=True)
+        yield pa.record_batch(
+            [
+                group.column(0),
+                pa.array(n, pa.int64()),
+                pa.array(form, pa.string()),
+                pa.array(prefix, pa.int64()),
+                pa.array(middle, pa.int64()),
+                pa.array([o.decode() for o in output], pa.string()),
+            ],
+            names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
+        )
 
 
 def fill_in_middle(

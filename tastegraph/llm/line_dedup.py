@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import RollingHash, batches_of, text_bytes
+from tastegraph.llm.common import RollingHash, batches_of, in_groups, text_bytes
 from tastegraph.session import materialise
 
 
@@ -42,8 +42,6 @@ LONGEST_WORD = 24
 
 #: Places of runs for each slice of a first owner; it decides only where pairs go.
 SLICE_PLACES = 512
-#: Bytes of texts whose words are counted together.
-GROUP_BYTES = 1 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -217,16 +215,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         classes, longest = shared.value
-        for batch in batches:
-            counts, held, size = [], [], 0
-            for body in batch.column(3).to_pylist():
-                held.append(body.decode("utf-8", "replace"))
-                size += len(body)
-                if size > GROUP_BYTES:
-                    counts += line_words(held, classes, longest)
-                    held, size = [], 0
-            counts += line_words(held, classes, longest) if held else []
-            words = pa.array(counts, pa.list_(pa.int32()))
+        for batch in in_groups(batches, 3):
+            held = [body.decode("utf-8", "replace") for body in batch.column(3).to_pylist()]
+            words = pa.array(line_words(held, classes, longest), pa.list_(pa.int32()))
             yield pa.record_batch([*batch.columns[:3], words], names=["id", "th", "hashes", "words"])
 
     rows = docs.select(

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import batches_of, text_bytes
+from tastegraph.llm.common import batches_of, in_groups, text_bytes
 from tastegraph.llm.components import connected_components
 from tastegraph.session import materialise
 
@@ -54,7 +54,7 @@ def fingerprints(
     """``doc_id`` and ``fp``, the fingerprint as a signed long, of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_groups(batches, 1):
             found = [fingerprint(b, shingle) for b in batch.column(1).to_pylist()]
             yield pa.record_batch(
                 [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))],

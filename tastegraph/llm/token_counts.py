@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import sample_texts, text_bytes
+from tastegraph.llm.common import in_groups, sample_texts, text_bytes
 
 #: Rows looked at for frequent pre-tokens (their beginnings), and entries in the
 #: broadcast table. The table only saves time: pre-tokens that it lacks are encoded.
@@ -129,7 +129,7 @@ def count_tokens(
 
     def run(batches):
         counter = PieceCounter(path, known.value)
-        for batch in batches:
+        for batch in in_groups(batches, 1):
             bodies = batch.column(1).to_pylist()
             counts = np.empty(len(bodies), np.int64)
             for i in range(0, len(bodies), GROUP):

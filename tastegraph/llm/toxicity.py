@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.common import Memo, mix64, text_bytes
+from tastegraph.llm.common import Memo, in_groups, mix64, text_bytes
 
 _PUNCTUATION = b".,;:!?\"'()[]"
 
@@ -132,7 +132,7 @@ def learn_weights(
         features, learner = Features(settings), Ftrl(settings)
         examples = [
             (np.unique(features.all(body)).astype(np.int32), label)
-            for batch in batches
+            for batch in in_groups(batches, 0)
             for body, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
         ]
         for _ in range(settings.epochs):
@@ -184,7 +184,7 @@ def score(
 
     def run(batches):
         scorer = Scorer(settings, *shared.value)
-        for batch in batches:
+        for batch in in_groups(batches, 2):
             scores = np.array([scorer(b) for b in batch.column(2).to_pylist()], np.float64)
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
@@ -205,11 +205,14 @@ def keep_clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
     threshold = settings.threshold
     shared = docs.sparkSession.sparkContext.broadcast((model["at"], model["weight"]))
 
+    at = docs.columns.index(text_col)
+
     def run(batches):
         scorer = Scorer(settings, *shared.value)
-        for batch in batches:
-            scores = np.array([scorer(b) for b in batch.column(0).to_pylist()], np.float64)
-            rows = batch.filter(pa.array(scores < threshold))
-            yield pa.RecordBatch.from_arrays(rows.columns[1:], names=rows.schema.names[1:])
+        for batch in in_groups(batches, at):
+            bodies = (b or b"" for b in batch.column(at).cast(pa.binary()).to_pylist())
+            scores = np.array([scorer(b) for b in bodies], np.float64)
+            yield batch.filter(pa.array(scores < threshold))
 
-    return docs.select(text_bytes(text_col).alias("_body"), "*").mapInArrow(run, docs.schema)
+    # The text travels once: its bytes are taken from the column as it is.
+    return docs.mapInArrow(run, docs.schema)

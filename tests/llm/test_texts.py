@@ -6,9 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tastegraph.llm import decontaminate, secret_scan, token_counts, toxicity
+from tastegraph.llm.common import in_groups
 
 
 @pytest.fixture(scope="module")
@@ -304,3 +306,25 @@ def test_benchmark_in_blocks_gives_the_same(docs_of, spark):
         for size in (1 << 20, 200)
     ]
     assert rows[0] == rows[1] and len({r[0] for r in rows[0]}) == 20
+
+
+# ---- rows that a worker holds ---------------------------------------------------------
+
+
+def test_groups_hold_every_row_and_few_bytes():
+    bodies = [b"", None, b"abc", b"x" * 50, b"de", None, b"f" * 9, b"gh"]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(bodies, pa.binary())], names=["id", "body"])
+    for given in ([batch, batch.slice(3), batch.slice(8)], [batch.slice(0, 0)]):
+        groups = [g.column(1).to_pylist() for g in in_groups(iter(given), 1, 10)]
+        assert sum(groups, []) == [b for part in given for b in part.column(1).to_pylist()]
+        assert all(g and (len(g) == 1 or sum(len(b or b"") for b in g) <= 10) for g in groups)
+
+
+def test_a_text_is_sent_once_to_be_judged(docs_of):
+    model = {"at": np.array([0]), "weight": np.array([1.0]), "settings": toxicity.Settings()}
+    docs = docs_of([(1, "some words"), (2, None), (3, "")])
+    kept = toxicity.keep_clean(docs, model)
+    assert "_body" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count() == 0 and kept.columns == docs.columns
+    model["weight"] = np.array([-1.0])
+    assert sorted(map(str, toxicity.keep_clean(docs, model).collect())) == sorted(map(str, docs.collect()))
