@@ -203,3 +203,40 @@ def test_vectors_separate_groups(spark, settings):
     inside = [cosine(found[a], found[b]) for a, b in pairs if a // 8 == b // 8]
     across = [cosine(found[a], found[b]) for a, b in pairs if a // 8 != b // 8]
     assert sum(inside) / len(inside) > sum(across) / len(across) + 0.3
+
+
+def test_the_first_step_shuffles_edges_and_not_walkers(spark, random_edges):
+    """Walks that take the same first edge are one row, here and in what is written."""
+    prepared = walks.prepare(random_edges)
+    moved = walks.moves(prepared, num_walks=200, walk_length=2)
+    rows = moved.where("step = 1").select("prev", "node", F.size("ks").alias("n")).collect()
+    links = prepared.links.count()
+    assert len(rows) == len({(r["prev"], r["node"]) for r in rows}) <= links
+    sources = prepared.links.select("src").distinct().count()
+    assert sum(r["n"] for r in rows) == 200 * sources > 5 * links
+
+
+@pytest.mark.parametrize("num_walks", [1, 128, 255, 256, 300])
+def test_walks_are_numbered_whatever_the_type_of_their_numbers(chain, num_walks):
+    prepared = walks.prepare(chain)
+    visited = walks.visits(prepared, num_walks, 3).collect()
+    starts = sorted(r["walk_id"] for r in visited if r["step"] == 0)
+    assert starts == list(range(3 * num_walks))
+    assert all(r["node"] == r["walk_id"] // num_walks for r in visited if r["step"] == 0)
+    assert len(visited) == (3 + 2 + 1) * num_walks
+
+
+@pytest.mark.parametrize("walk_length,expected", [(1, {1}), (2, {1, 2}), (3, {1, 2, 3})])
+def test_walks_of_any_length_end(chain, walk_length, expected):
+    paths = numbered_paths(walks.prepare(chain), num_walks=2, walk_length=walk_length)
+    assert len(paths) == 6 and {len(p) for p in paths.values()} == expected
+
+
+def test_tries_shuffle_flags_and_no_level(random_edges):
+    prepared = walks.prepare(random_edges)
+    frontier = prepared.starts.where("degree > 0").selectExpr(
+        "node as walk_id", "1L as step", "node as prev", "degree as prev_degree", "node as cur", "degree",
+        "true as back", "0L as tried",
+    )
+    drawn = walks._Rounds(prepared, 0.25, 4.0, 0, 10**6)._tries(frontier, 4)
+    assert "double" not in dict(drawn.dtypes).values()
