@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tastegraph import config
 from tastegraph.operators import vectors, walks
 from tastegraph.plans.catalog import _edges
+from tastegraph.session import materialise
 
 
 def numbered_paths(graph, **settings):
@@ -240,3 +241,32 @@ def test_tries_shuffle_flags_and_no_level(random_edges):
     )
     drawn = walks._Rounds(prepared, 0.25, 4.0, 0, 10**6)._tries(frontier, 4)
     assert "double" not in dict(drawn.dtypes).values()
+
+
+@pytest.mark.parametrize("directed", [True, False])
+@pytest.mark.parametrize("p,q", [(0.25, 4.0), (4.0, 0.5), (0.5, 0.25)])
+def test_lists_of_neighbours_do_not_change_walks(random_edges, monkeypatch, directed, p, q):
+    """Walkers move beside lists, by rows of tries, or each where it can or nodes are crowded."""
+    found = []
+    for listed, hot_rows in ((64, 10**6), (0, 10**6), (9, 10**6), (64, 12)):
+        monkeypatch.setattr(config, "LISTED", listed)
+        prepared = walks.prepare(random_edges, directed)
+        found.append(numbered_paths(prepared, num_walks=2, walk_length=5, p=p, q=q, hot_rows=hot_rows))
+    assert all(other == found[0] for other in found[1:])
+
+
+def test_walkers_beside_lists_shuffle_a_row_each(spark, random_edges):
+    """Their node's list and that of their last node lie in buckets; tries are no rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prepared = walks.prepare(random_edges)
+        frontier = materialise(prepared.starts.where("degree > 0").selectExpr(
+            "node as walk_id", "1L as step", "node as prev", "degree as prev_degree", "node as cur", "degree",
+            "true as back", "0L as tried",
+        ), "test-frontier")
+        rounds = walks._Rounds(prepared, 0.25, 4.0, 0, 10**6)
+        plan = rounds.beside_lists(frontier)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") >= 2, plan
+        assert "Explode" not in plan and "posexplode" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
