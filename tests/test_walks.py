@@ -1,10 +1,12 @@
 import random
+from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tastegraph import config
-from tastegraph.operators import vectors, walks
+from tastegraph.operators import draws, vectors, walks
 from tastegraph.plans.catalog import _edges
 from tastegraph.session import materialise
 
@@ -270,3 +272,45 @@ def test_walkers_beside_lists_shuffle_a_row_each(spark, random_edges):
         assert "Explode" not in plan and "posexplode" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_numbers_of_tries_are_those_of_the_md5_of_their_text():
+    rnd = np.random.default_rng(0)
+    walk = np.concatenate([rnd.integers(0, 10**digits, 40) for digits in range(1, 19)] + [np.array([0, 9, 10, 99, 100, 2**62])])
+    rnd.shuffle(walk)
+    step, tried = rnd.integers(0, 200, (2, len(walk)))
+    for seed in (0, 41, 10**30):
+        first, second = draws.numbers(seed, walk, step, tried)
+        for k in range(len(walk)):
+            digest = md5(f"{seed}|{walk[k]}|{step[k]}|{tried[k]}".encode()).hexdigest()
+            assert (first[k], second[k]) == (int(digest[:13], 16) / 2**52, int(digest[13:26], 16) / 2**52)
+
+
+@pytest.mark.parametrize("num_walks,walk_length", [(3, 1), (3, 2), (130, 6)])
+def test_walks_that_end_early_are_not_gathered(spark, random_edges, num_walks, walk_length):
+    """Only visits of walks that go on after their first step are grouped; paths stay the same."""
+    ends = spark.createDataFrame([(f"n{i}", f"end{i % 7}") for i in range(60)], "src string, dst string")
+    prepared = walks.prepare(random_edges.where("src not in ('n1', 'n2', 'hub')").union(ends))
+    visited = materialise(walks.visits(prepared, num_walks, walk_length, seed=3), "test-visits")
+    found = sorted((r["walk_id"], r["path"]) for r in walks.walk_paths(visited).collect())
+    plain = sorted((r["walk_id"], r["path"]) for r in walks.walk_paths(visited.drop("last", "prev")).collect())
+    assert found == plain and len(found) == num_walks * prepared.n_nodes
+    names = {r["node"]: r["id"] for r in prepared.nodes.collect()}
+    moved = walks.moves(prepared, num_walks, walk_length, seed=3)
+    named = sorted((r["walk_id"], r["path"]) for r in walks.named_paths(moved, prepared.nodes).collect())
+    assert named == [(walk, [names[node] for node in path]) for walk, path in plain]
+    alone = sum(len(path) <= 2 for _, path in plain)
+    gathered = []
+    real = walks._gathered
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(walks, "_gathered", lambda rows, nodes: gathered.append(rows.count()) or real(rows, nodes))
+        walks.walk_paths(visited)
+    assert alone and gathered == [sum(len(path) - 1 for _, path in plain if len(path) > 2)]
+
+
+def test_first_steps_are_drawn_on_arrays(random_edges):
+    """No row per walker is formed where the first step is drawn."""
+    prepared = walks.prepare(random_edges)
+    rounds = walks._Rounds(prepared, 0.25, 4.0, 0, 10**6)
+    plan = rounds.first(prepared.starts.where("degree > 0"), 200)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan and "collect_list" not in plan
